@@ -1,0 +1,44 @@
+import html
+import re
+
+from glyphmill.llm.html_extract import cluster_threshold, extract, main_text, smoothed_ratios
+
+BODY = "<h1>A title &amp; more</h1><p>First &lt;long&gt; paragraph with a good many words in it, more than any menu.</p><p>Of.</p><p>Second  paragraph\n also with a <b>good</b> many words, and a <a href='x'>link</a>.</p>"
+WANT = "A title & more\nFirst <long> paragraph with a good many words in it, more than any menu.\nOf.\nSecond paragraph also with a good many words, and a link."
+
+
+def test_templates():
+    menu = "<nav><ul><li><a href='/'>Home</a></li><li><a href='/n'>News</a></li></ul></nav>"
+    tail = "<footer>&copy; Someone</footer>"
+    for page in (
+        f"<html><head><title>T</title><style>p{{}}</style></head><body>{menu}<div class='ad'>Buy this now</div><article>{BODY}</article>{tail}</body></html>",
+        f"<body><header><h2>Site</h2>{menu}</header><main><article><header>{BODY[:30]}</header>{BODY[30:]}</article><aside><p>Side text that runs on and on for long.</p></aside></main>{tail}",
+        f"<body><div id='menu'><a href='/'>Home</a></div><div class='cookie-notice'>We use cookies on this site, and they are many.</div><div id='content'>{BODY}</div><div class='sidebar'><p>Popular things here</p></div><div id='comments'><h3>Comments</h3><p>A reader says that this is a very long remark about it all.</p></div><div class='siteFooter'>c</div>",
+        f"<body><div><a href='/'>Home</a> <a href='/b'>Blog</a></div><div>{BODY}</div><form><label>Name</label><input><button>Go</button></form><script>var a='<p>no</p>';</script></body>",
+        f"<div class='post'>{BODY}</div><section class='comments'><article class='comment'><p>Remark one, rather long as remarks go.</p></article></section>",
+    ):
+        assert main_text(page) == WANT, page
+
+
+def test_signal():
+    ratio = smoothed_ratios([0, 0, 0, 400, 300, 10, 500, 0, 0], [3, 3, 3, 1, 1, 1, 1, 3, 3])
+    content = ratio >= cluster_threshold(ratio)
+    assert content.tolist()[3:7] == [True] * 4 and not content[0] and not content[-1]
+
+
+def test_pages_of_the_table(spark, sf):
+    """Articles of the given template, by a brute-force reading of the markup."""
+    rows = spark.read.parquet(f"{sf}/pages.parquet").collect()
+    got = {r.page_id: r for r in extract(spark.read.parquet(f"{sf}/pages.parquet")).collect()}
+    for r in rows:
+        body = re.search(r"<article>(.*?)(</article>|<footer>|\Z)", r.html, re.S)[1]
+        blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", " " if "br" in b else "", re.sub("<br>", " ", b))).split()) for b in re.split(r"</?(?:p|h1)>", body)]
+        assert got[r.page_id].text == "\n".join(b for b in blocks if b)
+        assert got[r.page_id].n_chars == len(got[r.page_id].text)
+
+
+def test_odd_rows(spark):
+    pages = spark.createDataFrame([(1, "u", None), (2, None, ""), (None, "u", "<p>a"), (3, "u", "<p>" + "long " * 50000), (3, "u", "just text &am")], "page_id long, url string, html string").selectExpr("*", "1 as text")
+    got = sorted(((r.page_id, r.text[:12], r.n_chars) for r in extract(pages).collect()), key=str)
+    assert got == sorted([(1, "", 0), (2, "", 0), (None, "a", 1), (3, "long long lo", 249999), (3, "just text &a", 13)], key=str)
+    assert extract(pages.limit(0)).count() == 0
