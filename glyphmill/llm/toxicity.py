@@ -1,7 +1,8 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 The vocabulary is what the labelled training documents show to go with a label: terms of at least MIN_DOCS of them
-with a chi-square of CHI2 or more, at most VOCABULARY by chi-square. Term counts come from all labelled training
+with a chi-square of CHI2 or more and of PHI2 or more a document (the strength of the link, which does not grow with
+the table as chi-square does), at most VOCABULARY by chi-square. Term counts come from all labelled training
 documents and document frequencies from all documents. The index holds at most EXAMPLES training documents of each
 label (a documented bound; the least by hash), with votes weighted so that labels keep their true shares. For a
 document, an upper bound for every block of examples comes from the blocks' largest weights; blocks are scored from
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-VOCABULARY, EXAMPLES, K, CHI2, MIN_DOCS, BLOCK = 4096, 4096, 32, 40.0, 4, 64
+VOCABULARY, EXAMPLES, K, CHI2, PHI2, MIN_DOCS, BLOCK = 4096, 2048, 32, 40.0, 0.005, 4, 64
 _TERM = re.compile(r"[^\W_]+")
 
 
@@ -64,7 +65,7 @@ def vocabulary(docs: DataFrame, train: DataFrame, id_col: str, text_col: str) ->
     cs, ts = F.lit(float(whole.c)), F.lit(float(whole.t))
     n = cs + ts
     chi2 = n * F.pow(t * (cs - c) - c * (ts - t), 2) / (ts * cs * (t + c) * F.greatest(n - t - c, F.lit(1.0)))
-    best = sums.where("term <> ''").select("term", chi2.alias("x")).where(F.col("x") >= CHI2).orderBy(F.desc("x"), "term").limit(VOCABULARY)
+    best = sums.where("term <> ''").select("term", chi2.alias("x")).where((F.col("x") >= CHI2) & (F.col("x") >= PHI2 * n)).orderBy(F.desc("x"), "term").limit(VOCABULARY)
     return [r.term for r in best.collect()]
 
 
@@ -104,11 +105,11 @@ class BlockMaxIndex:
         np.maximum.at(self.top, cell, self.weight)
         self.top = self.top.reshape(n_terms, self.blocks)
 
-    def _cosines(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray, out: np.ndarray) -> None:
+    def _cosines(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> np.ndarray:
         cell = (terms[:, None] * self.blocks + blocks[None, :]).ravel()
         lo, n = self.edges[cell], self.edges[cell + 1] - self.edges[cell]
         at = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-        np.add.at(out, self.where[at], self.weight[at] * np.repeat(np.repeat(weights, len(blocks)), n))
+        return np.bincount(self.where[at], self.weight[at] * np.repeat(np.repeat(weights, len(blocks)), n), self.blocks * BLOCK)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Up to k examples with the largest positive cosines, exact; ties go to the first."""
@@ -120,7 +121,7 @@ class BlockMaxIndex:
         while at < len(ranked) and bound[ranked[at]] >= least - 1e-12:
             part = ranked[at : at + step]
             part = part[bound[part] >= least - 1e-12]
-            self._cosines(terms, weights, part, score)
+            score += self._cosines(terms, weights, part)
             if skip >= 0:
                 score[skip] = 0
             best = np.partition(score, len(score) - k)[len(score) - k] if len(score) > k else 0.0
