@@ -55,8 +55,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def vocabulary(docs: DataFrame, train: DataFrame, id_col: str, text_col: str) -> list[str]:
     """The terms that go with a label, best first; VOCABULARY at most, so the driver gets a bounded list."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    counts = rows.join(train, "id").select("text", "toxic").mapInArrow(_count, "term string, clean long, toxic long")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull() & ~held_out("id"))
+    counts = rows.join(train.hint("merge"), "id").select("text", "toxic").mapInArrow(_count, "term string, clean long, toxic long")
     sums = written(counts.groupBy("term").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t")).where(F.col("c") + F.col("t") >= MIN_DOCS), "terms")
     whole = sums.where("term = ''").first()
     if whole is None or not whole.c or not whole.t:
