@@ -162,7 +162,9 @@ def _collide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def links(classes: DataFrame) -> DataFrame:
     """classes: fp (distinct). Returns a, b: links within the radius that reach all fingerprints which any links reach."""
-    keyed = classes.select("fp").mapInArrow(_emit, "key long, fp long")
+    # dealt out anew, as a small table of classes would stand in a few partitions and its variants are 196 times as many
+    spread = classes.select("fp").repartition(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    keyed = spread.mapInArrow(_emit, "key long, fp long")
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_collide, "a long, b long")
 
 
