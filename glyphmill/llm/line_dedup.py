@@ -23,8 +23,10 @@ def lines_of(text):
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def key_of(line):
-    return ascii_lower(F.trim(line, F.lit(BLANKS)))
+def keys_of(lines):
+    """Stripped, A-Z lower-cased. lower() does for lines in ASCII; others need the slower translate()."""
+    bare = F.transform(lines, lambda x: F.trim(x, F.lit(BLANKS)))
+    return F.transform(bare, lambda t: F.when(F.octet_length(t) == F.char_length(t), F.lower(t)).otherwise(ascii_lower(t)))
 
 
 def _hashed(key):
@@ -38,7 +40,7 @@ def _row_key(id_col: str, text_col: str):
 
 def document_keys(docs: DataFrame, text_col: str = "text", min_length: int = 1) -> DataFrame:
     """h1, h2, n_docs: the line keys of at least min_length code points and the number of rows that have them."""
-    keys = F.filter(F.transform(lines_of(F.col(text_col)), lambda x: key_of(x)), lambda k: F.char_length(k) >= min_length)
+    keys = F.filter(keys_of(lines_of(F.col(text_col))), lambda k: F.char_length(k) >= min_length)
     once = F.array_distinct(F.transform(keys, lambda k: _hashed(k)))
     return docs.select(F.explode(once).alias("h")).groupBy("h.h1", "h.h2").agg(F.count("*").alias("n_docs"))
 
@@ -80,20 +82,21 @@ class LineRuns:
 def drop_keys(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_length: int = 1) -> DataFrame:
     """docs with a struct column _lines: n_lines, n_dropped, kept; lines whose key is in keys (h1, h2) are dropped."""
     named = docs.withColumn("_row", _row_key(id_col, text_col))
-    hashed = F.transform(lines_of(F.col(text_col)), lambda x: F.when(F.char_length(key_of(x)) >= min_length, _hashed(key_of(x))))
+    hashed = F.transform(keys_of(lines_of(F.col(text_col))), lambda k: F.when(F.char_length(k) >= min_length, _hashed(k)))
     each = docs.select(_row_key(id_col, text_col).alias("_row"), F.posexplode(hashed).alias("at", "h")).where("h is not null")
     gone = (
         each.select("_row", "at", "h.h1", "h.h2").join(keys.hint("merge"), ["h1", "h2"], "left_semi")
         .groupBy("_row").agg(F.collect_set("at").alias("_gone"))
     )
-    lines = lines_of(F.col(text_col))
+    lines = F.col("_all")
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.coalesce("_gone", F.array().cast("array<int>")))
-    kept = F.array_join(F.transform(F.array_sort(stay), lambda i: F.get(lines, i)), "\n")
-    return named.join(gone, "_row", "left").select(
-        *[docs[c] for c in docs.columns],
-        F.struct(
-            F.size(lines).cast("long").alias("n_lines"), (F.size(lines) - F.size(stay)).cast("long").alias("n_dropped"), kept.alias("kept"),
-        ).alias("_lines"),
+    kept = F.array_join(F.transform("_stay", lambda i: F.get(lines, i)), "\n")
+    stay = F.array_sort(stay)
+    found = named.join(gone, "_row", "left").withColumn("_all", lines_of(F.col(text_col))).withColumn("_stay", stay)
+    count, left = F.size(lines), F.size("_stay")
+    return found.select(
+        *[F.col(c) for c in docs.columns],
+        F.struct(count.cast("long").alias("n_lines"), (count - left).cast("long").alias("n_dropped"), kept.alias("kept")).alias("_lines"),
     )
 
 
@@ -101,8 +104,8 @@ def dedup(docs: DataFrame, root: str, min_docs: int = 10, batches: int = 3, id_c
     """Ingests docs in batches into the store at root, then drops every line whose key is in min_docs documents or more.
 
     Returns docs with _lines. Null and empty texts have one empty line, which stays. A row counts as one document,
-    repeated rows included. A document that loses all lines keeps an empty text. Columns called _row, _gone or _lines
-    are reserved. No rows give no rows.
+    repeated rows included. A document that loses all lines keeps an empty text. Columns called _row, _gone, _all,
+    _stay or _lines are reserved. No rows give no rows.
     """
     store = LineRuns(docs.sparkSession, root)
     for k in range(batches):
