@@ -25,7 +25,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import commit, exists, scratch
+from .common import commit, exists, scratch, written
 
 BUCKETS = 4096
 SHARD_BYTES, FILE_BYTES, LEAST_REVISIT = 32 << 20, 8 << 20, 100
@@ -45,7 +45,9 @@ def planned(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     rows = pages.select("page_id", "url", payload.alias("payload"), F.octet_length(payload).cast("long").alias("size"), F.sha2(payload, 256).alias("digest"))
     firsts = rows.where(F.col("size") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return rows.join(firsts.select("digest", "first"), "digest", "left").select(
+    # written first, so that its size is known: where few payloads repeat, Spark sends them to the pages and not the pages to them
+    firsts = written(firsts.select("digest", "first"), "repeated-payloads")
+    return rows.join(firsts, "digest", "left").select(
         "page_id", "url", F.when(~again, F.col("payload")).alias("payload"), "size", "digest", F.when(again, F.col("first")).alias("refers_to")
     )
 
