@@ -24,10 +24,13 @@ def test_against_brute_force(spark, sf):
     changed = d._split(items[3][1])
     changed[2:3] = ["swapped"]
     docs += [(-1, None), (-2, ""), (-3, "x " + items[0][1].upper() + " y"), (-4, "a b only  THREE\twords c"), (-5, "tick tock " * 30), (-6, " ".join(changed)), (-7, items[5][1]), (-7, items[5][1]), (None, "z " * 40 + items[6][1])]
+    items += [(104, "Le cœur à gauche, déjà vu, où ça? Été près d'elle")]
+    docs += [(-8, "x LE CŒUR À GAUCHE, DÉJÀ VU, OÙ ÇA? ÉTÉ PRÈS D'ELLE y")]
     left = spark.createDataFrame([(*r, 1) for r in docs], "doc_id long, text string, item_id int")
     right = spark.createDataFrame([(*r, "x") for r in items], "item_id long, text string, doc_id string")
     got = d.leaks(left, right)
     pairs = [(r.id, r.item_id) for r in got.collect()]
+    assert (-8, 104) in pairs
     assert set(pairs) == slow(docs, items) and len(pairs) == len(set(pairs))
     kept = d.clean(left, right)
     assert kept.columns == left.columns
