@@ -1,7 +1,8 @@
 """WARC archives: a deterministic sharded writer, and a reader that checks digests.
 
-Records are range-sorted by page_id. Shard bounds come from a histogram of payload bytes over the id range (at most
-BUCKETS counts reach the driver), so equal tables give equal shards, and equal files byte by byte. A task writes its
+Records are range-sorted by page_id. Shard bounds come from a histogram of payload bytes over the id range, of which
+buckets that are too large are cut further (a bounded number of counts reaches the driver, as the number of shards is
+bounded), so equal tables give equal shards, and equal files byte by byte. A task writes its
 shards in order, rolls a file when its compressed size is reached, writes under a temporary name and renames it to
 its final one, so a repeated attempt replaces a file by the same bytes. The manifest lists the files that count and is
 committed last, by one rename; a folder without it is unfinished and never read.
@@ -14,6 +15,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import io
+import math
 import re
 import uuid
 import zlib
@@ -27,7 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import commit, exists, scratch, written
 
-BUCKETS = 4096
+#: Bits of the first histogram over ids, and by which a bucket that is too large is cut; shards in all, about.
+BUCKET_BITS, FAN_BITS, MAX_SHARDS = 12, 5, 1 << 15
 SHARD_BYTES, FILE_BYTES, LEAST_REVISIT = 32 << 20, 8 << 20, 100
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -53,22 +56,48 @@ def planned(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
 
 
 def sharded(rows: DataFrame, pages: DataFrame, shard_bytes: int) -> DataFrame:
-    """rows with a shard by ranges of page_id of about shard_bytes each; null ids are in the first."""
-    size = F.coalesce(F.octet_length("html"), F.lit(0)) + 500
-    ends = pages.agg(F.min("page_id").alias("lo"), F.max("page_id").alias("hi")).first()
-    if ends.lo is None:
+    """rows with a shard by ranges of page_id of about shard_bytes each, or of a MAX_SHARDS-th of all bytes if that is more.
+
+    Null ids come first. Rows of one id (or of none) that pass that size are dealt to more shards by url and digest.
+    """
+    spark = rows.sparkSession
+    sizes = pages.select(F.col("page_id").cast("long").alias("id"), (F.coalesce(F.octet_length("html"), F.lit(0)) + 500).alias("n"))
+    none = F.sum(F.when(F.col("id").isNull(), F.col("n")))
+    whole = sizes.agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.sum("n").alias("n"), F.coalesce(none, F.lit(0)).alias("none")).first()
+    if whole.n is None:
         return rows.withColumn("shard", F.lit(0))
-    width = max(1, -(-(ends.hi - ends.lo + 1) // BUCKETS))
-    place = lambda c: F.coalesce(F.floor((c - F.lit(ends.lo)) / F.lit(width)), F.lit(0))
-    counts = {r.b: r.n for r in pages.groupBy(place(F.col("page_id")).alias("b")).agg(F.sum(size).alias("n")).collect()}
-    shard, full, bounds = 0, 0, []
-    for b in sorted(counts):
-        if full and full + counts[b] > shard_bytes:
-            shard, full = shard + 1, 0
-        full += counts[b]
-        bounds.append((b, shard))
-    table = rows.sparkSession.createDataFrame(bounds, "b long, shard int")  # BUCKETS rows at most
-    return rows.withColumn("b", place(F.col("page_id"))).join(F.broadcast(table), "b").drop("b")
+    limit = max(shard_bytes, math.ceil(whole.n / MAX_SHARDS))
+    # buckets are ids without their last `shift` bits; those over the limit are cut further
+    shift = max(0, (whole.hi - whole.lo).bit_length() - BUCKET_BITS) if whole.lo is not None else 0
+    left, shifts, leaves = sizes.where("id is not null"), [], []
+    while True:
+        counts = left.groupBy(F.shiftright("id", shift).alias("b")).agg(F.sum("n").alias("n")).collect()
+        wide = {r.b for r in counts if r.n > limit} if shift else set()
+        leaves += [(r.b << shift, len(shifts), r.b, r.n) for r in counts if r.b not in wide]
+        shifts.append(shift)
+        if not wide:
+            break
+        parents = spark.createDataFrame([(b,) for b in wide], "b long")
+        left = left.join(F.broadcast(parents), F.shiftright("id", shift) == F.col("b"), "left_semi")
+        shift = max(0, shift - FAN_BITS)
+    ways = math.ceil(whole.none / limit)
+    at, full, bounds = ways, 0, [[] for _ in shifts]
+    for _, level, b, n in sorted(leaves):
+        if full and full + n > limit:
+            at, full = at + 1, 0
+        many = max(1, math.ceil(n / limit))
+        bounds[level].append((b, at, many))
+        full += n
+        if many > 1:
+            at, full = at + many, 0
+    shard, deal = F.lit(None).cast("int"), F.lit(None).cast("int")
+    for k, found in enumerate(bounds):
+        if found:  # FAN_BITS bits of buckets a shard at most, and shards are bounded
+            table = spark.createDataFrame(found, f"_b{k} long, _s{k} int, _w{k} int")
+            rows = rows.join(F.broadcast(table), F.shiftright(F.col("page_id").cast("long"), shifts[k]) == F.col(f"_b{k}"), "left")
+            shard, deal = F.coalesce(shard, f"_s{k}"), F.coalesce(deal, f"_w{k}")
+    turn = F.pmod(F.xxhash64("url", "digest"), F.coalesce(deal, F.lit(max(1, ways)))).cast("int")
+    return rows.withColumn("shard", F.coalesce(shard, F.lit(0)) + turn)
 
 
 def _uri(url: str) -> str:

@@ -29,3 +29,20 @@ def test_round_trip(spark, sf):
         assert g.payload is None if again else bytes(g.payload) == raw
     empty = common.scratch(spark, "warc")
     assert warc.write(pages.limit(0), empty).count() == 0 and warc.read(spark, empty).count() == 0
+
+
+def test_shards_of_far_ids_and_of_many_rows_without_one(spark):
+    rows = [(k, f"u{k}", "x" * 500 + str(k)) for k in (*range(300), 2**62, -(2**62))] + [(None, f"n{k}", "y" * 500 + str(k)) for k in range(100)] + [(7, f"m{k}", "z" * 500 + str(k)) for k in range(50)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = warc.sharded(warc.planned(pages), pages, 10_000).select("page_id", "shard", "size").collect()
+    assert len(got) == len(rows)
+    full, spans = {}, {}
+    for r in got:
+        full[r.shard] = full.get(r.shard, 0) + r.size + 500
+        if r.page_id is not None and r.page_id != 7:
+            spans.setdefault(r.shard, []).append(r.page_id)
+    assert max(full.values()) <= 25_000 and len(full) > 40
+    ordered = [(min(v), max(v)) for _, v in sorted(spans.items())]
+    assert all(a[1] < b[0] for a, b in zip(ordered, ordered[1:]))
+    nones = {r.shard for r in got if r.page_id is None}
+    assert len(nones) > 5 and not nones & set(spans)
