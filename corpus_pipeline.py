@@ -26,7 +26,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, that with the least id."""
+    """Of documents whose five-word shingles are similar by 0.8 or more, that with the least id stays."""
     return simhash.keep_one(docs)
 
 

@@ -82,3 +82,90 @@ def test_odd_rows(spark):
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
     assert sorted((r.doc_id for r in kept.collect()), key=str) == [1, 3, None]
+
+
+def slow_shingles(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    n = min(5, len(words))
+    return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if words else set()
+
+
+def slow_similarity(a, b):
+    x, y = slow_shingles(a), slow_shingles(b)
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def test_similar_groups_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    texts, near = [], []
+    for k in range(60):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(80, 400))]
+        texts.append(" ".join(words))
+        for _ in range(k % 4):
+            other = list(words)
+            for _ in range(rng.randint(0, len(words) // 30)):
+                other[rng.randrange(len(other))] = f"x{rng.randrange(5000)}"
+            texts.append("\n".join(w.upper() if rng.random() < 0.1 else w for w in other))
+    texts += [None, "", " \t ", "one", "One ", "two words"]
+    score = {(i, j): slow_similarity(texts[i], texts[j]) for j in range(len(texts)) for i in range(j)}
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for (i, j), s in score.items():
+        assert s == simhash.similarity(texts[i], texts[j]) or not 0.5 < s
+        if s >= 0.8:
+            near.append((i, j))
+            a, b = find(i), find(j)
+            root[max(a, b)] = min(a, b)
+    rows = [(i, t, "x") for i, t in enumerate(texts)]
+    got = {r.id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string, fp string")).collect()}
+    assert set(got) == set(range(len(texts)))
+    assert len(near) > 60 and any(s < 0.8 and s > 0.6 for s in score.values())
+    assert all(find(i) == find(c) for i, c in got.items())  # none below 0.8 is linked
+    found = [got[i] == got[j] for i, j in near]
+    assert sum(found) >= 0.97 * len(near)
+    assert all(ok for ok, p in zip(found, near, strict=True) if score[p] >= 0.9)
+
+
+def test_large_group_of_near_copies_is_one(spark):
+    import random
+
+    rng = random.Random(5)
+    words = [f"w{rng.randrange(9000)}" for _ in range(400)]
+    rows = []
+    for i in range(1500):
+        other = list(words)
+        other[rng.randrange(400)] = f"copy{i}"
+        rows.append((i, " ".join(other)))
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert [r.doc_id for r in got.collect()] == [0]
+
+
+def test_tables_follow_the_rows():
+    assert simhash.plan(0) == simhash.plan(10**6) == (22, 10)
+    bits, tables = simhash.plan(3 * 10**10)
+    assert bits == 35 and bits <= 48 and tables > 10
+
+
+def test_sketch_of_a_long_text_equals_the_definition():
+    text = " ".join(f"w{i % 9973} v{i % 7}" for i in range(12000))
+    h = simhash._distinct_shingles(text)
+    assert len(h) > 255 * 32 and len(h) == len(slow_shingles(text))
+
+    def mixed(x, part):
+        x ^= 0x9E3779B97F4A7C15 * part % 2**64
+        x = (x ^ x >> 31) * 0xBF58476D1CE4E5B9 % 2**64
+        x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+        return x ^ x >> 31
+
+    for part in (1, 2):
+        xs = [mixed(int(x), part) for x in h]
+        want = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in xs) + (xs[0] >> b & 1) > len(xs))
+        assert int.from_bytes(simhash.sketch(text, 2)[8 * part - 8 : 8 * part], "big") == want
+    assert simhash.sketch("", 3) == bytes(24)
