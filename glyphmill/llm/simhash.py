@@ -290,6 +290,10 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, k].copy().view(np.int64)) for k in (0, 1)], ["a", "b"])
 
 
+def _distance(a: str, b: str):
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+
+
 def similarity(a: str | None, b: str | None) -> float:
     """Jaccard similarity of the texts' different shingles; two texts without words are the same."""
     return _jaccard(_distinct_shingles(a), _distinct_shingles(b))
@@ -313,7 +317,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Texts with equal sketches are one class, and its text of least id stands for it. Classes meet in tables of shorter
     fingerprints, as `plan` has them, within HALF flipped bits each; pairs within REACH of 64 further bits are verified
-    on their whole texts. Null and empty texts are one class. Rows with a null id link nothing and are left out. No rows
+    on their whole texts, but for pairs that other links have joined already. Null and empty texts are one class. Rows with a null id link nothing and are left out. No rows
     give no rows. Other columns of docs are ignored.
     """
     spark = docs.sparkSession
@@ -324,12 +328,21 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     classes = written(fps.groupBy("fp").agg(F.min(F.struct("id", "sketch")).alias("x")).select("fp", "x.id", "x.sketch"), "sketch-classes")
     spread = classes.select("fp", "sketch").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "fp")
     keyed = spread.mapInArrow(_emit_tables(bits, tables), "key long, fp long")
-    found = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_candidates, "a long, b long")
+    found = keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_candidates, "a long, b long")
     pairs = written(found.distinct(), "candidates")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
     texts = written(rows.join(classes.join(nodes, "fp").select("id", "fp"), "id").select("fp", "text"), "candidate-texts")
-    whole = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
-    roots = connected_components(written(whole.mapInArrow(_verified, "a long, b long"), "similar"))
+
+    def verified(some: DataFrame) -> DataFrame:
+        whole = some.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
+        return written(whole.mapInArrow(_verified, "a long, b long"), "similar")
+
+    # first a link of each class to the nearest below it, which joins large groups; then pairs that this leaves apart
+    near = verified(pairs.groupBy("b").agg(F.min(F.struct(_distance("a", "b").alias("far"), "a")).alias("x")).select("x.a", "b"))
+    joined = written(connected_components(near), "joined")
+    roots = pairs.join(joined.toDF("a", "ra"), "a", "left").join(joined.toDF("b", "rb"), "b", "left")
+    apart = roots.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+    roots = connected_components(near.union(verified(apart)))
     placed = written(classes.join(roots, classes.fp == roots.node, "left").select("fp", "id", F.coalesce("component", "fp").alias("root")), "placed")
     tops = placed.groupBy("root").agg(F.min("id").alias("component_id"))
     return fps.select("id", "fp").join(placed.select("fp", "root").join(tops, "root"), "fp").select("id", "component_id")
