@@ -216,7 +216,10 @@ def _distinct_shingles(text: str | None) -> np.ndarray:
 def sketch(text: str | None, parts: int) -> bytes:
     """SimHash of parts * 64 bits over a text's different shingles; ties go to the least shingle's bit, which leaves
     bits of short texts even. No words: zeros."""
-    h = _distinct_shingles(text)
+    return _sketch(_distinct_shingles(text), parts)
+
+
+def _sketch(h: np.ndarray, parts: int) -> bytes:
     if not len(h):
         return bytes(8 * parts)
     salts = (np.arange(1, parts + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
@@ -236,9 +239,11 @@ def sketch(text: str | None, parts: int) -> bytes:
 def _sketched(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sketch(t.as_py(), parts) for t in batch.column(1)]
+            sets = [_distinct_shingles(t.as_py()) for t in batch.column(1)]
+            found = [_sketch(h, parts) for h in sets]
             fps = np.array([int.from_bytes(x[:8], "big") for x in found], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), pa.array([x[8:] for x in found], pa.binary())], ["id", "fp", "sketch"])
+            same = pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), same, pa.array(fps.view(np.int64)), pa.array([x[8:] for x in found], pa.binary())], ["id", "same", "fp", "sketch"])
 
     return run
 
@@ -250,15 +255,16 @@ def _emit_tables(bits: int, tables: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = batch.column(0).to_numpy(zero_copy_only=False)
+            nodes, fps = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             for at in range(0, len(fps), 2048):
                 part = fps[at : at + 2048]
-                raw = b"".join(batch.column(1)[at : at + len(part)].to_pylist())
+                raw = b"".join(batch.column(2)[at : at + len(part)].to_pylist())
                 ones = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(len(part), -1), axis=1)
                 for t in range(tables):
                     own = (ones[:, t * bits : (t + 1) * bits] * weights[None, :]).sum(axis=1, dtype=np.uint64)
                     keys = (own | np.uint64(t << 48))[:, None] ^ flips[None, :]
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(part, len(flips)))], ["key", "fp"])
+                    both = [pa.array(np.repeat(x, len(flips))) for x in (part, nodes[at : at + len(part)])]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), *both], ["key", "fp", "node"])
 
     return run
 
@@ -266,32 +272,31 @@ def _emit_tables(bits: int, tables: int):
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Over rows sorted by key: a key's first row is a hub for the rows within REACH bits of it; rows that aren't surely
     similar to it go on to the next hub. Of a key that goes on in the next batch only the hubs are held."""
-    held_k, held_f = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    held_k, held_f, held_n = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     for batch in batches:
         keys = np.concatenate([held_k, batch.column(0).to_numpy(zero_copy_only=False)])
         fps = np.concatenate([held_f, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)])
+        nodes = np.concatenate([held_n, batch.column(2).to_numpy(zero_copy_only=False)])
         if not len(keys):
             continue
-        last, hubs, a, b = keys[-1], [], [], []
+        last, hubs, a, b, fars = keys[-1], [], [], [], []
         while len(keys):
             first = np.r_[True, keys[1:] != keys[:-1]]
-            hub = fps[np.maximum.accumulate(np.where(first, np.arange(len(keys)), 0))]
-            far = np.bitwise_count(hub ^ fps)
-            close = ~first & (far <= REACH) & (far > 0)
-            a.append(hub[close])
-            b.append(fps[close])
+            hub = np.maximum.accumulate(np.where(first, np.arange(len(keys)), 0))
+            far = np.bitwise_count(fps[hub] ^ fps)
+            close = ~first & (far <= REACH) & (nodes[hub] != nodes)
+            a.append(nodes[hub][close])
+            b.append(nodes[close])
+            fars.append(far[close])
             if keys[-1] == last:
-                hubs.append(hub[-1])
+                hubs.append((fps[hub[-1]], nodes[hub[-1]]))
             rest = ~first & (far > SURE)
-            keys, fps = keys[rest], fps[rest]
-        held_k, held_f = np.full(len(hubs), last), np.array(hubs, np.uint64)
-        a, b = np.concatenate(a), np.concatenate(b)
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, k].copy().view(np.int64)) for k in (0, 1)], ["a", "b"])
-
-
-def _distance(a: str, b: str):
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+            keys, fps, nodes = keys[rest], fps[rest], nodes[rest]
+        held_k = np.full(len(hubs), last)
+        held_f, held_n = np.array([f for f, _ in hubs], np.uint64), np.array([n for _, n in hubs], np.int64)
+        a, b, far = np.concatenate(a), np.concatenate(b), np.concatenate(fars).astype(np.int64)
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b), far], axis=1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, k].copy()) for k in range(3)], ["a", "b", "far"])
 
 
 def similarity(a: str | None, b: str | None) -> float:
@@ -315,37 +320,39 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, component_id of all rows with an id: groups linked by shingles of WORDS words that are similar by SIMILARITY.
 
-    Texts with equal sketches are one class, and its text of least id stands for it. Classes meet in tables of shorter
-    fingerprints, as `plan` has them, within HALF flipped bits each; pairs within REACH of 64 further bits are verified
-    on their whole texts, but for pairs that other links have joined already. Null and empty texts are one class. Rows with a null id link nothing and are left out. No rows
-    give no rows. Other columns of docs are ignored.
+    Texts with equal sets of shingles are one class (by 128 bits over the sorted set), and its text of least id stands
+    for it. Classes meet in tables of shorter fingerprints, as `plan` has them, within HALF flipped bits each; pairs
+    within REACH of 64 further bits are verified on their whole texts, but for pairs that other links have joined
+    already. Null and empty texts are one class. Rows with a null id link nothing and are left out. No rows give no
+    rows. Other columns of docs are ignored.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
     bits, tables = plan(rows.count())
     kind = rows.schema["id"].dataType.simpleString()
-    fps = written(rows.mapInArrow(_sketched(1 + -(-bits * tables // 64)), f"id {kind}, fp long, sketch binary"), "sketches")
-    classes = written(fps.groupBy("fp").agg(F.min(F.struct("id", "sketch")).alias("x")).select("fp", "x.id", "x.sketch"), "sketch-classes")
-    spread = classes.select("fp", "sketch").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "fp")
-    keyed = spread.mapInArrow(_emit_tables(bits, tables), "key long, fp long")
-    found = keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_candidates, "a long, b long")
+    fps = written(rows.mapInArrow(_sketched(1 + -(-bits * tables // 64)), f"id {kind}, same binary, fp long, sketch binary"), "sketches")
+    least = fps.groupBy("same").agg(F.min(F.struct("id", "fp", "sketch")).alias("x"))
+    classes = written(least.select(F.monotonically_increasing_id().alias("node"), "same", "x.*"), "sketch-classes")
+    spread = classes.select("node", "fp", "sketch").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "node")
+    keyed = spread.mapInArrow(_emit_tables(bits, tables), "key long, fp long, node long")
+    found = keyed.repartition("key").sortWithinPartitions("key", "fp", "node").mapInArrow(_candidates, "a long, b long, far long")
     pairs = written(found.distinct(), "candidates")
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    texts = written(rows.join(classes.join(nodes, "fp").select("id", "fp"), "id").select("fp", "text"), "candidate-texts")
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = written(rows.join(classes.join(nodes, "node").select("id", "node"), "id").select("node", "text"), "candidate-texts")
 
     def verified(some: DataFrame) -> DataFrame:
         whole = some.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
         return written(whole.mapInArrow(_verified, "a long, b long"), "similar")
 
     # first a link of each class to the nearest below it, which joins large groups; then pairs that this leaves apart
-    near = verified(pairs.groupBy("b").agg(F.min(F.struct(_distance("a", "b").alias("far"), "a")).alias("x")).select("x.a", "b"))
+    near = verified(pairs.groupBy("b").agg(F.min(F.struct("far", "a")).alias("x")).select("x.a", "b"))
     joined = written(connected_components(near), "joined")
     roots = pairs.join(joined.toDF("a", "ra"), "a", "left").join(joined.toDF("b", "rb"), "b", "left")
     apart = roots.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
     roots = connected_components(near.union(verified(apart)))
-    placed = written(classes.join(roots, classes.fp == roots.node, "left").select("fp", "id", F.coalesce("component", "fp").alias("root")), "placed")
+    placed = written(classes.join(roots, "node", "left").select("same", "id", F.coalesce("component", "node").alias("root")), "placed")
     tops = placed.groupBy("root").agg(F.min("id").alias("component_id"))
-    return fps.select("id", "fp").join(placed.select("fp", "root").join(tops, "root"), "fp").select("id", "component_id")
+    return fps.select("id", "same").join(placed.select("same", "root").join(tops, "root"), "same").select("id", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

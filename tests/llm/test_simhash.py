@@ -169,3 +169,16 @@ def test_sketch_of_a_long_text_equals_the_definition():
         want = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in xs) + (xs[0] >> b & 1) > len(xs))
         assert int.from_bytes(simhash.sketch(text, 2)[8 * part - 8 : 8 * part], "big") == want
     assert simhash.sketch("", 3) == bytes(24)
+
+
+def test_texts_of_equal_sketches_but_different_shingles_stay_apart(spark):
+    import random
+
+    rng = random.Random(11)
+    texts = []
+    for _ in range(20):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(7)]
+        texts += [" ".join(x) for x in (words[:5], words[:6], [*words[:5], words[6]])]  # {a}, {a, b}, {a, c}
+    assert sum(simhash.sketch(texts[i], 4) == simhash.sketch(texts[i + 1], 4) for i in range(0, 60, 3)) > 3
+    got = simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r.id: r.component_id for r in got.collect()} == {i: i for i in range(60)}
