@@ -33,6 +33,10 @@ SEED = 42
 WORDS, SIMILARITY, RECALL, HALF = 5, 0.8, 0.975, 1
 #: Of 64 bits, pairs similar by 0.8 differ in 9.7 on average (deviation 2.9); within SURE bits one link to a hub is enough.
 REACH, SURE = 18, 4
+#: Bits of short texts differ more often: pairs with a text of SHORT shingles or less are found by their shingles instead.
+SHORT = 40
+#: SIMILARITY as a fraction, for whole numbers of shingles.
+_PART, _WHOLE = 4, 5
 _ONE = np.uint64(1)
 _MASKS = [np.uint64((0xFFFF << (16 * m)) ^ 0xFFFFFFFFFFFFFFFF) for m in range(4)]
 _FLIPS = [np.array([0] + [1 << b for b in range(64) if not 16 * m <= b < 16 * m + 16], np.uint64) for m in range(4)]
@@ -236,14 +240,40 @@ def _sketch(h: np.ndarray, parts: int) -> bytes:
     return np.packbits(2 * counts + tie > len(h)).tobytes()
 
 
+def _apart(n: int, m: int) -> int:
+    """How many shingles at most are in one only of two similar sets of n and m."""
+    return n + m - 2 * -(-(n + m) * _PART // (_PART + _WHOLE))
+
+
+def _allowances(n: int) -> list[int]:
+    """What `_apart` gives for a set of n shingles and any different set that can be similar to it."""
+    return sorted({d for m in range(-(-n * _PART // _WHOLE), n * _WHOLE // _PART + 1) if (d := _apart(n, m)) > 0})
+
+
+def _short_keys(h: np.ndarray) -> tuple[np.ndarray, np.uint64]:
+    """Keys of a short set, and a bitmap of it. Two sets at most d apart that share any shingle share the least one
+    among the first d + 1 of both, so each gives a key for it and d; bits 56 and up of a key hold d and a mark."""
+    bitmap = np.bitwise_or.reduce(np.uint64(1) << (h & np.uint64(63))) if len(h) else np.uint64(0)
+    if len(h) * _WHOLE // _PART == len(h) or len(h) > SHORT * _WHOLE // _PART:
+        return np.zeros(0, np.int64), bitmap
+    low = h >> np.uint64(8)
+    keys = [low[: d + 1] | np.uint64(1 << 62 | d << 56) for d in _allowances(len(h))]
+    return np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64), bitmap
+
+
 def _sketched(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [_distinct_shingles(t.as_py()) for t in batch.column(1)]
-            found = [_sketch(h, parts) for h in sets]
+            found = [_sketch(h, parts) if len(h) > SHORT else bytes(8) for h in sets]
             fps = np.array([int.from_bytes(x[:8], "big") for x in found], np.uint64)
             same = pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), same, pa.array(fps.view(np.int64)), pa.array([x[8:] for x in found], pa.binary())], ["id", "same", "fp", "sketch"])
+            short = [_short_keys(h) for h in sets]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), same, pa.array(fps.view(np.int64)), pa.array([x[8:] for x in found], pa.binary()),
+                 pa.array([k for k, _ in short], pa.list_(pa.int64())), pa.array(np.array([m for _, m in short], np.uint64).view(np.int64))],
+                ["id", "same", "fp", "sketch", "short", "bitmap"],
+            )
 
     return run
 
@@ -284,13 +314,13 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first = np.r_[True, keys[1:] != keys[:-1]]
             hub = np.maximum.accumulate(np.where(first, np.arange(len(keys)), 0))
             far = np.bitwise_count(fps[hub] ^ fps)
-            close = ~first & (far <= REACH) & (nodes[hub] != nodes)
+            close = ~first & (far <= np.where(keys >> 62, keys >> 56 & 63, REACH)) & (nodes[hub] != nodes)
             a.append(nodes[hub][close])
             b.append(nodes[close])
             fars.append(far[close])
             if keys[-1] == last:
                 hubs.append((fps[hub[-1]], nodes[hub[-1]]))
-            rest = ~first & (far > SURE)
+            rest = ~first & ((far > SURE) | (keys >> 62 > 0))
             keys, fps, nodes = keys[rest], fps[rest], nodes[rest]
         held_k = np.full(len(hubs), last)
         held_f, held_n = np.array([f for f, _ in hubs], np.uint64), np.array([n for _, n in hubs], np.int64)
@@ -323,18 +353,20 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Texts with equal sets of shingles are one class (by 128 bits over the sorted set), and its text of least id stands
     for it. Classes meet in tables of shorter fingerprints, as `plan` has them, within HALF flipped bits each; pairs
     within REACH of 64 further bits are verified on their whole texts, but for pairs that other links have joined
-    already. Null and empty texts are one class. Rows with a null id link nothing and are left out. No rows give no
+    already. Pairs with a text of SHORT shingles or less meet by shared shingles instead, which loses none. Null and empty texts are one class. Rows with a null id link nothing and are left out. No rows give no
     rows. Other columns of docs are ignored.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
     bits, tables = plan(rows.count())
     kind = rows.schema["id"].dataType.simpleString()
-    fps = written(rows.mapInArrow(_sketched(1 + -(-bits * tables // 64)), f"id {kind}, same binary, fp long, sketch binary"), "sketches")
-    least = fps.groupBy("same").agg(F.min(F.struct("id", "fp", "sketch")).alias("x"))
+    fps = written(rows.mapInArrow(_sketched(1 + -(-bits * tables // 64)), f"id {kind}, same binary, fp long, sketch binary, short array<long>, bitmap long"), "sketches")
+    least = fps.groupBy("same").agg(F.min(F.struct("id", "fp", "sketch", "short", "bitmap")).alias("x"))
     classes = written(least.select(F.monotonically_increasing_id().alias("node"), "same", "x.*"), "sketch-classes")
-    spread = classes.select("node", "fp", "sketch").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "node")
-    keyed = spread.mapInArrow(_emit_tables(bits, tables), "key long, fp long, node long")
+    spread = classes.select("node", "fp", "sketch").where("sketch <> X''").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "node")
+    keyed = spread.mapInArrow(_emit_tables(bits, tables), "key long, fp long, node long").union(
+        classes.select(F.explode("short").alias("key"), F.col("bitmap").alias("fp"), "node")
+    )
     found = keyed.repartition("key").sortWithinPartitions("key", "fp", "node").mapInArrow(_candidates, "a long, b long, far long")
     pairs = written(found.distinct(), "candidates")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()

@@ -182,3 +182,36 @@ def test_texts_of_equal_sketches_but_different_shingles_stay_apart(spark):
     assert sum(simhash.sketch(texts[i], 4) == simhash.sketch(texts[i + 1], 4) for i in range(0, 60, 3)) > 3
     got = simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     assert {r.id: r.component_id for r in got.collect()} == {i: i for i in range(60)}
+
+
+def test_short_near_copies_are_all_found(spark):
+    import random
+
+    rng = random.Random(13)
+    texts = []
+    for _ in range(500):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(5, 64))]
+        more = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(1, max(1, len(words) // 5)))]
+        texts += [" ".join(words), " ".join(more + words if rng.random() < 0.5 else words + more)]
+    want = {(i, i + 1): slow_similarity(texts[i], texts[i + 1]) >= 0.8 for i in range(0, len(texts), 2)}
+    got = {r.id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert sum(want.values()) > 250 and not all(want.values())
+    assert {(i, j): got[i] == got[j] for i, j in want} == want
+
+
+def test_short_keys_reach_every_similar_pair():
+    import random
+
+    import numpy as np
+
+    rng = random.Random(17)
+    for n in range(1, simhash.SHORT + 1):
+        for m in range(n, n * 5 // 4 + 1):
+            for both in range(-(-(n + m) * 4 // 9), n + 1):
+                if both == n == m:
+                    continue
+                pool = np.array([rng.getrandbits(64) for _ in range(n + m - both)], np.uint64)
+                (x, p), (y, q) = (simhash._short_keys(np.sort(h)) for h in (pool[:n], pool[n - both :]))
+                d = (n - both) + (m - both)
+                shared = [int(k) >> 56 & 63 for k in np.intersect1d(x, y)]
+                assert simhash._apart(n, m) in shared and (int(p) ^ int(q)).bit_count() <= d <= simhash._apart(n, m)
