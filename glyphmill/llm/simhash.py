@@ -31,8 +31,8 @@ RADIUS = 3
 SEED = 42
 #: For similar_groups: shingles, similarity, share of the pairs just that similar that the tables find, flipped bits.
 WORDS, SIMILARITY, RECALL, HALF = 5, 0.8, 0.975, 1
-#: Of 64 bits, pairs similar by 0.8 differ in 9.7 on average (deviation 2.9); within SURE bits one link to a hub is enough.
-REACH, SURE = 18, 4
+#: Of 64 bits, pairs similar by 0.8 differ in 9.7 on average (deviation 2.9).
+REACH = 18
 #: Bits of short texts differ more often: pairs with a text of SHORT shingles or less are found by their shingles instead.
 SHORT = 40
 #: SIMILARITY as a fraction, for whole numbers of shingles.
@@ -278,14 +278,14 @@ def _sketched(parts: int):
     return run
 
 
-def _emit_tables(bits: int, tables: int):
-    """Of each table, a class's bits and all variants with one bit flipped."""
+def _emit_tables(bits: int, tables: int, *more: str):
+    """Of each table, a class's bits and all variants with one bit flipped; columns more go along."""
     weights = np.uint64(1) << np.arange(bits, dtype=np.uint64)
     flips = np.r_[np.zeros(1, np.uint64), weights]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, fps = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            nodes, fps, *others = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, *range(3, 3 + len(more))))
             for at in range(0, len(fps), 2048):
                 part = fps[at : at + 2048]
                 raw = b"".join(batch.column(2)[at : at + len(part)].to_pylist())
@@ -293,40 +293,85 @@ def _emit_tables(bits: int, tables: int):
                 for t in range(tables):
                     own = (ones[:, t * bits : (t + 1) * bits] * weights[None, :]).sum(axis=1, dtype=np.uint64)
                     keys = (own | np.uint64(t << 48))[:, None] ^ flips[None, :]
-                    both = [pa.array(np.repeat(x, len(flips))) for x in (part, nodes[at : at + len(part)])]
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), *both], ["key", "fp", "node"])
+                    rest = [pa.array(np.repeat(x[at : at + len(part)], len(flips))) for x in (fps, nodes, *others)]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), *rest], ["key", "fp", "node", *more])
 
     return run
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted by key: a key's first row is a hub for the rows within REACH bits of it; rows that aren't surely
-    similar to it go on to the next hub. Of a key that goes on in the next batch only the hubs are held."""
-    held_k, held_f, held_n = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+def _limits(keys: np.ndarray) -> np.ndarray:
+    """How many bits may differ between rows of a key."""
+    return np.where(keys >> 62, keys >> 56 & 63, REACH)
+
+
+def _pairs(a: list[np.ndarray], b: list[np.ndarray], far: list[np.ndarray]) -> pa.RecordBatch:
+    a, b, far = (np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64) for x in (a, b, far))
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b), far], axis=1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, k].copy()) for k in range(3)], ["a", "b", "far"])
+
+
+def _columns(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [x.to_numpy(zero_copy_only=False) for x in batch.columns]
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over key, fp, node sorted by key: a key's first row with each other that is near enough."""
+    held = [np.zeros(0, np.int64)] * 3
     for batch in batches:
-        keys = np.concatenate([held_k, batch.column(0).to_numpy(zero_copy_only=False)])
-        fps = np.concatenate([held_f, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)])
-        nodes = np.concatenate([held_n, batch.column(2).to_numpy(zero_copy_only=False)])
+        keys, fps, nodes = (np.concatenate(x) for x in zip(held, _columns(batch), strict=True))
         if not len(keys):
             continue
-        last, hubs, a, b, fars = keys[-1], [], [], [], []
-        while len(keys):
-            first = np.r_[True, keys[1:] != keys[:-1]]
-            hub = np.maximum.accumulate(np.where(first, np.arange(len(keys)), 0))
-            far = np.bitwise_count(fps[hub] ^ fps)
-            close = ~first & (far <= np.where(keys >> 62, keys >> 56 & 63, REACH)) & (nodes[hub] != nodes)
-            a.append(nodes[hub][close])
-            b.append(nodes[close])
-            fars.append(far[close])
-            if keys[-1] == last:
-                hubs.append((fps[hub[-1]], nodes[hub[-1]]))
-            rest = ~first & ((far > SURE) | (keys >> 62 > 0))
-            keys, fps, nodes = keys[rest], fps[rest], nodes[rest]
-        held_k = np.full(len(hubs), last)
-        held_f, held_n = np.array([f for f, _ in hubs], np.uint64), np.array([n for _, n in hubs], np.int64)
-        a, b, far = np.concatenate(a), np.concatenate(b), np.concatenate(fars).astype(np.int64)
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b), far], axis=1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, k].copy()) for k in range(3)], ["a", "b", "far"])
+        first = np.r_[True, keys[1:] != keys[:-1]]
+        hub = np.maximum.accumulate(np.where(first, np.arange(len(keys)), 0))
+        far = np.bitwise_count((fps[hub] ^ fps).view(np.uint64))
+        close = (far <= _limits(keys)) & (nodes[hub] != nodes)
+        held = [x[hub[-1:]] for x in (keys, fps, nodes)]
+        yield _pairs([nodes[hub][close]], [nodes[close]], [far[close]])
+
+
+def _crossing(keys: np.ndarray, fps: np.ndarray, nodes: np.ndarray, roots: np.ndarray) -> pa.RecordBatch:
+    """All near enough pairs of whole keys whose rows have different roots. Each row in turn is taken against those
+    after it, a key's largest group last, and a key is done as soon as what is left of it has one root."""
+    a, b, fars, ordered = [], [], [], False
+    while len(keys):
+        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        count = np.diff(np.r_[starts, len(keys)])
+        mixed = np.repeat(np.minimum.reduceat(roots, starts) < np.maximum.reduceat(roots, starts), count)
+        keys, fps, nodes, roots = (x[mixed] for x in (keys, fps, nodes, roots))
+        if not len(keys):
+            break
+        if not ordered:
+            order = np.lexsort((roots, keys))
+            turn = np.flatnonzero(np.r_[True, (keys[order][1:] != keys[order][:-1]) | (roots[order][1:] != roots[order][:-1])])
+            size = np.diff(np.r_[turn, len(keys)])
+            order = order[np.lexsort((np.repeat(size, size), keys[order]))]
+            keys, fps, nodes, roots = (x[order] for x in (keys, fps, nodes, roots))
+            ordered = True
+        first = np.r_[True, keys[1:] != keys[:-1]]
+        hub = np.maximum.accumulate(np.where(first, np.arange(len(keys)), 0))
+        far = np.bitwise_count((fps[hub] ^ fps).view(np.uint64))
+        close = (far <= _limits(keys)) & (roots[hub] != roots)
+        a.append(nodes[hub][close])
+        b.append(nodes[close])
+        fars.append(far[close])
+        keys, fps, nodes, roots = (x[~first] for x in (keys, fps, nodes, roots))
+    return _pairs(a, b, fars)
+
+
+def _crossings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over key, fp, node, root sorted by key: the pairs of `_crossing`. The key at hand is held whole."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        now = _columns(batch)
+        if not len(now[0]):
+            continue
+        cut = np.searchsorted(now[0], now[0][-1])
+        if cut or held and held[0][0][0] != now[0][-1]:
+            yield _crossing(*(np.concatenate(x) for x in zip(*held, [x[:cut] for x in now], strict=True)))
+            held = []
+        held.append([x[cut:] for x in now])
+    if held:
+        yield _crossing(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
 def similarity(a: str | None, b: str | None) -> float:
@@ -353,7 +398,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Texts with equal sets of shingles are one class (by 128 bits over the sorted set), and its text of least id stands
     for it. Classes meet in tables of shorter fingerprints, as `plan` has them, within HALF flipped bits each; pairs
     within REACH of 64 further bits are verified on their whole texts, but for pairs that other links have joined
-    already. Pairs with a text of SHORT shingles or less meet by shared shingles instead, which loses none. Null and empty texts are one class. Rows with a null id link nothing and are left out. No rows give no
+    already; no row leaves a key unverified. Pairs with a text of SHORT shingles or less meet by shared shingles instead, which loses none. Null and empty texts are one class. Rows with a null id link nothing and are left out. No rows give no
     rows. Other columns of docs are ignored.
     """
     spark = docs.sparkSession
@@ -363,25 +408,37 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     fps = written(rows.mapInArrow(_sketched(1 + -(-bits * tables // 64)), f"id {kind}, same binary, fp long, sketch binary, short array<long>, bitmap long"), "sketches")
     least = fps.groupBy("same").agg(F.min(F.struct("id", "fp", "sketch", "short", "bitmap")).alias("x"))
     classes = written(least.select(F.monotonically_increasing_id().alias("node"), "same", "x.*"), "sketch-classes")
-    spread = classes.select("node", "fp", "sketch").where("sketch <> X''").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "node")
-    keyed = spread.mapInArrow(_emit_tables(bits, tables), "key long, fp long, node long").union(
-        classes.select(F.explode("short").alias("key"), F.col("bitmap").alias("fp"), "node")
-    )
-    found = keyed.repartition("key").sortWithinPartitions("key", "fp", "node").mapInArrow(_candidates, "a long, b long, far long")
-    pairs = written(found.distinct(), "candidates")
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = written(rows.join(classes.join(nodes, "node").select("id", "node"), "id").select("node", "text"), "candidate-texts")
+
+    def keyed(some: DataFrame, run, *more: str) -> DataFrame:
+        """Pairs that run finds in the keys of classes, with the columns more."""
+        spread = some.select("node", "fp", "sketch", *more).where("sketch <> X''").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "node")
+        kinds = ", ".join(f"{x} long" for x in ("key", "fp", "node", *more))
+        keys = spread.mapInArrow(_emit_tables(bits, tables, *more), kinds).union(
+            some.select(F.explode("short").alias("key"), F.col("bitmap").alias("fp"), "node", *more)
+        )
+        pairs = keys.repartition("key").sortWithinPartitions("key", "fp", "node").mapInArrow(run, "a long, b long, far long")
+        return pairs.groupBy("a", "b").agg(F.min("far").alias("far"))
 
     def verified(some: DataFrame) -> DataFrame:
+        nodes = some.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        texts = written(rows.join(classes.join(nodes, "node").select("id", "node"), "id").select("node", "text"), "candidate-texts")
         whole = some.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
         return written(whole.mapInArrow(_verified, "a long, b long"), "similar")
 
-    # first a link of each class to the nearest below it, which joins large groups; then pairs that this leaves apart
-    near = verified(pairs.groupBy("b").agg(F.min(F.struct("far", "a")).alias("x")).select("x.a", "b"))
-    joined = written(connected_components(near), "joined")
-    roots = pairs.join(joined.toDF("a", "ra"), "a", "left").join(joined.toDF("b", "rb"), "b", "left")
-    apart = roots.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-    roots = connected_components(near.union(verified(apart)))
+    def linked(pairs: DataFrame, known: DataFrame | None = None) -> DataFrame:
+        """Similar pairs: first of each class and the nearest below it, which joins large groups; then of those still apart."""
+        near = verified(pairs.groupBy("b").agg(F.min(F.struct("far", "a")).alias("x")).select("x.a", "b"))
+        near = near.union(known) if known else near
+        joined = written(connected_components(near), "joined")
+        roots = pairs.join(joined.toDF("a", "ra"), "a", "left").join(joined.toDF("b", "rb"), "b", "left")
+        return near.union(verified(roots.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")))
+
+    # a star in each key joins most groups; then all pairs of the keys that it left in different groups
+    stars = written(keyed(classes, _stars), "candidates")
+    near = written(linked(stars), "star-links")
+    grouped = written(classes.join(connected_components(near), "node", "left").select("node", "fp", "sketch", "short", "bitmap", F.coalesce("component", "node").alias("root")), "grouped")
+    crossing = written(keyed(grouped, _crossings, "root").join(stars, ["a", "b"], "left_anti"), "crossing")
+    roots = connected_components(linked(crossing, near))
     placed = written(classes.join(roots, "node", "left").select("same", "id", F.coalesce("component", "node").alias("root")), "placed")
     tops = placed.groupBy("root").agg(F.min("id").alias("component_id"))
     return fps.select("id", "same").join(placed.select("same", "root").join(tops, "root"), "same").select("id", "component_id")

@@ -215,3 +215,20 @@ def test_short_keys_reach_every_similar_pair():
                 d = (n - both) + (m - both)
                 shared = [int(k) >> 56 & 63 for k in np.intersect1d(x, y)]
                 assert simhash._apart(n, m) in shared and (int(p) ^ int(q)).bit_count() <= d <= simhash._apart(n, m)
+
+
+def test_rows_of_a_key_stay_until_they_are_joined():
+    """x and y are within 4 bits of a hub that isn't similar to them, so their own pair must come, in batches of any size."""
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(19)
+    rows = [(1, 0, 0, 0), (1, 1, 1, 1), (1, 3, 2, 2)]
+    rows += [(k, rng.getrandbits(20), 3 + i, rng.choice([3, 4, 4, 4, 5 + i])) for i, k in enumerate(sorted(rng.choices(range(2, 12), k=90)))]
+    want = {(a[2], b[2]) for a in rows for b in rows if a[2] < b[2] and a[0] == b[0] and a[3] != b[3] and (a[1] ^ b[1]).bit_count() <= simhash.REACH}
+    assert (1, 2) in want
+    for size in (1, 2, 7, 50, 200):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[i : i + size], strict=True)], ["key", "fp", "node", "root"]) for i in range(0, len(rows), size)]
+        got = [(r["a"], r["b"]) for out in simhash._crossings(iter(batches)) for r in out.to_pylist()]
+        assert set(got) == want and len(got) == len(want)
