@@ -1,9 +1,8 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 The vocabulary is what the labelled training documents show to go with a label: terms of at least MIN_DOCS of them
-with a chi-square of CHI2 or more and of PHI2 or more a document (the strength of the link, which does not grow with
-the table as chi-square does), at most VOCABULARY by chi-square. Term counts come from all labelled training
-documents and document frequencies from all documents. The index holds at most EXAMPLES training documents of each
+with a chi-square of CHI2 or more, at most VOCABULARY by chi-square; cosines are over these. Term counts come from all
+labelled training documents and document frequencies from all documents. The index holds at most EXAMPLES training documents of each
 label (a documented bound; the least by hash), with votes weighted so that labels keep their true shares. For a
 document, an upper bound for every block of examples comes from the blocks' largest weights; blocks are scored from
 the best bound down and those that can't reach the K-th best cosine are skipped, so the neighbours are exact. Votes
@@ -23,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-VOCABULARY, EXAMPLES, K, CHI2, PHI2, MIN_DOCS, BLOCK = 4096, 2048, 32, 40.0, 0.005, 4, 64
+VOCABULARY, EXAMPLES, K, CHI2, MIN_DOCS, BLOCK = 4096, 2048, 32, 40.0, 4, 64
 _TERM = re.compile(r"[^\W_]+")
 
 
@@ -65,7 +64,7 @@ def vocabulary(docs: DataFrame, train: DataFrame, id_col: str, text_col: str) ->
     cs, ts = F.lit(float(whole.c)), F.lit(float(whole.t))
     n = cs + ts
     chi2 = n * F.pow(t * (cs - c) - c * (ts - t), 2) / (ts * cs * (t + c) * F.greatest(n - t - c, F.lit(1.0)))
-    best = sums.where("term <> ''").select("term", chi2.alias("x")).where((F.col("x") >= CHI2) & (F.col("x") >= PHI2 * n)).orderBy(F.desc("x"), "term").limit(VOCABULARY)
+    best = sums.where("term <> ''").select("term", chi2.alias("x")).where(F.col("x") >= CHI2).orderBy(F.desc("x"), "term").limit(VOCABULARY)
     return [r.term for r in best.collect()]
 
 

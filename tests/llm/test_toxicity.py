@@ -40,3 +40,10 @@ def test_odd_rows(spark):
     assert toxicity.scores(docs, labels.limit(0)).where("score = 0").count() == 5
     assert toxicity.scores(docs.limit(0), labels).count() == 0
     assert toxicity.reject(docs, labels).columns == docs.columns
+
+
+def test_rare_words_that_labels_prove_are_terms(spark):
+    """60 of 8,000 toxic documents and no clean one hold the word: significant, however weak over the whole table."""
+    docs = spark.range(20000).selectExpr("id as doc_id", "if(id % 2 = 1 and id < 150, 'slur', concat('w', id % 97)) as text")
+    labels = spark.range(20000).selectExpr("id as doc_id", "cast(id % 2 as int) as toxic")
+    assert "slur" in toxicity.vocabulary(docs, toxicity.training(docs, labels), "doc_id", "text")
