@@ -2,8 +2,8 @@
 
 The standard library's parser feeds events; block-level tags cut the text into lines. A line's text-to-tag ratio (its
 text outside links by its tags) is smoothed by a Gaussian over its neighbours, and a threshold between two clusters of
-the smoothed ratios marks content lines. The content region is the smallest container with most of their text; an
-article or main element on the way there is the region itself. Inside it, all lines stay but those of menus, notices,
+the smoothed ratios marks content lines. The content region is the only article or main element with text if it holds
+most of theirs, else the smallest container with all of it; an article or main element on the way is the region itself. Inside it, all lines stay but those of menus, notices,
 forms, comments and the like, which elements, roles, hidden marks and words in class or id tell.
 """
 
@@ -178,25 +178,31 @@ def main_text(html: str | None) -> str:
     own = [max(0, len(t) - linked) for t, _, _, linked, _ in lines]
     ratio = smoothed_ratios(own, [tags for _, _, tags, _, _ in lines])
     content = ratio >= cluster_threshold(ratio)
-    # the text of content lines under each container
+    # the text of content lines under each container, and of all lines
     mass: dict[_Node, float] = {}
+    every: dict[_Node, int] = {}
     for k, (_, node, _, _, _) in enumerate(lines):
         up = node
         while up:
             mass[up] = mass.get(up, 0.0) + (own[k] if content[k] else 0)
+            every[up] = every.get(up, 0) + own[k]
             up = up.parent
     root = region = next(n for n in mass if n.parent is None)
     inner: dict[_Node, list[_Node]] = {}
     for n in mass:
         if n.parent:
             inner.setdefault(n.parent, []).append(n)
+    named = [n for n in mass if n.tag in ("article", "main") and not n.parent.inside]
+    if len(named) == 1 and mass[root] and mass[named[0]] >= 0.75 * mass[root]:
+        region = named[0]
     while True:
-        best = max(inner.get(region, ()), key=lambda n: mass[n], default=None)
-        if best is None or best.tag not in CONTAINERS or mass[best] < 0.75 * mass[root] or not mass[root]:
+        best = max(inner.get(region, ()), key=lambda n: every[n], default=None)
+        # of main only an article with all of its text outside links is taken; elsewhere, too, all of it must lie in the child
+        if best is None or best.tag not in CONTAINERS or every[best] < every[region] or not mass[root]:
             break
-        region = best
-        if region.tag == "article":
+        if region.tag == "article" or region.tag == "main" and best.tag != "article":
             break
+        region = best
     within = []
     for _, node, _, _, _ in lines:
         up = node

@@ -42,3 +42,14 @@ def test_odd_rows(spark):
     got = sorted(((r.page_id, r.text[:12], r.n_chars) for r in extract(pages).collect()), key=str)
     assert got == sorted([(1, "", 0), (2, "", 0), (None, "a", 1), (3, "long long lo", 249999), (3, "just text &a", 13)], key=str)
     assert extract(pages.limit(0)).count() == 0
+
+
+def test_articles_in_parts_stay_whole():
+    long, short = ("Many words of the first part, which is long. " * 20).strip(), ("Words of the second part. " * 9).strip()
+    for page in (
+        f"<body><main><section><p>{long}</p></section><section><p>{short}</p></section></main></body>",
+        f"<body><div><p>{long}</p></div><div><p>{short}</p></div></body>",
+        f"<body><article><p>{long}</p></article><article><p>{short}</p></article></body>",
+        f"<body><nav>Home</nav><article><section><p>{long}</p></section><section><p>{short}</p></section></article><footer>c</footer></body>",
+    ):
+        assert main_text(page) == f"{long}\n{short}", page
