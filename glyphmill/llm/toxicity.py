@@ -1,10 +1,10 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 The vocabulary is what the labelled training documents show to go with a label: terms of at least MIN_DOCS of them
-with a chi-square of CHI2 or more, at most VOCABULARY by chi-square; cosines are over these. Term counts come from all
-labelled training documents and document frequencies from all documents. The index holds at most EXAMPLES training documents of each
-label (a documented bound; the least by hash), with votes weighted so that labels keep their true shares. For a
-document, an upper bound for every block of examples comes from the blocks' largest weights; blocks are scored from
+with a chi-square of CHI2 or more, at most VOCABULARY by chi-square; cosines are over these. Training documents are the
+different texts of each label, so a group of copies counts once. Term counts come from all of them and document
+frequencies from all documents. The index holds at most EXAMPLES training documents of each label (a documented bound;
+the least by hash), with votes weighted so that labels keep their true shares. For a document, an upper bound for every block of examples comes from the blocks' largest weights; blocks are scored from
 the best bound down and those that can't reach the K-th best cosine are skipped, so the neighbours are exact. Votes
 weigh by squared cosine and are calibrated by isotonic steps over leave-one-out scores of the examples.
 """
@@ -16,13 +16,15 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import written
 
-VOCABULARY, EXAMPLES, K, CHI2, MIN_DOCS, BLOCK = 4096, 2048, 32, 40.0, 4, 64
+VOCABULARY, EXAMPLES, K, CHI2, MIN_DOCS, BLOCK = 1 << 15, 4096, 32, 40.0, 4, 64
 _TERM = re.compile(r"[^\W_]+")
 
 
@@ -40,6 +42,16 @@ def training(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> Data
     return good.groupBy(F.col(id_col).alias("id")).agg(F.max("toxic").cast("int").alias("toxic"))
 
 
+def different(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """train without all but the least id of each text and label: copies are no evidence of their own.
+
+    Only ids and hashes of texts move, and a group of copies of any size combines before the shuffle.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    named = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")).where(F.col("id").isNotNull() & ~held_out("id"))
+    return named.join(train, "id").groupBy("h1", "h2", "toxic").agg(F.min("id").alias("id")).select("id", "toxic")
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents with each term, all and toxic, by batch; the empty term counts documents."""
     for batch in batches:
@@ -55,7 +67,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def vocabulary(docs: DataFrame, train: DataFrame, id_col: str, text_col: str) -> list[str]:
     """The terms that go with a label, best first; VOCABULARY at most, so the driver gets a bounded list."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull() & ~held_out("id"))
-    counts = rows.join(train.hint("merge"), "id").select("text", "toxic").mapInArrow(_count, "term string, clean long, toxic long")
+    counts = rows.join(train, "id").select("text", "toxic").mapInArrow(_count, "term string, clean long, toxic long")
     sums = written(counts.groupBy("term").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t")).where(F.col("c") + F.col("t") >= MIN_DOCS), "terms")
     whole = sums.where("term = ''").first()
     if whole is None or not whole.c or not whole.t:
@@ -68,19 +80,34 @@ def vocabulary(docs: DataFrame, train: DataFrame, id_col: str, text_col: str) ->
     return [r.term for r in best.collect()]
 
 
-def _features(terms: list[str]):
+def _features(terms: list[str], n_carried: int):
+    """Over n_carried columns and the text: the columns as they are, places of the text's terms and how often they occur."""
     place = {t: i for i, t in enumerate(terms)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = place.get
         for batch in batches:
             ids, tfs = [], []
-            for text in batch.column(1):
+            for text in batch.column("text"):
                 count = Counter(map(find, _terms(text.as_py())))
                 count.pop(None, None)
                 ids.append(sorted(count))
                 tfs.append([count[i] for i in ids[-1]])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(tfs, pa.list_(pa.int32()))], ["id", "terms", "tfs"])
+            names = batch.schema.names[:n_carried]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n_carried], pa.array(ids, pa.list_(pa.int32())), pa.array(tfs, pa.list_(pa.int32()))], [*names, "terms", "tfs"])
+
+    return run
+
+
+def _frequencies(n_terms: int):
+    """Documents with each term, one row per term and task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(n_terms, np.int64)
+        for batch in batches:
+            n += np.bincount(batch.column(0).flatten().to_numpy(zero_copy_only=False), minlength=n_terms).astype(np.int64)
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n[some])], ["term", "n"])
 
     return run
 
@@ -179,23 +206,36 @@ class Model:
         return float(self.steps[1][max(at, 0)]), near
 
 
-def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id, held_out, score, predicted, evidence (the three nearest examples: id, toxic, cosine).
+def _remembering(model: Model):
+    """model.score that works out equal vectors once; a bound on memory, without effect on results."""
+    seen: dict[tuple, tuple] = {}
 
-    Only texts bear on scores. Null and empty texts, and texts without a term of the vocabulary, get the share of toxic
-    documents among training documents without such terms; without usable labels every score is zero. Repeated rows
-    get equal scores; a null id is never a training example and isn't held out unless the empty text's remainder is 0.
-    Other columns are ignored.
-    """
-    train = written(training(docs, labels, id_col), "training")
+    def score(terms, tfs) -> tuple[float, list]:
+        key = (*terms, -1, *tfs)
+        if key not in seen:
+            if len(seen) > 50_000:
+                seen.clear()
+            seen[key] = model.score(terms, tfs)
+        return seen[key]
+
+    return score
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, keep: bool):
+    """The model as a broadcast variable, and a written table of doc (the columns of docs but the text; the id alone
+    unless keep is set), text (if keep is set), terms and tfs of every row."""
+    spark = docs.sparkSession
+    train = written(different(docs, training(docs, labels, id_col), id_col, text_col), "training")
     terms = vocabulary(docs, train, id_col, text_col)
-    kind = docs.schema[id_col].dataType.simpleString()
-    shared_terms = _features(terms)
-    rows = written(docs.select(F.col(id_col), F.col(text_col)).mapInArrow(shared_terms, f"id {kind}, terms array<int>, tfs array<int>"), "features")
+    others = [c for c in docs.columns if c != text_col] if keep else [id_col]
+    slim = docs.select(F.struct(*others).alias("doc"), F.col(text_col).alias("text"))
+    carried = slim.columns if keep else ["doc"]
+    kinds = T.StructType(slim.select(*carried).schema.fields).add("terms", T.ArrayType(T.IntegerType())).add("tfs", T.ArrayType(T.IntegerType()))
+    rows = written(slim.mapInArrow(_features(terms, len(carried)), kinds), "features")
     total = rows.count()
-    df = {r.term: r.n for r in rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()}
+    df = {r.term: r.n for r in rows.select("terms").mapInArrow(_frequencies(len(terms)), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
     idf = np.log((1 + total) / (1 + np.array([df.get(i, 0) for i in range(len(terms))]))) + 1
-    labelled = rows.join(train, "id")
+    labelled = written(rows.select(F.col("doc")[id_col].alias("id"), "terms", "tfs").join(train, "id"), "labelled")
     tally = {(r.toxic, r.some): r.n for r in labelled.groupBy("toxic", (F.size("terms") > 0).alias("some")).agg(F.count("*").alias("n")).collect()}
     bare = [tally.get((y, False), 0) for y in (0, 1)]
     every = sum(tally.values())
@@ -206,29 +246,42 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         own = labelled.where((F.col("toxic") == y) & (F.size("terms") > 0)).orderBy(F.xxhash64("id"), "id").limit(EXAMPLES).collect()
         picked += own
         shares[y] = max(1.0, tally.get((y, True), 0) / max(1, len(own)))
-    model = docs.sparkSession.sparkContext.broadcast(Model(terms, idf, picked, shares, empty))
+    return spark.sparkContext.broadcast(Model(terms, idf, picked, shares, empty)), rows
+
+
+def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: id, held_out, score, predicted, evidence (the three nearest examples: id, toxic, cosine).
+
+    Only texts bear on scores. Null and empty texts, and texts without a term of the vocabulary, get the share of toxic
+    documents among training documents without such terms; without usable labels every score is zero. Equal texts of
+    one label are one training document. Repeated rows get equal scores; a null id is never a training example and
+    isn't held out unless the empty text's remainder is 0. Other columns are ignored.
+    """
+    model, rows = fit(docs, labels, id_col, text_col, keep=False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = model.value
-        seen: dict[tuple, tuple] = {}
+        score = _remembering(model.value)
+        near = pa.list_(pa.struct([("id", pa.string()), ("toxic", pa.int32()), ("cosine", pa.float64())]))
         for batch in batches:
-            out = []
-            for t, f in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                key = (*t, -1, *f)
-                if key not in seen:
-                    if len(seen) > 50_000:
-                        seen.clear()
-                    seen[key] = known.score(t, f)
-                out.append(seen[key])
-            near = pa.list_(pa.struct([("id", pa.string()), ("toxic", pa.int32()), ("cosine", pa.float64())]))
+            out = [score(t, f) for t, f in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             evidence = [[e | {"id": str(e["id"])} for e in x[1]] for x in out]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in out], pa.float64()), pa.array(evidence, near)], ["id", "score", "evidence"])
 
-    scored = rows.mapInArrow(run, f"id {kind}, score double, evidence array<struct<id:string,toxic:int,cosine:double>>")
+    kind = docs.schema[id_col].dataType.simpleString()
+    scored = rows.select(F.col("doc")[id_col].alias("id"), "terms", "tfs").mapInArrow(run, f"id {kind}, score double, evidence array<struct<id:string,toxic:int,cosine:double>>")
     return scored.select("id", held_out("id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 
 def reject(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows whose id has a row predicted toxic; a prediction without an id rejects nothing, so null ids stay."""
-    bad = scores(docs, labels, id_col, text_col).where("predicted = 1").select(F.col("id").alias(id_col)).distinct()
-    return docs.join(bad, id_col, "left_anti").select(*docs.columns)
+    """docs without the rows that are predicted toxic. Every row is judged by its own text, so null and repeated ids are
+    no special case, and no row moves: the features are written beside the row and the score filters it."""
+    model, rows = fit(docs, labels, id_col, text_col, keep=True)
+
+    @F.pandas_udf("double")
+    def score(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        one = _remembering(model.value)
+        for terms, tfs in parts:
+            yield pd.Series([one(t.tolist(), f.tolist())[0] for t, f in zip(terms, tfs, strict=True)], dtype="float64")
+
+    good = rows.where(score("terms", "tfs") < 0.5)
+    return good.select(*[(F.col("text") if c == text_col else F.col("doc")[c]).alias(c) for c in docs.columns])
