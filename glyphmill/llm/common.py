@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: Code points that the contracts treat as white space: [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
+TASK_BYTES = 128 << 20
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -36,6 +37,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, rows: int, row_bytes: int, *keys) -> DataFrame:
+    """df in as many partitions as rows of row_bytes need at TASK_BYTES each, and in the session's number at least.
+
+    A number of its own keeps the planner from merging what grows in the next step. Without keys, rows are dealt in turn.
+    """
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, -(-rows * row_bytes // TASK_BYTES)), *keys)
+
+
 def ascii_lower(col):
     """Lower-cases A-Z only."""
     return F.translate(col, UPPER, UPPER.lower())

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dealt, written
 from .components import connected_components
 from .decontaminate import shingle_hashes, word_hashes
 
@@ -174,11 +174,15 @@ def _collide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def links(classes: DataFrame) -> DataFrame:
-    """classes: fp (distinct). Returns a, b: links within the radius that reach all fingerprints which any links reach."""
-    # dealt out anew, as a small table of classes would stand in a few partitions and its variants are 196 times as many
-    spread = classes.select("fp").repartition(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
-    keyed = spread.mapInArrow(_emit, "key long, fp long")
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_collide, "a long, b long")
+    """classes: fp (distinct). Returns a, b: links within the radius that reach all fingerprints which any links reach.
+
+    A class gives 196 rows, so classes are dealt out by a hash of their own: an aggregate by fp before this is no reason
+    to leave them in the few partitions that it was merged to.
+    """
+    n = classes.count()
+    spread = dealt(classes.select("fp"), n, 196 * 16, F.xxhash64("fp"))
+    keyed = dealt(spread.mapInArrow(_emit, "key long, fp long"), n, 196 * 16, "key")
+    return keyed.sortWithinPartitions("key").mapInArrow(_collide, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -188,7 +192,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     null and takes the component of its class. No rows give no rows. Other columns of docs are ignored.
     """
     fps = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    classes = fps.groupBy("fp").agg(F.min("id").alias("least"))
+    classes = written(fps.groupBy("fp").agg(F.min("id").alias("least")), "fingerprint-classes")
     roots = connected_components(links(classes))
     placed = classes.join(roots, classes.fp == roots.node, "left").select(
         "fp", "least", F.coalesce("component", "fp").alias("root")

@@ -3,8 +3,8 @@
 Records are range-sorted by page_id. Shard bounds come from a histogram of payload bytes over the id range, of which
 buckets that are too large are cut further (a bounded number of counts reaches the driver, as the number of shards is
 bounded), so equal tables give equal shards, and equal files byte by byte. A task writes its
-shards in order, rolls a file when its compressed size is reached, writes under a temporary name and renames it to
-its final one, so a repeated attempt replaces a file by the same bytes. The manifest lists the files that count and is
+shards in order, rolls a file when its compressed size is reached, writes under a name of its attempt in a staging
+folder and renames it to its final one, so a repeated attempt puts the same bytes there. The manifest lists the files that count and is
 committed last, by one rename; a folder without it is unfinished and never read.
 
 Files are opened through pyarrow's file systems by URI, as Spark has no writer of binary files.
@@ -27,7 +27,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import commit, exists, scratch, written
+from .common import TASK_BYTES, commit, exists, remove, scratch, written
 
 #: Bits of the first histogram over ids, and by which a bucket that is too large is cut; shards in all, about.
 BUCKET_BITS, FAN_BITS, MAX_SHARDS = 12, 5, 1 << 15
@@ -126,10 +126,14 @@ def _zipped(record: bytes) -> bytes:
 
 
 class _File:
-    def __init__(self, root: str, name: str, date: str):
-        self.system, folder = fs.FileSystem.from_uri(root)
-        self.system.create_dir(folder, recursive=True)
-        self.name, self.final, self.staged = name, f"{folder}/{name}", f"{folder}/.{name}.{uuid.uuid4().hex}"
+    """An archive file under a name of its attempt in the staging folder, moved to its final name when it is whole."""
+
+    def __init__(self, root: str, staging: str, name: str, date: str):
+        self.system, folder = fs.FileSystem.from_uri(f"{root}/archive")
+        _, aside = fs.FileSystem.from_uri(f"{root}/{staging}")
+        for where in (folder, aside):
+            self.system.create_dir(where, recursive=True)
+        self.name, self.final, self.staged = name, f"{folder}/{name}", f"{aside}/{name}.{uuid.uuid4().hex}"
         self.out, self.hash, self.bytes, self.records = self.system.open_output_stream(self.staged, compression=None), hashlib.sha256(), 0, 0
         self._put(_record("warcinfo", f"<urn:file:{name}>", [("WARC-Filename", name), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n", date))
 
@@ -145,7 +149,11 @@ class _File:
 
     def close(self, shard: int) -> tuple:
         self.out.close()
-        self.system.move(self.staged, self.final)
+        try:
+            self.system.move(self.staged, self.final)
+        except OSError:  # some stores don't replace: an attempt before this one has put the same bytes there
+            if self.system.get_file_info(self.final).size != self.bytes:
+                raise
         return shard, self.name, self.bytes, self.records, self.hash.hexdigest()
 
 
@@ -158,6 +166,7 @@ def write(pages: DataFrame, root: str, shard_bytes: int = SHARD_BYTES, file_byte
     spark = pages.sparkSession
     if exists(spark, f"{root}/manifest"):
         raise FileExistsError(f"{root} has been written")
+    staging = f"_staging-{uuid.uuid4().hex}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: list[tuple] = []
@@ -170,7 +179,7 @@ def write(pages: DataFrame, root: str, shard_bytes: int = SHARD_BYTES, file_byte
                 if shard != at:
                     at, seq = shard, 0
                 if file is None:
-                    file, seq = _File(f"{root}/archive", f"pages-{shard:06d}-{seq:05d}.warc.gz", date), seq + 1
+                    file, seq = _File(root, staging, f"pages-{shard:06d}-{seq:05d}.warc.gz", date), seq + 1
                 file.add(_page(*page, date))
         if file:
             done.append(file.close(at))
@@ -178,9 +187,10 @@ def write(pages: DataFrame, root: str, shard_bytes: int = SHARD_BYTES, file_byte
             yield pa.RecordBatch.from_pylist([dict(zip(("shard", "file", "bytes", "records", "sha256"), row, strict=True))], schema=pa.schema([("shard", pa.int32()), ("file", pa.string()), ("bytes", pa.int64()), ("records", pa.int64()), ("sha256", pa.string())]))
 
     rows = sharded(planned(pages), pages, shard_bytes).select("shard", "page_id", "url", "payload", "size", "digest", "refers_to")
-    dealt = rows.repartitionByRange("shard").sortWithinPartitions("shard", "page_id", "url", "digest")
+    in_order = rows.repartitionByRange("shard").sortWithinPartitions("shard", "page_id", "url", "digest")
     staged = scratch(spark, "manifest")
-    dealt.mapInArrow(run, _MANIFEST).write.parquet(staged)
+    in_order.mapInArrow(run, _MANIFEST).write.parquet(staged)
+    remove(spark, f"{root}/{staging}")  # what dead attempts left
     if not commit(spark, staged, f"{root}/manifest"):
         raise FileExistsError(f"{root} has been written")
     return spark.read.schema(_MANIFEST).parquet(f"{root}/manifest")
@@ -236,7 +246,12 @@ def read(spark: SparkSession, root: str, with_payload: bool = False) -> DataFram
                 yield _batch(rows)
 
     kind = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
-    return spark.read.schema(_MANIFEST).parquet(f"{root}/manifest").select("file").repartition("file").mapInArrow(run, kind)
+    listed = spark.read.schema(_MANIFEST).parquet(f"{root}/manifest")
+    whole = listed.agg(F.count("*").alias("files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
+    # the manifest is small whatever the archive's size, so its rows are dealt by the bytes that they stand for
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(1, min(whole.files, max(least, -(-whole.bytes // TASK_BYTES))))
+    return listed.select("file").repartition(tasks).mapInArrow(run, kind)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
