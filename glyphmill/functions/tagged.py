@@ -8,23 +8,34 @@ from pyspark.sql import functions as F
 KINDS = ("description", "table")
 #: The white space that may stand around a tag pair or a cell.
 BLANK = r"[\x20\x09-\x0D]"
+BLANKS = " \t\n\x0b\x0c\r"
 TOKEN = r"[\p{L}\p{N}]+"
 
 
-def _pair(kind: str) -> str:
-    return rf"(?s)\A{BLANK}*<{kind}>(.*)</{kind}>{BLANK}*\z"
+def _trimmed(raw: Column) -> Column:
+    return F.trim(raw, F.lit(BLANKS))
+
+
+def _is(text: Column, kind: str) -> Column:
+    """Whether a trimmed text is one pair of that kind's tags, without a second closing tag."""
+    open_, close = f"<{kind}>", f"</{kind}>"
+    return F.startswith(text, F.lit(open_)) & F.endswith(text, F.lit(close)) & (F.instr(text, close) == F.char_length(text) - len(close) + 1)
+
+
+def _body(text: Column, kind: str) -> Column:
+    return F.substring(text, F.lit(len(kind) + 3), F.char_length(text) - (2 * len(kind) + 5))
 
 
 def content_of(raw: Column, kind: str) -> Column:
     """The content, byte for byte, if raw is exactly one pair of that kind's tags, else null."""
-    body = F.regexp_extract(raw, _pair(kind), 1)
-    return F.when(F.regexp_like(raw, F.lit(_pair(kind))) & ~F.contains(body, F.lit(f"</{kind}>")), body)
+    text = _trimmed(raw)
+    return F.when(_is(text, kind), _body(text, kind))
 
 
 def kind_of(raw: Column) -> Column:
-    out = F.lit(None).cast("string")
+    text, out = _trimmed(raw), F.lit(None).cast("string")
     for kind in KINDS:
-        out = F.when(content_of(raw, kind).isNotNull(), kind).otherwise(out)
+        out = F.when(_is(text, kind), kind).otherwise(out)
     return out
 
 
@@ -40,3 +51,13 @@ def is_delimiter(line: Column) -> Column:
 
 def terms_of(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), 0)
+
+
+def term_counts(tokens: str) -> Column:
+    """term, tf of each different term of a column of sorted tokens; where a term begins and the next one does tell its count."""
+    all_ = F.col(tokens)
+    begins = lambda i: (i == 0) | (F.get(all_, i) != F.get(all_, i - 1))
+    starts = F.filter(F.sequence(F.lit(0), F.size(all_) - 1), begins)
+    ends = F.concat(F.slice(starts, 2, F.size(starts)), F.array(F.size(all_)))
+    counts = F.transform(F.arrays_zip(starts.alias("s"), ends.alias("e")), lambda x: F.struct(F.get(all_, x["s"]).alias("term"), (x["e"] - x["s"]).cast("long").alias("tf")))
+    return F.when(F.size(all_) > 0, counts).otherwise(F.array().cast("array<struct<term:string,tf:bigint>>"))

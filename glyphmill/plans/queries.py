@@ -7,7 +7,6 @@ The tables hold no model output, so tagged strings, Markdown tables and small im
 from __future__ import annotations
 
 import struct
-import uuid
 import zlib
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,8 +16,13 @@ from ..functions.tagged import BLANK, TOKEN
 from ..operators import results as parsing
 from ..operators import search, tables
 from ..sources import images
+from ..sources.index import StoredIndex
+from ..sources.store import exists, scratch
+from . import flow
 
 TERMS = ["the", "and"]
+#: Indexes that this application has written, by input folder: the searches share one.
+_indexes: dict[tuple[str, str], str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +69,31 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.index_docs(native_text(spark, sf_dir), regions(spark, sf_dir), parsing.parse_tagged(raw_outputs(spark, sf_dir)))
 
 
+def index(spark: SparkSession, sf_dir: str) -> StoredIndex:
+    """The stored index of `entries`; written on first use."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _indexes or not exists(spark, f"{_indexes[key]}/stats"):
+        root = scratch(spark, "index")
+        StoredIndex(spark, root).add(entries(spark, sf_dir), "all")
+        _indexes[key] = root
+    return StoredIndex(spark, _indexes[key])
+
+
+def indexed_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as documents with readable text and grey images as visual ones, all the way into a stored index and out of it.
+
+    Every seventh image's region has a box beside the image, of which nothing comes.
+    """
+    pages = table(spark, sf_dir, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("source_id"), F.lit("text/html").alias("media_type"), F.encode("html", "utf-8").alias("content"))
+    grey = grey_images(spark, sf_dir).withColumn("vec_id", F.col("region_id").cast("long"))
+    scans = grey.select(F.concat(F.lit("v"), "region_id").alias("source_id"), F.lit("image/png").alias("media_type"), "image")
+    x = F.when(F.col("vec_id") % 7 == 0, F.lit(99)).otherwise(F.col("bbox.x"))
+    boxes = grey.select(F.concat(F.lit("b"), "region_id").alias("region_id"), F.concat(F.lit("v"), "region_id").alias("source_id"), F.lit(0).alias("page_no"), F.struct(x.alias("x"), "bbox.y", "bbox.w", "bbox.h").alias("bbox"))
+    stored = StoredIndex(spark, scratch(spark, "flow"))
+    flow.ingest(pages, scans, boxes, flow.plain_pages, images.brightness_backend, stored, "all")
+    return stored.entries().select("entry_id", "source_id", "region_id", "page_no", "channel", F.char_length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def _tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsing.parse_tagged(raw_tables(spark, sf_dir))
 
@@ -88,8 +117,7 @@ def png(width: int, height: int, grey: bytes) -> bytes:
 
 def read_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PNG files of the images above, written by tasks to the shared folder and read back."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp"
-    root = f"{base.rstrip('/')}/images-{uuid.uuid4().hex}"
+    root = scratch(spark, "images")
 
     def write(batches):
         import pyarrow as pa
@@ -120,12 +148,14 @@ def queries() -> dict:
         "render_table": lambda s, d: tables.render_table(tables.table_rows_normalized(_tables(s, d))),
         "index_docs": entries,
         "postings": lambda s, d: search.postings(entries(s, d)),
-        "search_topk": lambda s, d: search.search_topk(entries(s, d), TERMS, 10),
-        "search_with_source": lambda s, d: search.search_with_source(entries(s, d), sources(s, d), TERMS, 10),
-        "search_tables_in_context": lambda s, d: search.search_tables_in_context(entries(s, d), TERMS, 10),
-        "best_per_channel": lambda s, d: search.best_per_channel(entries(s, d), TERMS, 5),
+        "search_topk": lambda s, d: search.search_topk(index(s, d), TERMS, 10),
+        "search_with_source": lambda s, d: search.search_with_source(index(s, d), sources(s, d), TERMS, 10),
+        "search_tables_in_context": lambda s, d: search.search_tables_in_context(index(s, d), TERMS, 10),
+        "best_per_channel": lambda s, d: search.best_per_channel(index(s, d), TERMS, 5),
         "crop_regions": lambda s, d: images.crop_regions(grey_images(s, d)).select("region_id", "image.width", "image.height", F.hex("image.data").alias("pixels")),
         "infer_stub": lambda s, d: parsing.parse_tagged(images.infer(grey_images(s, d), images.unread_backend)),
+        "infer_brightness": lambda s, d: parsing.parse_tagged(images.infer(grey_images(s, d), images.brightness_backend)),
+        "indexed_flow": indexed_flow,
         "read_images": read_images,
         "route": lambda s, d: images.route(table(s, d, "pages").select(F.col("page_id").cast("string").alias("source_id"), F.when(F.col("page_id") % 3 == 0, "text/html").when(F.col("page_id") % 3 == 1, "image/png").alias("media_type"))),
     }
@@ -169,6 +199,11 @@ def oracle_sql() -> dict[str, str]:
     index = f"{parsed}, {_INDEX}"
     top = "top AS (SELECT entry_id, score FROM b ORDER BY score DESC, entry_id LIMIT 10)"
     pixel = lambda x: f"printf('%02X', CAST(least(greatest(floor((CAST({x} AS DOUBLE) + 1) * 127), 0), 255) AS INTEGER))"
+    value = lambda x: f"CAST(least(greatest(floor((CAST({x} AS DOUBLE) + 1) * 127), 0), 255) AS INTEGER)"
+    data = f"array_to_string(list_transform(embedding[1:64], lambda x: {pixel('x')}), '')"
+    bytes_ = f"list_transform(embedding[1:64], lambda x: {value('x')})"
+    box = f"list_transform([27, 28, 29, 35, 36, 37, 43, 44, 45, 51, 52, 53], lambda i: {value('embedding[i]')})"
+    said = lambda n, of: f"printf('image of %d x %d, grey level %d of 255, from %d to %d', {8 if n == 64 else 3}, {8 if n == 64 else 4}, CAST(list_sum({of}) // {n} AS INTEGER), list_min({of}), list_max({of}))"
     return {
         "parse_tagged": f"{parsed} SELECT * FROM results",
         "parse_rejects": f"{parsed} SELECT region_id, raw, CASE WHEN raw IS NULL THEN 'null' ELSE 'not one tag pair' END AS reason FROM tagged WHERE kind IS NULL",
@@ -186,5 +221,11 @@ def oracle_sql() -> dict[str, str]:
         "best_per_channel": f"{index}, {_bm25('e', 'b')}, r AS (SELECT channel, CAST(row_number() OVER (PARTITION BY channel ORDER BY score DESC, entry_id) AS INTEGER) AS rank, entry_id, score FROM b JOIN e USING (entry_id)) SELECT * FROM r WHERE rank <= 5",
         "crop_regions": f"SELECT CAST(vec_id AS VARCHAR) AS region_id, 3 AS width, 4 AS height, array_to_string(list_transform([27, 28, 29, 35, 36, 37, 43, 44, 45, 51, 52, 53], lambda i: {pixel('embedding[i]')}), '') AS pixels FROM embeddings WHERE len(embedding) >= 64",
         "infer_stub": "SELECT CAST(vec_id AS VARCHAR) AS region_id, 'description' AS kind, 'unread image of 8 x 8' AS content, false AS verified FROM embeddings WHERE len(embedding) >= 64",
+        "read_images": f"SELECT CAST(vec_id AS VARCHAR) AS region_id, 8 AS width, 8 AS height, true AS valid, sha256(unhex({data})) AS pixels_sha256 FROM embeddings WHERE len(embedding) >= 64",
+        "infer_brightness": f"SELECT CAST(vec_id AS VARCHAR) AS region_id, 'description' AS kind, {said(64, bytes_)} AS content, false AS verified FROM embeddings WHERE len(embedding) >= 64",
+        "indexed_flow": f"""WITH t AS (
+          SELECT 'n:p' || page_id || ':0' AS entry_id, 'p' || page_id AS source_id, CAST(NULL AS VARCHAR) AS region_id, 0 AS page_no, 'native' AS channel, coalesce(html, '') AS text FROM pages WHERE html IS NOT NULL
+          UNION ALL SELECT 'r:b' || vec_id, 'v' || vec_id, 'b' || vec_id, 0, 'description', {said(12, box)} FROM embeddings WHERE len(embedding) >= 64 AND vec_id % 7 <> 0)
+          SELECT entry_id, source_id, region_id, page_no, channel, CAST(length(text) AS BIGINT) AS n_chars, sha256(text) AS text_sha256 FROM t""",
         "route": "SELECT CAST(page_id AS VARCHAR) AS source_id, CASE page_id % 3 WHEN 0 THEN 'text/html' WHEN 1 THEN 'image/png' END AS media_type, CASE page_id % 3 WHEN 0 THEN 'native' WHEN 1 THEN 'visual' ELSE 'unknown' END AS route FROM pages",
     }

@@ -1,4 +1,4 @@
-"""Streams of raw outputs into results and rejects."""
+"""Streams of raw outputs into results and rejects, and into a stored index."""
 
 from __future__ import annotations
 
@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.results import parse_rejects, parse_tagged
+from ..operators.search import index_docs
+from ..sources.index import StoredIndex
 
 RAW = "region_id string, raw string"
+_NATIVE = "source_id string, page_no int, text_id string, text string"
 
 
 def read_raw_outputs(spark: SparkSession, path: str) -> DataFrame:
@@ -21,3 +24,18 @@ def write_parsed(raw: DataFrame, out: str, checkpoint: str, once: bool = True) -
         writer = rows.writeStream.format("parquet").option("path", f"{out}/{name}").option("checkpointLocation", f"{checkpoint}/{name}").outputMode("append")
         queries.append((writer.trigger(availableNow=True) if once else writer).start())
     return queries
+
+
+def write_indexed(raw: DataFrame, regions: DataFrame, root: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+    """Results beside their sources in the index under root, a segment for each micro-batch.
+
+    A batch that comes again after a failure has the same number, and a segment is added once, so each row counts once.
+    """
+
+    def store(rows: DataFrame, batch: int) -> None:
+        spark = rows.sparkSession
+        index = StoredIndex(spark, root)
+        index.add(index_docs(spark.createDataFrame([], _NATIVE), regions, parse_tagged(rows)), f"stream-{batch:08d}")
+
+    writer = raw.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
