@@ -53,3 +53,67 @@ def test_articles_in_parts_stay_whole():
         f"<body><nav>Home</nav><article><section><p>{long}</p></section><section><p>{short}</p></section></article><footer>c</footer></body>",
     ):
         assert main_text(page) == f"{long}\n{short}", page
+
+
+def test_names_among_other_words_are_hints():
+    for name in ("legal-analysis", "social-history", "has-sidebar", "with-sidebar", "no-comments", "ad-free", "nav-open", "reply-to-critics", "search-for-truth"):
+        for page in (
+            f"<body><nav>Home</nav><article><h1>T</h1><div class='{name}'><p>{'Words of the article that go on. ' * 6}</p></div><p>{'More words of it. ' * 9}</p></article></body>",
+            f"<body class='x'><div class='{name}'><nav>Home</nav><article><h1>T</h1><p>{'Words of the article that go on. ' * 6}</p><p>{'More words of it. ' * 9}</p></article></div></body>",
+        ):
+            assert main_text(page) == f"T\n{('Words of the article that go on. ' * 6).strip()}\n{('More words of it. ' * 9).strip()}", page
+
+
+def test_names_that_say_nothing_else_rule_a_container_out():
+    for name in ("site-footer", "related-posts", "cookie-banner", "share-buttons", "comment-list", "articleComments", "js-newsletter-form", "sidebar"):
+        page = f"<body><article><h1>T</h1><p>{'Words of the article. ' * 9}</p><div class='{name}'><p>{'Not of it, though long. ' * 9}</p></div></article></body>"
+        assert main_text(page) == f"T\n{('Words of the article. ' * 9).strip()}", name
+
+
+def test_hinted_containers_without_content_lines_go():
+    long = ("Words of the article that go on and on. " * 12).strip()
+    teaser = "<div class='promo-autumn-sale'>" + "".join(f"<p><a href='{i}'>Buy {i}</a></p>" for i in range(8)) + "</div>"
+    page = f"<body><article><p>{long}</p><p>{long}</p>{teaser}<p>{long}</p><p>{long}</p></article></body>"
+    assert main_text(page) == "\n".join([long] * 4)
+
+
+def test_lists_of_links():
+    long = ("Words of the page that go on and on. " * 9).strip()
+    links = "<ul><li><a href='a'>First link</a></li><li><a href='b'>Second link</a></li></ul>"
+    assert main_text(f"<body><div><p>{long}</p><p>{long}</p>{links}</div></body>") == f"{long}\n{long}"
+    assert main_text(f"<body><div>{links}<p>{long}</p><p>{long}</p></div></body>") == f"{long}\n{long}"
+    one = "<p><a href='c'>See the annex</a></p>"
+    assert main_text(f"<body><div><p>{long}</p>{one}<p>{long}</p></div></body>") == f"{long}\nSee the annex\n{long}"
+    assert main_text(f"<body><article><p>{long}</p>{links}</article></body>") == f"{long}\nFirst link\nSecond link"
+
+
+def test_unclosed_links_end_with_their_block():
+    long = ("Words of the page that go on and on. " * 9).strip()
+    assert main_text(f"<body><div><p><a href='x'>Link</p><p>{long}</p><p>{long}</p><p>Short.</p></div></body>").endswith(f"{long}\n{long}\nShort.")
+    assert main_text(f"<body><div><p>{long} <a href='x'>one <a href='y'>two</a> and so on</p><p>{long}</p></div></body>") == f"{long} one two and so on\n{long}"
+
+
+def test_remarks():
+    long = ("Words of the article that go on and on. " * 9).strip()
+    remark = ("A reader says that it is all wrong. " * 3).strip()
+    for tail in (
+        f"<h2>3 comments</h2><p>{remark}</p>", f"<h3>Comments</h3><ul><li>{remark}</li></ul>", f"<section><h2>Reader comments</h2><p>{remark}</p></section>", f"<h2>Responses (2)</h2><div>{remark}</div>",
+    ):
+        assert main_text(f"<body><article><p>{long}</p>{tail}</article></body>") == long, tail
+    for kept in ("<p>Comment.</p>", "<p>Comments</p>", "<h2>Comment</h2>", "<h2>Comments</h2>"):
+        assert main_text(f"<body><article><p>{long}</p>{kept}<p>{long}</p></article></body>").endswith(f"{re.sub('<[^>]*>', '', kept)}\n{long}"), kept
+
+
+def test_names_arent_believed_where_nothing_would_be_left():
+    long = ("Words of the page that go on and on. " * 9).strip()
+    assert main_text(f"<body><div id='main-content-block'><div class='widget'><p>{long}</p></div></div></body>") == long
+    assert main_text(f"<body><div class='page-sidebar'><main><p>{long}</p></main></div></body>") == long
+
+
+def test_time_is_linear_in_depth():
+    import time
+
+    for page in ("<div>" * 100_000 + "x", "<b>" * 50_000 + "<p>y</p>" * 10 + "</i>" * 50_000, "<div class=ad>" * 50_000, "<div><h2>Comments</h2>" * 30_000):
+        began = time.process_time()
+        main_text(page)
+        assert time.process_time() - began < 4
