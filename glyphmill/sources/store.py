@@ -22,8 +22,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/glyphmill/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, below this application's."""
+    return f"{_own(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Removes all that this application has put under scratch paths; frames that read from there are lost."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(_own(spark))
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _own(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/glyphmill/{spark.sparkContext.applicationId}"
 
 
 def exists(spark: SparkSession, path: str) -> bool:
