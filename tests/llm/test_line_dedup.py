@@ -31,7 +31,7 @@ def test_against_dictionary(spark, sf):
 
 
 def test_runs(spark):
-    store = line_dedup.LineRuns(spark, common.scratch(spark, "runs"))
+    store = line_dedup.LineRuns(spark, common.scratch(spark, "runs"), 3)
     text = lambda *t: line_dedup.document_keys(spark.createDataFrame([(x,) for x in t], "text string"))
     assert store.ingest("a", text("x\ny", "x"))
     assert not store.ingest("a", text("x\ny", "x"))
@@ -41,5 +41,28 @@ def test_runs(spark):
     assert store.runs.batches() == {"a", "b", "c"}
     assert sorted(level for level, _, _ in store.runs.live().values()) == [0, 1]
     x = line_dedup.document_keys(spark.createDataFrame([("X ",)], "text string")).select("h1", "h2").first()
-    assert [tuple(r) for r in store.frequent(3).collect()] == [tuple(x)]
+    assert [tuple(r) for r in store.frequent().collect()] == [tuple(x)]
     assert store.runs.read().agg(F.sum("n_docs")).first()[0] == 6
+
+
+def test_settled_keys_are_counted_no_more(spark):
+    """What a batch adds is what the anti-join leaves: a line that one run settles stays out of later runs."""
+    store = line_dedup.LineRuns(spark, common.scratch(spark, "runs"), 2)
+    text = lambda *t: line_dedup.document_keys(spark.createDataFrame([(x,) for x in t], "text string"))
+    store.ingest("a", text("hot\nx", "hot", "once"))
+    assert store.unsettled(text("hot\nx\nnew")).count() == 2
+    store.ingest("b", text("hot\nx\nnew", "hot"))
+    assert store.runs.read().agg(F.sum("n_docs")).first()[0] == 2 + 1 + 1 + 1 + 1  # hot twice and never again
+    store.ingest("c", text("x\nhot\nonce"))
+    keys = {tuple(line_dedup.document_keys(spark.createDataFrame([(k,)], "text string")).select("h1", "h2").first()) for k in ("hot", "x", "once")}
+    assert {tuple(r) for r in store.frequent().collect()} == keys
+
+
+def test_columns_of_any_name_and_long_texts(spark):
+    rows = [(i, f"menu\nown {i}\n" + "long line " * 20_000 + str(i)) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as _row", "2 as row", "3 as doc", "4 as _gone", "5 as _all", "6 as _stay", "7 as lines", "8 as gone", "9 as h1")
+    got = line_dedup.dedup(docs, common.scratch(spark, "runs"))
+    assert got.columns == [*docs.columns, "_lines"]
+    for r in got.collect():
+        assert tuple(r)[:-1] == (*rows[r.doc_id], *range(1, 10))
+        assert tuple(r._lines) == (3, 1, rows[r.doc_id][1].split("\n", 1)[1])
