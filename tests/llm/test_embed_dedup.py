@@ -52,3 +52,28 @@ def test_empty_and_null_ids(spark):
     df = spark.createDataFrame([(None, [1.0, 0.0]), (4, [1.0, 0.0]), (None, [0.0, 1.0]), (5, [0.0, 1.0])], "vec_id long, embedding array<double>")
     assert sorted(embed_dedup.near_duplicates(df).collect(), key=str) == sorted([(None, 1, 4, False), (4, 1, 4, True), (None, 1, 5, False), (5, 1, 5, True)], key=str)
     assert embed_dedup.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_classes_without_an_id_link(spark):
+    df = spark.createDataFrame([(None, [1.0, 0.0]), (4, [1.0, 0.01]), (None, [0.0, 1.0]), (None, [0.01, 1.0]), (6, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    want = [(None, 1, 4, False), (4, 1, 4, True), (None, 1, None, True), (None, 1, None, True), (6, 0, 6, True)]
+    assert sorted(map(tuple, embed_dedup.near_duplicates(df).collect()), key=str) == sorted(want, key=str)
+
+
+def test_many_tiles_against_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(embed_dedup, "STRIP", 2)
+    monkeypatch.setattr(embed_dedup, "SEGMENT", 3)
+    rows = planted()
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = embed_dedup.near_duplicates(df, 0.9, block=7).collect()
+    assert {tuple(r) for r in got} == slow(rows, 0.9)
+
+
+def test_boxes_never_cut_off_a_near_pair():
+    rng = np.random.default_rng(5)
+    unit = embed_dedup._unit(rng.normal(size=(400, 24)))
+    turn = np.linalg.qr(rng.normal(size=(24, 24)))[0][:, : embed_dedup.DIMS]
+    for way in (turn, None):
+        low = embed_dedup._project(unit, way)
+        for i in range(0, 400, 7):
+            assert (np.sqrt(((low - low[i]) ** 2).sum(axis=1)) <= np.sqrt(((unit - unit[i]) ** 2).sum(axis=1)) + 1e-12).all()
