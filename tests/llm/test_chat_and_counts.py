@@ -26,6 +26,9 @@ def test_chat_round_trip(spark, sf):
     whole = {r.conv_id: r.formatted for r in shared.collect()}
     for r in chat.materialized(shared, expanded).collect():
         assert whole[r.conv_id].startswith(r.context + r.target + chat.CLOSE)
+    late = expanded.withColumn("context_bytes", F.col("context_bytes") + F.when(F.col("conv_id") == -7, 1).otherwise(0))
+    with pytest.raises(Exception, match="a mask isn't over its reply"):
+        chat.read_back(shared, late).collect()
     assert chat.read_back(chat.transcripts(chat.turns(df.limit(0))), expanded.limit(0)).count() == 0
 
 
