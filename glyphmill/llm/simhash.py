@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dealt, written
+from .common import dealt, free_name, written
 from .components import connected_components
 from .decontaminate import shingle_hashes, word_hashes
 
@@ -35,6 +35,8 @@ WORDS, SIMILARITY, RECALL, HALF = 5, 0.8, 0.975, 1
 REACH = 18
 #: Bits of short texts differ more often: pairs with a text of SHORT shingles or less are found by their shingles instead.
 SHORT = 40
+#: Bits of a parity bitmap; sets of more shingles are thinned, and then so many deviations are allowed for.
+PARITY, DEVIATIONS = 256, 5.0
 #: SIMILARITY as a fraction, for whole numbers of shingles.
 _PART, _WHOLE = 4, 5
 _ONE = np.uint64(1)
@@ -265,18 +267,63 @@ def _short_keys(h: np.ndarray) -> tuple[np.ndarray, np.uint64]:
     return np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64), bitmap
 
 
+def _parity(h: np.ndarray) -> bytes:
+    """A set's size, and two bitmaps of it of PARITY bits: each shingle turns one bit over.
+
+    Two bitmaps differ in no more bits than the sets differ in shingles, which similar sets do in a ninth of both sizes
+    at most; dissimilar ones differ in nearly all of their shingles, so few of them pass. A set of PARITY << (k - 1)
+    shingles or more has only those in its bitmaps whose hash ends in k zeros, and in the second one in k + 1, so that
+    sets whose sizes are similar have one in common.
+    """
+    k = max(0, len(h).bit_length() - PARITY.bit_length() + 1)
+    out = [np.array([len(h)], "<u8").tobytes()]
+    for level in (k, k + 1):
+        own = h[(h & np.uint64((1 << level) - 1)) == 0]
+        odd = np.bincount(((own >> np.uint64(32)) % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1
+        out.append(np.packbits(odd.astype(np.uint8)).tobytes())
+    return b"".join(out)
+
+
+_WIDE = PARITY // 64
+
+
+def _parities(column: pa.Array) -> np.ndarray:
+    """Rows of 64-bit words: the size (zero where there is no parity) and both bitmaps."""
+    width = 8 * (1 + 2 * _WIDE)
+    raw = b"".join([x if x is not None else bytes(width) for x in column.to_pylist()])
+    return np.frombuffer(raw, np.uint64).reshape(-1, 1 + 2 * _WIDE)
+
+
+def _alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of rows of parities: whether the sets may be similar. Sets without parities may."""
+    n, m = x[:, 0].astype(np.float64), y[:, 0].astype(np.float64)
+    k, l = (np.maximum(0, np.floor(np.log2(np.maximum(z, 1))).astype(np.int64) + 2 - PARITY.bit_length()) for z in (n, m))
+    own, low = slice(1, 1 + _WIDE), slice(1 + _WIDE, 1 + 2 * _WIDE)
+    a = np.where((k < l)[:, None], x[:, low], x[:, own])
+    b = np.where((l < k)[:, None], y[:, low], y[:, own])
+    far = np.bitwise_count(a ^ b).sum(axis=1)
+    level = np.maximum(k, l)
+    apart = (n + m) * (1 - 2 * _PART / (_PART + _WHOLE)) / 2.0**level
+    most = np.where(level > 0, apart + DEVIATIONS * np.sqrt(apart) + 1, apart)
+    sized = np.minimum(n, m) * _WHOLE >= np.maximum(n, m) * _PART
+    return (n == 0) | (m == 0) | sized & (far <= most + 1e-9)
+
+
 def _sketched(parts: int):
+    """Over id, hash, text: what a class needs to meet others and to be told apart from them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [_distinct_shingles(t.as_py()) for t in batch.column(1)]
+            sets = [_distinct_shingles(t.as_py()) for t in batch.column(2)]
             found = [_sketch(h, parts) if len(h) > SHORT else bytes(8) for h in sets]
             fps = np.array([int.from_bytes(x[:8], "big") for x in found], np.uint64)
             same = pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in sets], pa.binary())
             short = [_short_keys(h) for h in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), same, pa.array(fps.view(np.int64)), pa.array([x[8:] for x in found], pa.binary()),
-                 pa.array([k for k, _ in short], pa.list_(pa.int64())), pa.array(np.array([m for _, m in short], np.uint64).view(np.int64))],
-                ["id", "same", "fp", "sketch", "short", "bitmap"],
+                [batch.column(0), batch.column(1), same, pa.array(fps.view(np.int64)), pa.array([x[8:] for x in found], pa.binary()),
+                 pa.array([k for k, _ in short], pa.list_(pa.int64())), pa.array(np.array([m for _, m in short], np.uint64).view(np.int64)),
+                 pa.array([_parity(h) for h in sets], pa.binary())],
+                ["id", "hash", "same", "fp", "sketch", "short", "bitmap", "parity"],
             )
 
     return run
@@ -289,7 +336,7 @@ def _emit_tables(bits: int, tables: int, *more: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, fps, *others = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, *range(3, 3 + len(more))))
+            nodes, fps = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             for at in range(0, len(fps), 2048):
                 part = fps[at : at + 2048]
                 raw = b"".join(batch.column(2)[at : at + len(part)].to_pylist())
@@ -297,7 +344,8 @@ def _emit_tables(bits: int, tables: int, *more: str):
                 for t in range(tables):
                     own = (ones[:, t * bits : (t + 1) * bits] * weights[None, :]).sum(axis=1, dtype=np.uint64)
                     keys = (own | np.uint64(t << 48))[:, None] ^ flips[None, :]
-                    rest = [pa.array(np.repeat(x[at : at + len(part)], len(flips))) for x in (fps, nodes, *others)]
+                    again = np.repeat(np.arange(at, at + len(part)), len(flips))
+                    rest = [pa.array(fps[again]), pa.array(nodes[again]), *(batch.column(3 + k).take(pa.array(again)) for k in range(len(more)))]
                     yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), *rest], ["key", "fp", "node", *more])
 
     return run
@@ -333,7 +381,7 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _pairs([nodes[hub][close]], [nodes[close]], [far[close]])
 
 
-def _crossing(keys: np.ndarray, fps: np.ndarray, nodes: np.ndarray, roots: np.ndarray) -> pa.RecordBatch:
+def _crossing(keys: np.ndarray, fps: np.ndarray, nodes: np.ndarray, roots: np.ndarray, parities: np.ndarray) -> pa.RecordBatch:
     """All near enough pairs of whole keys whose rows have different roots. Each row in turn is taken against those
     after it, a key's largest group last, and a key is done as soon as what is left of it has one root."""
     a, b, fars, ordered = [], [], [], False
@@ -341,7 +389,7 @@ def _crossing(keys: np.ndarray, fps: np.ndarray, nodes: np.ndarray, roots: np.nd
         starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         count = np.diff(np.r_[starts, len(keys)])
         mixed = np.repeat(np.minimum.reduceat(roots, starts) < np.maximum.reduceat(roots, starts), count)
-        keys, fps, nodes, roots = (x[mixed] for x in (keys, fps, nodes, roots))
+        keys, fps, nodes, roots, parities = (x[mixed] for x in (keys, fps, nodes, roots, parities))
         if not len(keys):
             break
         if not ordered:
@@ -349,24 +397,25 @@ def _crossing(keys: np.ndarray, fps: np.ndarray, nodes: np.ndarray, roots: np.nd
             turn = np.flatnonzero(np.r_[True, (keys[order][1:] != keys[order][:-1]) | (roots[order][1:] != roots[order][:-1])])
             size = np.diff(np.r_[turn, len(keys)])
             order = order[np.lexsort((np.repeat(size, size), keys[order]))]
-            keys, fps, nodes, roots = (x[order] for x in (keys, fps, nodes, roots))
+            keys, fps, nodes, roots, parities = (x[order] for x in (keys, fps, nodes, roots, parities))
             ordered = True
         first = np.r_[True, keys[1:] != keys[:-1]]
         hub = np.maximum.accumulate(np.where(first, np.arange(len(keys)), 0))
         far = np.bitwise_count((fps[hub] ^ fps).view(np.uint64))
-        close = (far <= _limits(keys)) & (roots[hub] != roots)
-        a.append(nodes[hub][close])
+        close = np.flatnonzero((far <= _limits(keys)) & (roots[hub] != roots))
+        close = close[_alike(parities[hub[close]], parities[close])]
+        a.append(nodes[hub[close]])
         b.append(nodes[close])
         fars.append(far[close])
-        keys, fps, nodes, roots = (x[~first] for x in (keys, fps, nodes, roots))
+        keys, fps, nodes, roots, parities = (x[~first] for x in (keys, fps, nodes, roots, parities))
     return _pairs(a, b, fars)
 
 
 def _crossings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over key, fp, node, root sorted by key: the pairs of `_crossing`. The key at hand is held whole."""
+    """Over key, fp, node, root, parity sorted by key: the pairs of `_crossing`. The key at hand is held whole."""
     held: list[list[np.ndarray]] = []
     for batch in batches:
-        now = _columns(batch)
+        now = [*_columns(batch)[:4], _parities(batch.column(4))]
         if not len(now[0]):
             continue
         cut = np.searchsorted(now[0], now[0][-1])
@@ -397,26 +446,37 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, component_id of all rows with an id: groups linked by shingles of WORDS words that are similar by SIMILARITY.
+    """id, component_id of all rows with an id: groups linked by shingles of WORDS words that are similar by SIMILARITY."""
+    rows, placed = _placed(docs, id_col, text_col)
+    tops = placed.groupBy("root").agg(F.min("id").alias("component_id"))
+    return rows.select("id", "same").join(placed.select("same", "root").join(tops, "root"), "same").select("id", "component_id")
+
+
+def _placed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows with an id (id, same: 128 bits over the sorted set of shingles, and more), and classes of equal sets (same, id
+    and hash of the row that stands for it, root: the same for classes of one group).
 
-    Texts with equal sets of shingles are one class (by 128 bits over the sorted set), and its text of least id stands
-    for it. Classes meet in tables of shorter fingerprints, as `plan` has them, within HALF flipped bits each; pairs
-    within REACH of 64 further bits are verified on their whole texts, but for pairs that other links have joined
-    already; no row leaves a key unverified. Pairs with a text of SHORT shingles or less meet by shared shingles instead, which loses none. Null and empty texts are one class. Rows with a null id link nothing and are left out. No rows give no
-    rows. Other columns of docs are ignored.
+    The row with a class's least id (and of these the least hash of its text) stands for it. Classes meet in tables of shorter
+    fingerprints, as `plan` has them, within HALF flipped bits each; pairs within REACH of 64 further bits are verified
+    on their whole texts, but for pairs that other links have joined already; no row leaves a key unverified. Pairs
+    with a text of SHORT shingles or less meet by shared shingles instead, which loses none. Null and empty texts are
+    one class. Rows with a null id link nothing and are left out. No rows give no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    bits, tables = plan(rows.count())
-    kind = rows.schema["id"].dataType.simpleString()
-    fps = written(rows.mapInArrow(_sketched(1 + -(-bits * tables // 64)), f"id {kind}, same binary, fp long, sketch binary, short array<long>, bitmap long"), "sketches")
-    least = fps.groupBy("same").agg(F.min(F.struct("id", "fp", "sketch", "short", "bitmap")).alias("x"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    given = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"), text.alias("text")).where("id is not null")
+    bits, tables = plan(given.count())
+    kind = given.schema["id"].dataType.simpleString()
+    made = f"id {kind}, hash long, same binary, fp long, sketch binary, short array<long>, bitmap long, parity binary"
+    rows = written(given.mapInArrow(_sketched(1 + -(-bits * tables // 64)), made), "sketches")
+    least = rows.groupBy("same").agg(F.min(F.struct("id", "hash", "fp", "sketch", "short", "bitmap", "parity")).alias("x"))
     classes = written(least.select(F.monotonically_increasing_id().alias("node"), "same", "x.*"), "sketch-classes")
 
     def keyed(some: DataFrame, run, *more: str) -> DataFrame:
         """Pairs that run finds in the keys of classes, with the columns more."""
-        spread = some.select("node", "fp", "sketch", *more).where("sketch <> X''").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "node")
-        kinds = ", ".join(f"{x} long" for x in ("key", "fp", "node", *more))
+        spread = some.select("node", "fp", "sketch", *more).where("sketch <> X''")
+        spread = spread.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("node"))
+        kinds = ", ".join(f"{x} {some.schema[x].dataType.simpleString() if x in more else 'long'}" for x in ("key", "fp", "node", *more))
         keys = spread.mapInArrow(_emit_tables(bits, tables, *more), kinds).union(
             some.select(F.explode("short").alias("key"), F.col("bitmap").alias("fp"), "node", *more)
         )
@@ -425,35 +485,48 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def verified(some: DataFrame) -> DataFrame:
         nodes = some.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        texts = written(rows.join(classes.join(nodes, "node").select("id", "node"), "id").select("node", "text"), "candidate-texts")
+        wanted = classes.join(nodes, "node").select("node", "id", "hash")
+        texts = written(given.join(wanted, ["id", "hash"]).groupBy("node").agg(F.min("text").alias("text")), "candidate-texts")
         whole = some.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
         return written(whole.mapInArrow(_verified, "a long, b long"), "similar")
 
+    def grouped_by(near: DataFrame) -> DataFrame:
+        return written(connected_components(near), "joined")
+
+    def apart(pairs: DataFrame, joined: DataFrame) -> DataFrame:
+        """a, b, ra, rb of pairs that are in different groups; a class in no link is its own root."""
+        roots = pairs.join(joined.toDF("a", "ra"), "a", "left").join(joined.toDF("b", "rb"), "b", "left")
+        return roots.select("a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb")).where("ra <> rb")
+
     def linked(pairs: DataFrame, known: DataFrame | None = None) -> DataFrame:
         """Similar pairs: first of each class and the nearest below it, which joins large groups; then of those still apart."""
         near = verified(pairs.groupBy("b").agg(F.min(F.struct("far", "a")).alias("x")).select("x.a", "b"))
         near = near.union(known) if known else near
-        joined = written(connected_components(near), "joined")
-        roots = pairs.join(joined.toDF("a", "ra"), "a", "left").join(joined.toDF("b", "rb"), "b", "left")
-        return near.union(verified(roots.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")))
+        return near.union(verified(apart(pairs, grouped_by(near)).select("a", "b")))
 
     # a star in each key joins most groups; then all pairs of the keys that it left in different groups
     stars = written(keyed(classes, _stars), "candidates")
     near = written(linked(stars), "star-links")
-    grouped = written(classes.join(connected_components(near), "node", "left").select("node", "fp", "sketch", "short", "bitmap", F.coalesce("component", "node").alias("root")), "grouped")
-    crossing = written(keyed(grouped, _crossings, "root").join(stars, ["a", "b"], "left_anti"), "crossing")
+    joined = grouped_by(near)
+    grouped = classes.join(joined, "node", "left").withColumn("root", F.coalesce("component", "node"))
+    # groups that came near one another without a link hold most pairs that fail: their parities go along and tell most of them
+    crowded = written(apart(stars, joined).select(F.explode(F.array("ra", "rb")).alias("root")).distinct().withColumn("crowded", F.lit(True)), "crowded")
+    parity = F.when(F.col("crowded"), F.col("parity")).alias("parity")
+    grouped = written(grouped.join(crowded, "root", "left").select("node", "fp", "sketch", "short", "bitmap", "root", parity), "grouped")
+    crossing = written(keyed(grouped, _crossings, "root", "parity").join(stars, ["a", "b"], "left_anti"), "crossing")
     roots = connected_components(linked(crossing, near))
-    placed = written(classes.join(roots, "node", "left").select("same", "id", F.coalesce("component", "node").alias("root")), "placed")
-    tops = placed.groupBy("root").agg(F.min("id").alias("component_id"))
-    return fps.select("id", "same").join(placed.select("same", "root").join(tops, "root"), "same").select("id", "component_id")
+    placed = classes.join(roots, "node", "left").select("same", "id", "hash", F.coalesce("component", "node").alias("root"))
+    return rows, written(placed, "placed")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without all but the document with the least id of each of `similar_groups`; of repeated rows of an id one
-    stays, and all rows with a null id."""
-    found = similar_groups(docs, id_col, text_col)
-    keep = found.where("id = component_id").select(F.col("id").alias(id_col)).distinct()
-    columns = docs.columns
-    return docs.dropDuplicates([id_col]).join(keep, id_col, "left_semi").select(columns).union(
-        docs.where(F.col(id_col).isNull()).select(columns)
-    )
+    """docs without all but one document of each of `similar_groups`: that with the least id, and of several texts of
+    that id in the group the one of least hash. Rows of one id whose texts aren't in one group are no copies of one
+    another. Of rows equal in id and text one stays (any, where other columns differ), and all rows with a null id.
+    """
+    _, placed = _placed(docs, id_col, text_col)
+    one, two = (free_name(docs, x) for x in ("one", "two"))
+    keep = placed.groupBy("root").agg(F.min(F.struct("id", "hash")).alias("x")).select(F.col("x.id").alias(one), F.col("x.hash").alias(two))
+    named = docs.withColumns({one: F.col(id_col), two: F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
+    kept = named.where(F.col(id_col).isNotNull()).join(keep, [one, two], "left_semi").dropDuplicates([one, two])
+    return kept.select(*docs.columns).union(docs.where(F.col(id_col).isNull()).select(*docs.columns))

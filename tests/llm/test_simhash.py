@@ -229,6 +229,92 @@ def test_rows_of_a_key_stay_until_they_are_joined():
     want = {(a[2], b[2]) for a in rows for b in rows if a[2] < b[2] and a[0] == b[0] and a[3] != b[3] and (a[1] ^ b[1]).bit_count() <= simhash.REACH}
     assert (1, 2) in want
     for size in (1, 2, 7, 50, 200):
-        batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[i : i + size], strict=True)], ["key", "fp", "node", "root"]) for i in range(0, len(rows), size)]
+        batches = [
+            pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in zip(*rows[i : i + size], strict=True)), pa.nulls(len(rows[i : i + size]), pa.binary())], ["key", "fp", "node", "root", "parity"])
+            for i in range(0, len(rows), size)
+        ]
         got = [(r["a"], r["b"]) for out in simhash._crossings(iter(batches)) for r in out.to_pylist()]
         assert set(got) == want and len(got) == len(want)
+
+
+def test_parities_let_all_similar_pairs_through_and_few_others():
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(23)
+    for size in (30, 146, 255, 256, 300, 1000, 5000):
+        kept = {True: [0, 0], False: [0, 0]}
+        for _ in range(150):
+            base = np.array([rng.getrandbits(64) for _ in range(size)], np.uint64)
+            cut, more = rng.randint(0, size // 3), rng.randint(0, size // 3)
+            a, b = np.sort(base), np.sort(np.r_[base[cut:], np.array([rng.getrandbits(64) for _ in range(more)], np.uint64)])
+            s = simhash._jaccard(a, b)
+            if 0.5 <= s < 0.8:
+                continue
+            x, y = (simhash._parities(pa.array([simhash._parity(h)])) for h in (a, b))
+            assert simhash._alike(x, y)[0] == simhash._alike(y, x)[0]
+            kept[s >= 0.8][0] += bool(simhash._alike(x, y)[0])
+            kept[s >= 0.8][1] += 1
+        assert kept[True][0] == kept[True][1] > 20
+        assert kept[False][0] <= 0.2 * kept[False][1]
+    none = simhash._parities(pa.array([None], pa.binary()))
+    assert simhash._alike(none, x)[0] and simhash._alike(x, none)[0]
+
+
+def test_crowd_of_texts_that_are_near_but_not_similar(spark, monkeypatch):
+    """Edits of one text, many of them not similar to it nor to one another: groups as by brute force, few candidates."""
+    import random
+
+    rng = random.Random(29)
+    words = [f"w{rng.randrange(9000)}" for _ in range(150)]
+    texts = []
+    for _ in range(260):
+        other = list(words)
+        for _ in range(rng.choice([1, 2, 4, 6, 8, 10, 12])):
+            other[rng.randrange(150)] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(other))
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    sets = [slow_shingles(t) for t in texts]
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    named = {}
+
+    def remember(df, name):
+        named[name] = real(df, name)
+        return named[name]
+
+    real = simhash.written
+    monkeypatch.setattr(simhash, "written", remember)
+    got = {r.id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: find(i) for i in range(len(texts))}
+    assert 20 < len(set(got.values())) < 240
+    assert named["crossing"].count() < 3 * len(texts)
+
+
+def test_rows_of_one_id_with_other_texts(spark):
+    long = " ".join(f"w{i}" for i in range(90))
+    rows = [(1, long), (1, "another text of the same id that is no copy"), (2, long + " and"), (2, "other words of the second id, alone here"), (3, "another text of the same id that is no copy"), (1, long), (None, long), (None, None), (4, None), (4, "")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as id", "2 as _one0", "3 as same"))
+    assert kept.columns == ["doc_id", "text", "id", "_one0", "same"]
+    want = [(1, long), (1, rows[1][1]), (2, rows[3][1]), (None, long), (None, None)]
+    got = [(r.doc_id, r.text or None) for r in kept.collect()]
+    assert sorted(got, key=str) == sorted([*want, (4, None)], key=str)
+    assert {(r.id, r._one0, r.same) for r in kept.collect()} == {(1, 2, 3)}
+    assert simhash.keep_one(kept.limit(0)).count() == 0
+
+
+def test_classes_are_dealt_out_before_their_variants(spark):
+    classes = spark.range(4000).selectExpr("xxhash64(id) as fp").groupBy("fp").count()
+    plan = simhash.links(classes)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
