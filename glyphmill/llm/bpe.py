@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +20,7 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MAX_VOCABULARY = 1_000_000
 #: Results that a worker remembers at most; a bound on memory, without effect on results.
@@ -230,6 +232,64 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
+class Counters:
+    """Counts of ids under several vocabularies with the usual pattern: a chunk is cut once and looked up once for all."""
+
+    def __init__(self, codecs: list[Codec]):
+        if any(c.pattern != USUAL for c in codecs):
+            raise ValueError("the vocabularies must share the usual pattern")
+        self.codecs = codecs
+        self.known: dict[str, tuple[int, ...]] = {}
+
+    def _count(self, text: str) -> tuple[int, ...]:
+        pres = self.codecs[0].split(text)
+        return tuple(sum(len(c.token_ids(p)) for p in pres) for c in self.codecs)
+
+    def counts(self, text: str) -> list[int]:
+        """The number of ids of a text by vocabulary. No match crosses a space that something else than white space follows."""
+        head, *rest = self.codecs[0].cut(text)
+        total, known = list(self._count(head)), self.known
+        for chunk, times in Counter(rest).items():
+            found = known.get(chunk)
+            if found is None:
+                found = self._count(" " + chunk)
+                if len(chunk) < 200:
+                    if len(known) >= REMEMBERED:
+                        known.clear()
+                    known[chunk] = found
+            for k, n in enumerate(found):
+                total[k] += n * times
+        return total
+
+
+def counts(rows: DataFrame, vocabularies: dict[str, str], pattern: str, text_cols: list[str]) -> DataFrame:
+    """rows with a column for each vocabulary (name -> path): the numbers of ids of the texts in text_cols, as an array.
+
+    A null text has null; an empty one zero. The text columns go. Names must not be columns of rows.
+    """
+    names = list(vocabularies)
+    taken = [n for n in names if n.lower() in {c.lower() for c in rows.columns}]
+    if taken:
+        raise ValueError(f"columns are there already: {taken}")
+    shared = rows.sparkSession.sparkContext.broadcast([Codec(read_ranks(p), pattern) for p in vocabularies.values()])
+    others = [c for c in rows.columns if c not in text_cols]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counters = Counters([c.prepare() for c in shared.value])
+        for batch in batches:
+            out: list[list] = [[] for _ in names]
+            for texts in zip(*batch.columns[len(others) :], strict=True):
+                found = [None if t is None else counters.counts(t) for t in (x.as_py() for x in texts)]
+                for k, column in enumerate(out):
+                    column.append([None if f is None else f[k] for f in found])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], *(pa.array(c, pa.list_(pa.int64())) for c in out)], [*others, *names])
+
+    schema = T.StructType(rows.select(*others).schema.fields)
+    for n in names:
+        schema = schema.add(n, T.ArrayType(T.LongType()))
+    return rows.select(*others, *text_cols).mapInArrow(run, schema)
+
+
 def _codec(docs: DataFrame, path: str, pattern: str):
     return docs.sparkSession.sparkContext.broadcast(Codec(read_ranks(path), pattern))
 

@@ -10,6 +10,8 @@ from . import bpe, chat, decontaminate, embed_dedup, html_extract, line_dedup, s
 from .common import scratch, written
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+#: Tokenizer versions by the names of their vocabularies.
+VOCABULARIES = {"byte_bpe_50k": RANKS, "byte_bpe_multi_50k": public_tokenizers.path("byte_bpe_multi_50k.tiktoken")}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,22 +23,19 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents under two tokenizers: a load (pieces estimated by the words), a recount of the estimates, a purge
-    of documents without words, and a load that arrives again."""
-    rows = written(token_rollup.counted(table(spark, sf_dir, "documents")), "counts")
-    each = lambda **x: F.struct(*[v.alias(k) for k, v in x.items()])
-    none = F.lit(None).cast("long")
-    words, pieces = F.col("words"), F.col("pieces")
-
-    def changes(op: str, of: DataFrame, *per: tuple) -> DataFrame:
-        kinds = [each(tokenizer=F.lit(t), n_tokens=now, was_tokens=was) for t, now, was in per]
-        return of.select("source", "lang", F.explode(F.array(*kinds)).alias("x")).select(F.lit(op).alias("op"), "source", "lang", "x.*")
-
-    load = changes("insert", rows, ("words-1", words, none), ("pieces-1", words, none))
-    recount = changes("revise", rows.where("pieces <> words"), ("pieces-1", pieces, words))
-    purge = changes("delete", rows.where("words = 0"), ("words-1", none, words), ("pieces-1", none, pieces))
+    """All documents under two vocabularies: a load of the texts as they came, a revision of those that lose white space
+    at their ends, a purge of documents without a word, and a load that arrives again."""
+    rows = written(token_rollup.counted(table(spark, sf_dir, "documents"), VOCABULARIES, public_tokenizers.PATTERN), "counts")
+
+    def changes(op: str, of: DataFrame, now, was) -> DataFrame:
+        return of.select(F.lit(op).alias("op"), "source", "lang", "tokenizer", now.alias("n_tokens"), was.alias("was_tokens"))
+
+    none, whole, bare = F.lit(None).cast("long"), F.col("n_tokens"), F.col("bare_tokens")
+    load = changes("insert", rows, whole, none)
+    trim = changes("revise", rows.where(bare.isNotNull()), bare, whole)
+    purge = changes("delete", rows.where(F.coalesce(bare, whole) == 0), none, F.coalesce(bare, whole))
     rollup = token_rollup.TokenRollup(spark, scratch(spark, "rollup"))
-    for batch, part in (("load", load), ("recount", recount), ("purge", purge), ("load", load)):
+    for batch, part in (("load", load), ("trim", trim), ("purge", purge), ("load", load)):
         rollup.apply(batch, part)
     return rollup.totals()
 
@@ -85,16 +84,6 @@ def queries() -> dict:
     )}
 
 
-_OP2 = r"""
-WITH n AS (
-  SELECT source, lang, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words,
-         len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}]+|[^\p{L}\p{N}\x20\x09-\x0D]')) AS pieces
-  FROM documents)
-SELECT source, lang, 'words-1' AS tokenizer, count(*) AS n_docs, CAST(sum(words) AS BIGINT) AS n_tokens FROM n WHERE words > 0 GROUP BY source, lang
-UNION ALL
-SELECT source, lang, 'pieces-1', count(*), CAST(sum(pieces) AS BIGINT) FROM n WHERE words > 0 GROUP BY source, lang
-"""
-
 _KEY = "translate(trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _OP4 = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS xs FROM documents),
@@ -148,4 +137,4 @@ FROM v JOIN c ON v.vec_id = c.a LEFT JOIN n ON v.vec_id = n.a
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_token_counts": _OP2, "op4_line_dedup": _OP4, "op7_warc": _OP7, "op8_chat": _OP8, "op10_embedding_dedup": _OP10}
+    return {"op4_line_dedup": _OP4, "op7_warc": _OP7, "op8_chat": _OP8, "op10_embedding_dedup": _OP10}

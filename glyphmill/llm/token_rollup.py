@@ -11,13 +11,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bpe
+from .common import BLANKS
 from .runs import RunStore
 
 KEYS = ["source", "lang", "tokenizer"]
 _RUN = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
-#: Tokenizers that count by a pattern: words between white space; runs of letters and digits, and single marks.
-WORDS, PIECES = r"[^\x20\x09-\x0D]+", r"[\p{L}\p{N}]+|[^\p{L}\p{N}\x20\x09-\x0D]"
-
 
 def _folded(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
@@ -53,7 +52,16 @@ class TokenRollup:
         return _folded(self.runs.read()).where("n_docs <> 0 or n_tokens <> 0")
 
 
-def counted(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """source, lang, words, pieces of every row; a null text counts as empty."""
+def counted(docs: DataFrame, vocabularies: dict[str, str], pattern: str, text_col: str = "text") -> DataFrame:
+    """source, lang, tokenizer, n_tokens, bare_tokens of every row under every vocabulary (tokenizer version -> path).
+
+    n_tokens counts the text as it is, bare_tokens the text without [\\x20\\x09-\\x0D] at both ends, null where that is
+    the same. A null text counts as empty. Texts are cut into chunks once for all vocabularies.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select("source", "lang", *[F.regexp_count(text, F.lit(p)).cast("long").alias(n) for n, p in (("words", WORDS), ("pieces", PIECES))])
+    bare = F.trim(text, F.lit(BLANKS))
+    rows = docs.select("source", "lang", text.alias("whole"), F.when(F.octet_length(bare) < F.octet_length(text), bare).alias("bare"))
+    names = {f"tokens{k}": path for k, path in enumerate(vocabularies.values())}
+    found = bpe.counts(rows, names, pattern, ["whole", "bare"])
+    each = [F.struct(F.lit(v).alias("tokenizer"), F.col(n)[0].alias("n_tokens"), F.col(n)[1].alias("bare_tokens")) for v, n in zip(vocabularies, names, strict=True)]
+    return found.select("source", "lang", F.explode(F.array(*each)).alias("x")).select("source", "lang", "x.*")

@@ -1,9 +1,11 @@
 import hashlib
 
+import public_tokenizers
 import pytest
+import tiktoken
 from pyspark.sql import functions as F
 
-from glyphmill.llm import chat, common, token_rollup
+from glyphmill.llm import bpe, chat, common, queries, token_rollup
 
 TRICKY = "\\### Assistant: </turn> ok"
 
@@ -45,5 +47,38 @@ def test_rollup(spark):
     assert [tuple(r) for r in rollup.totals().collect()] == [("a", "en", "t", 1, 9)]
     with pytest.raises(Exception, match="not a change"):
         token_rollup.deltas(first.withColumn("op", F.lit("merge"))).collect()
-    odd = spark.createDataFrame([("a, b!", "s", None), (None, None, "x"), ("", "s", "x")], "text string, source string, lang string")
-    assert sorted((r.words, r.pieces) for r in token_rollup.counted(odd).collect()) == [(0, 0), (0, 0), (2, 4)]
+
+
+def theirs(path):
+    ranks = {t: i for i, t in enumerate(bpe.read_ranks(path))}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
+def test_counts_equal_library(spark):
+    import random
+
+    rng = random.Random(3)
+    wide = [chr(i) for i in range(0x3000) if not 0xD800 <= i < 0xE000] + ["一", "😀", "\u3000"]
+    texts = [None, "", " ", "\n a  b \t", "same same same", "word " * 60_000, "x" * 4000, " 's don't  we'll\n\n"]
+    texts += ["".join(rng.choice(wide if k % 2 else "abc '12_  \n\tthes.,ré²½\x1c\x85") for _ in range(rng.randint(0, 80))) for k in range(600)]
+    docs = spark.createDataFrame([(t, f"s{i}", None) for i, t in enumerate(texts)], "text string, source string, lang string").selectExpr("*", "1 as tokens0", "2 as whole", "3 as n_tokens")
+    encode = {name: theirs(path) for name, path in queries.VOCABULARIES.items()}
+    got = {(r.source, r.tokenizer): (r.n_tokens, r.bare_tokens) for r in token_rollup.counted(docs, queries.VOCABULARIES, public_tokenizers.PATTERN).collect()}
+    for i, t in enumerate(texts):
+        t = t or ""
+        bare = t.strip(common.BLANKS)
+        for name, run in encode.items():
+            assert got[f"s{i}", name] == (len(run(t)), len(run(bare)) if bare != t else None), repr(t[:80])
+
+
+def test_query_equals_library_over_all_documents(spark, sf):
+    """After the load, the revisions and the purge, totals are those of trimmed, non-empty texts."""
+    want = {}
+    encode = {name: theirs(path) for name, path in queries.VOCABULARIES.items()}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        for name, run in encode.items():
+            n = len(run((r.text or "").strip(common.BLANKS)))
+            if n:
+                docs, tokens = want.get((r.source, r.lang, name), (0, 0))
+                want[r.source, r.lang, name] = docs + 1, tokens + n
+    assert {tuple(r)[:3]: tuple(r)[3:] for r in queries.op2_token_counts(spark, sf).collect()} == want
