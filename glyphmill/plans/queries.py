@@ -62,7 +62,8 @@ def native_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where("source is not null").select(F.col("source").alias("source_id"), F.concat(F.lit("doc://"), "source").alias("uri")).distinct()
+    """The known sources: those whose name ends in 3, 5 or 7 are missing, so that some hits have none."""
+    return table(spark, sf_dir, "documents").where("source is not null and right(source, 1) not in ('3', '5', '7')").select(F.col("source").alias("source_id"), F.concat(F.lit("doc://"), "source").alias("uri")).distinct()
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,7 +217,7 @@ def oracle_sql() -> dict[str, str]:
         "index_docs": f"{index} SELECT * FROM e",
         "postings": f"{index} SELECT term, entry_id, count(*) AS tf FROM (SELECT entry_id, unnest(regexp_extract_all(lower(text), '{TOKEN}')) AS term FROM e) GROUP BY term, entry_id",
         "search_topk": f"{index}, {_bm25('e', 'b')}, {top} SELECT * FROM top",
-        "search_with_source": f"{index}, {_bm25('e', 'b')}, {top} SELECT entry_id, score, source_id, 'doc://' || source_id AS uri, page_no, region_id, channel FROM top JOIN e USING (entry_id)",
+        "search_with_source": f"{index}, {_bm25('e', 'b')}, {top} SELECT entry_id, score, source_id, CASE WHEN right(source_id, 1) NOT IN ('3', '5', '7') THEN 'doc://' || source_id END AS uri, page_no, region_id, channel FROM top JOIN e USING (entry_id)",
         "search_tables_in_context": f"{index}, x AS (SELECT * FROM e WHERE channel = 'table'), {_bm25('x', 'b')}, {top}, h AS (SELECT entry_id AS table_id, score, source_id, page_no FROM top JOIN x USING (entry_id)) SELECT table_id, score, h.source_id, h.page_no, y.entry_id AS context_id FROM h LEFT JOIN e y ON y.channel = 'native' AND y.source_id = h.source_id AND y.page_no = h.page_no",
         "best_per_channel": f"{index}, {_bm25('e', 'b')}, r AS (SELECT channel, CAST(row_number() OVER (PARTITION BY channel ORDER BY score DESC, entry_id) AS INTEGER) AS rank, entry_id, score FROM b JOIN e USING (entry_id)) SELECT * FROM r WHERE rank <= 5",
         "crop_regions": f"SELECT CAST(vec_id AS VARCHAR) AS region_id, 3 AS width, 4 AS height, array_to_string(list_transform([27, 28, 29, 35, 36, 37, 43, 44, 45, 51, 52, 53], lambda i: {pixel('embedding[i]')}), '') AS pixels FROM embeddings WHERE len(embedding) >= 64",
