@@ -1,7 +1,9 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 The vocabulary is what the labelled training documents show to go with a label: terms of at least MIN_DOCS of them
-with a chi-square of CHI2 or more, at most VOCABULARY by chi-square; cosines are over these. Training documents are the
+with a chi-square of CHI2 or more that are RATIO times as frequent in documents of one label as of the other, at most
+VOCABULARY by chi-square; cosines are over these. However many labels there are, a rare word that they prove is a term,
+and a common word that leans a little isn't. Training documents are the
 different texts of each label, so a group of copies counts once. Term counts come from all of them and document
 frequencies from all documents. The index holds at most EXAMPLES training documents of each label (a documented bound;
 the least by hash), with votes weighted so that labels keep their true shares. For a document, an upper bound for every block of examples comes from the blocks' largest weights; blocks are scored from
@@ -24,7 +26,7 @@ from pyspark.sql import types as T
 
 from .common import written
 
-VOCABULARY, EXAMPLES, K, CHI2, MIN_DOCS, BLOCK = 1 << 15, 4096, 32, 40.0, 4, 64
+VOCABULARY, EXAMPLES, K, CHI2, RATIO, MIN_DOCS, BLOCK = 1 << 15, 4096, 32, 40.0, 2.0, 4, 64
 _TERM = re.compile(r"[^\W_]+")
 
 
@@ -76,7 +78,9 @@ def vocabulary(docs: DataFrame, train: DataFrame, id_col: str, text_col: str) ->
     cs, ts = F.lit(float(whole.c)), F.lit(float(whole.t))
     n = cs + ts
     chi2 = n * F.pow(t * (cs - c) - c * (ts - t), 2) / (ts * cs * (t + c) * F.greatest(n - t - c, F.lit(1.0)))
-    best = sums.where("term <> ''").select("term", chi2.alias("x")).where(F.col("x") >= CHI2).orderBy(F.desc("x"), "term").limit(VOCABULARY)
+    ratio = ((t + 0.5) / (ts + 1)) / ((c + 0.5) / (cs + 1))
+    told = (ratio >= RATIO) | (ratio <= 1 / RATIO)
+    best = sums.where("term <> ''").where(told).select("term", chi2.alias("x")).where(F.col("x") >= CHI2).orderBy(F.desc("x"), "term").limit(VOCABULARY)
     return [r.term for r in best.collect()]
 
 
