@@ -19,6 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage similar to an item of the benchmark by 0.8 or more, with the best window."""
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumnRenamed("id", "doc_id")
 
 
@@ -41,29 +42,35 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that ten documents or more have, and how many went."""
     found = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), scratch(spark, "line-runs"), min_docs=10)
     return found.select("doc_id", "_lines.n_lines", "_lines.n_dropped", F.sha2("_lines.kept", 256).alias("kept_sha256"))
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's ids under the 50k vocabulary, and what they decode to."""
     return bpe.digests(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN).withColumnRenamed("id", "doc_id")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints over three-word shingles, linked within three bits, and the least id of each component."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3).withColumnRenamed("id", "doc_id")
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC shards, and what the archives say when read back."""
     root = scratch(spark, "warc")
     warc.write(table(spark, sf_dir, "pages"), root)
     return warc.read(spark, root).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and the planted one formatted with loss masks, and read back from transcripts and masks."""
     said = "\\### Assistant: </turn> ok"
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     formed = chat.turns(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(extra))
@@ -71,10 +78,12 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by their nearest labelled examples outside the held-out fold."""
     return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
 
 
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors by a cosine of 0.95 or more."""
     return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), 0.95).withColumnRenamed("id", "vec_id")
 
 

@@ -1,6 +1,7 @@
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from glyphmill.llm import common, warc
 
@@ -46,3 +47,22 @@ def test_shards_of_far_ids_and_of_many_rows_without_one(spark):
     assert all(a[1] < b[0] for a, b in zip(ordered, ordered[1:]))
     nones = {r.shard for r in got if r.page_id is None}
     assert len(nones) > 5 and not nones & set(spans)
+
+
+def test_files_are_read_by_many_tasks(spark):
+    """The manifest is a few rows in one file; the archives that it lists are dealt out all the same."""
+    pages = spark.range(64).selectExpr("id as page_id", "'u' as url", "repeat(cast(id as string), 3000) as html")
+    root = common.scratch(spark, "warc")
+    assert warc.write(pages, root, shard_bytes=10_000, file_bytes=2_000).count() >= 16
+    read = warc.read(spark, root)
+    assert read.select(F.spark_partition_id().alias("p")).distinct().count() == 8
+    assert read.count() == 64
+
+
+def test_nothing_is_left_of_dead_attempts(spark):
+    from glyphmill.sources.store import children
+
+    pages = spark.range(3).selectExpr("id as page_id", "'u' as url", "'x' as html")
+    root = common.scratch(spark, "warc")
+    warc.write(pages, root)
+    assert children(spark, root) == ["archive", "manifest"] and all(n.endswith(".warc.gz") for n in children(spark, f"{root}/archive"))
