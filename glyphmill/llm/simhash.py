@@ -35,6 +35,8 @@ WORDS, SIMILARITY, RECALL, HALF = 5, 0.8, 0.975, 1
 REACH = 18
 #: Bits of short texts differ more often: pairs with a text of SHORT shingles or less are found by their shingles instead.
 SHORT = 40
+#: Shingles that so many short texts have come last in the order of keys; of these the COMMONEST most frequent ones.
+COMMON, COMMONEST = 1000, 1 << 16
 #: Bits of a parity bitmap; sets of more shingles are thinned, and then so many deviations are allowed for.
 PARITY, DEVIATIONS = 256, 5.0
 #: SIMILARITY as a fraction, for whole numbers of shingles.
@@ -256,17 +258,43 @@ def _allowances(n: int) -> list[int]:
     return sorted({d for m in range(-(-n * _PART // _WHOLE), n * _WHOLE // _PART + 1) if (d := _apart(n, m)) > 0})
 
 
-def _short_keys(h: np.ndarray) -> tuple[np.ndarray, np.uint64]:
-    """Keys of a short set, and a bitmap of it. Two sets at most d apart that share any shingle share the least one
-    among the first d + 1 of both, so each gives a key for it and d; bits 56 and up of a key hold d and a mark."""
+def _is_short(h: np.ndarray) -> bool:
+    """Whether a set needs keys by shingles: if it or one that may be similar to it has SHORT shingles or less. A set so
+    small that only its equal is similar to it needs none."""
+    return len(h) < len(h) * _WHOLE // _PART and len(h) <= SHORT * _WHOLE // _PART
+
+
+def _short_keys(h: np.ndarray, common: np.ndarray | None = None) -> tuple[np.ndarray, np.uint64]:
+    """Keys of a short set, and a bitmap of it. Two sets at most d apart that share any shingle share the first one in
+    any order of all shingles among the first d + 1 of both, so each gives a key for it and d; common shingles (sorted)
+    come last in that order, so that few sets meet by them. Bits 56 and up of a key hold d and a mark."""
     bitmap = np.bitwise_or.reduce(np.uint64(1) << (h & np.uint64(63))) if len(h) else np.uint64(0)
-    if len(h) * _WHOLE // _PART == len(h) or len(h) > SHORT * _WHOLE // _PART:
+    if not _is_short(h):
         return np.zeros(0, np.int64), bitmap
+    if common is not None and len(common):
+        last = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h
+        h = np.concatenate([h[~last], h[last]])
     low = h >> np.uint64(8)
     keys = [low[: d + 1] | np.uint64(1 << 62 | d << 56) for d in _allowances(len(h))]
     return np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64), bitmap
 
 
+def _keys_of_short(common: np.ndarray, n_more: int):
+    """Of classes with short sets: node, the set, and n_more columns; a row for each key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_short_keys(h.view(np.uint64), common) for h in batch.column(1).to_numpy(zero_copy_only=False)]
+            times = [len(k) for k, _ in found]
+            again = np.repeat(np.arange(batch.num_rows), times)
+            keys = np.concatenate([np.zeros(0, np.int64), *(k for k, _ in found)])
+            bitmaps = np.array([m for _, m in found], np.uint64).view(np.int64)[again]
+            nodes, *more = (batch.column(k).take(pa.array(again)) for k in (0, *range(2, 2 + n_more)))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(bitmaps), nodes, *more], ["key", "fp", "node", *batch.schema.names[2:]])
+
+    return run
+
+
 def _parity(h: np.ndarray) -> bytes:
     """A set's size, and two bitmaps of it of PARITY bits: each shingle turns one bit over.
 
@@ -318,12 +346,10 @@ def _sketched(parts: int):
             found = [_sketch(h, parts) if len(h) > SHORT else bytes(8) for h in sets]
             fps = np.array([int.from_bytes(x[:8], "big") for x in found], np.uint64)
             same = pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in sets], pa.binary())
-            short = [_short_keys(h) for h in sets]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), same, pa.array(fps.view(np.int64)), pa.array([x[8:] for x in found], pa.binary()),
-                 pa.array([k for k, _ in short], pa.list_(pa.int64())), pa.array(np.array([m for _, m in short], np.uint64).view(np.int64)),
-                 pa.array([_parity(h) for h in sets], pa.binary())],
-                ["id", "hash", "same", "fp", "sketch", "short", "bitmap", "parity"],
+                 pa.array([h.view(np.int64) if _is_short(h) else None for h in sets], pa.list_(pa.int64())), pa.array([_parity(h) for h in sets], pa.binary())],
+                ["id", "hash", "same", "fp", "sketch", "short", "parity"],
             )
 
     return run
@@ -467,18 +493,22 @@ def _placed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
     given = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"), text.alias("text")).where("id is not null")
     bits, tables = plan(given.count())
     kind = given.schema["id"].dataType.simpleString()
-    made = f"id {kind}, hash long, same binary, fp long, sketch binary, short array<long>, bitmap long, parity binary"
+    made = f"id {kind}, hash long, same binary, fp long, sketch binary, short array<long>, parity binary"
     rows = written(given.mapInArrow(_sketched(1 + -(-bits * tables // 64)), made), "sketches")
-    least = rows.groupBy("same").agg(F.min(F.struct("id", "hash", "fp", "sketch", "short", "bitmap", "parity")).alias("x"))
+    least = rows.groupBy("same").agg(F.min(F.struct("id", "hash", "fp", "sketch", "short", "parity")).alias("x"))
     classes = written(least.select(F.monotonically_increasing_id().alias("node"), "same", "x.*"), "sketch-classes")
 
+    shingles = classes.select(F.explode("short").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"))
+    often = shingles.where(F.col("n") >= COMMON).orderBy(F.desc("n"), "shingle").limit(COMMONEST).select("shingle").collect()
+    common = np.sort(np.array([r.shingle for r in often], np.int64).view(np.uint64))
+
     def keyed(some: DataFrame, run, *more: str) -> DataFrame:
         """Pairs that run finds in the keys of classes, with the columns more."""
         spread = some.select("node", "fp", "sketch", *more).where("sketch <> X''")
         spread = spread.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("node"))
         kinds = ", ".join(f"{x} {some.schema[x].dataType.simpleString() if x in more else 'long'}" for x in ("key", "fp", "node", *more))
         keys = spread.mapInArrow(_emit_tables(bits, tables, *more), kinds).union(
-            some.select(F.explode("short").alias("key"), F.col("bitmap").alias("fp"), "node", *more)
+            some.where("short is not null").select("node", "short", *more).mapInArrow(_keys_of_short(common, len(more)), kinds)
         )
         pairs = keys.repartition("key").sortWithinPartitions("key", "fp", "node").mapInArrow(run, "a long, b long, far long")
         return pairs.groupBy("a", "b").agg(F.min("far").alias("far"))
@@ -512,7 +542,7 @@ def _placed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
     # groups that came near one another without a link hold most pairs that fail: their parities go along and tell most of them
     crowded = written(apart(stars, joined).select(F.explode(F.array("ra", "rb")).alias("root")).distinct().withColumn("crowded", F.lit(True)), "crowded")
     parity = F.when(F.col("crowded"), F.col("parity")).alias("parity")
-    grouped = written(grouped.join(crowded, "root", "left").select("node", "fp", "sketch", "short", "bitmap", "root", parity), "grouped")
+    grouped = written(grouped.join(crowded, "root", "left").select("node", "fp", "sketch", "short", "root", parity), "grouped")
     crossing = written(keyed(grouped, _crossings, "root", "parity").join(stars, ["a", "b"], "left_anti"), "crossing")
     roots = connected_components(linked(crossing, near))
     placed = classes.join(roots, "node", "left").select("same", "id", "hash", F.coalesce("component", "node").alias("root"))

@@ -318,3 +318,47 @@ def test_classes_are_dealt_out_before_their_variants(spark):
     classes = spark.range(4000).selectExpr("xxhash64(id) as fp").groupBy("fp").count()
     plan = simhash.links(classes)._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan
+
+
+def test_common_shingles_come_last_and_lose_no_pair(spark, monkeypatch):
+    """Short texts that all begin with the same five lines' words: keys by those are few, and all near pairs are found."""
+    import random
+
+    rng = random.Random(31)
+    head = " ".join(f"h{i}" for i in range(12))
+    texts = []
+    for _ in range(300):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(3, 25))]
+        texts += [f"{head} {' '.join(words)}", f"{head} {' '.join(words)} more"]
+    sets = [slow_shingles(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    monkeypatch.setattr(simhash, "COMMON", 100)
+    got = {r.id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: find(i) for i in range(len(texts))} and len(set(got.values())) > 200
+
+
+def test_order_of_short_keys():
+    import random
+
+    import numpy as np
+
+    rng = random.Random(37)
+    for _ in range(300):
+        n, more = rng.randint(2, 40), rng.randint(0, 8)
+        pool = np.array(sorted(rng.getrandbits(64) for _ in range(n + more)), np.uint64)
+        common = np.sort(np.array(rng.sample(pool.tolist(), rng.randint(0, len(pool))), np.uint64))
+        x, y = pool[: n + more], np.sort(np.array(rng.sample(pool.tolist(), n), np.uint64))
+        if simhash._jaccard(x, y) >= 0.8 and len(x) != len(y):
+            shared = [int(k) >> 56 & 63 for k in np.intersect1d(simhash._short_keys(x, common)[0], simhash._short_keys(y, common)[0])]
+            assert simhash._apart(len(x), len(y)) in shared
