@@ -37,6 +37,8 @@ REACH = 18
 SHORT = 40
 #: Shingles that so many short texts have come last in the order of keys; of these the COMMONEST most frequent ones.
 COMMON, COMMONEST = 1000, 1 << 16
+#: Failed links from which on a group is a crowd.
+CROWD = 8
 #: Bits of a parity bitmap; sets of more shingles are thinned, and then so many deviations are allowed for.
 PARITY, DEVIATIONS = 256, 5.0
 #: SIMILARITY as a fraction, for whole numbers of shingles.
@@ -539,8 +541,11 @@ def _placed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
     near = written(linked(stars), "star-links")
     joined = grouped_by(near)
     grouped = classes.join(joined, "node", "left").withColumn("root", F.coalesce("component", "node"))
-    # groups that came near one another without a link hold most pairs that fail: their parities go along and tell most of them
-    crowded = written(apart(stars, joined).select(F.explode(F.array("ra", "rb")).alias("root")).distinct().withColumn("crowded", F.lit(True)), "crowded")
+    # groups that came near many others without a link, and those others, hold most pairs that fail: their parities go along
+    failed = written(apart(stars, joined).select("ra", "rb").union(apart(stars, joined).select("rb", "ra")).toDF("root", "other"), "apart")
+    many = failed.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") >= CROWD).select("root")
+    crowded = failed.join(many, "root").select(F.explode(F.array("root", "other")).alias("root")).distinct()
+    crowded = written(crowded.withColumn("crowded", F.lit(True)), "crowded")
     parity = F.when(F.col("crowded"), F.col("parity")).alias("parity")
     grouped = written(grouped.join(crowded, "root", "left").select("node", "fp", "sketch", "short", "root", parity), "grouped")
     crossing = written(keyed(grouped, _crossings, "root", "parity").join(stars, ["a", "b"], "left_anti"), "crossing")

@@ -22,7 +22,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import written
 
@@ -84,21 +83,26 @@ def vocabulary(docs: DataFrame, train: DataFrame, id_col: str, text_col: str) ->
     return [r.term for r in best.collect()]
 
 
-def _features(terms: list[str], n_carried: int):
-    """Over n_carried columns and the text: the columns as they are, places of the text's terms and how often they occur."""
-    place = {t: i for i, t in enumerate(terms)}
+def _features(terms: list[str]):
+    """Of a text: places of its terms, and how often they occur."""
+    find = {t: i for i, t in enumerate(terms)}.get
 
+    def of(text: str | None) -> tuple[list[int], list[int]]:
+        count = Counter(map(find, _terms(text)))
+        count.pop(None, None)
+        ids = sorted(count)
+        return ids, [count[i] for i in ids]
+
+    return of
+
+
+def _vectors(terms: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = place.get
+        of = _features(terms)
         for batch in batches:
-            ids, tfs = [], []
-            for text in batch.column("text"):
-                count = Counter(map(find, _terms(text.as_py())))
-                count.pop(None, None)
-                ids.append(sorted(count))
-                tfs.append([count[i] for i in ids[-1]])
-            names = batch.schema.names[:n_carried]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n_carried], pa.array(ids, pa.list_(pa.int32())), pa.array(tfs, pa.list_(pa.int32()))], [*names, "terms", "tfs"])
+            found = [of(text.as_py()) for text in batch.column(1)]
+            columns = (pa.array([f[k] for f in found], pa.list_(pa.int32())) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", "terms", "tfs"])
 
     return run
 
@@ -225,21 +229,17 @@ def _remembering(model: Model):
     return score
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, keep: bool):
-    """The model as a broadcast variable, and a written table of doc (the columns of docs but the text; the id alone
-    unless keep is set), text (if keep is set), terms and tfs of every row."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str):
+    """The model as a broadcast variable, and a written table of id, terms and tfs of every row."""
     spark = docs.sparkSession
     train = written(different(docs, training(docs, labels, id_col), id_col, text_col), "training")
     terms = vocabulary(docs, train, id_col, text_col)
-    others = [c for c in docs.columns if c != text_col] if keep else [id_col]
-    slim = docs.select(F.struct(*others).alias("doc"), F.col(text_col).alias("text"))
-    carried = slim.columns if keep else ["doc"]
-    kinds = T.StructType(slim.select(*carried).schema.fields).add("terms", T.ArrayType(T.IntegerType())).add("tfs", T.ArrayType(T.IntegerType()))
-    rows = written(slim.mapInArrow(_features(terms, len(carried)), kinds), "features")
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = written(docs.select(F.col(id_col), F.col(text_col)).mapInArrow(_vectors(terms), f"id {kind}, terms array<int>, tfs array<int>"), "features")
     total = rows.count()
     df = {r.term: r.n for r in rows.select("terms").mapInArrow(_frequencies(len(terms)), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
     idf = np.log((1 + total) / (1 + np.array([df.get(i, 0) for i in range(len(terms))]))) + 1
-    labelled = written(rows.select(F.col("doc")[id_col].alias("id"), "terms", "tfs").join(train, "id"), "labelled")
+    labelled = written(rows.join(train, "id"), "labelled")
     tally = {(r.toxic, r.some): r.n for r in labelled.groupBy("toxic", (F.size("terms") > 0).alias("some")).agg(F.count("*").alias("n")).collect()}
     bare = [tally.get((y, False), 0) for y in (0, 1)]
     every = sum(tally.values())
@@ -261,7 +261,7 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     one label are one training document. Repeated rows get equal scores; a null id is never a training example and
     isn't held out unless the empty text's remainder is 0. Other columns are ignored.
     """
-    model, rows = fit(docs, labels, id_col, text_col, keep=False)
+    model, rows = fit(docs, labels, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = _remembering(model.value)
@@ -272,20 +272,19 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in out], pa.float64()), pa.array(evidence, near)], ["id", "score", "evidence"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    scored = rows.select(F.col("doc")[id_col].alias("id"), "terms", "tfs").mapInArrow(run, f"id {kind}, score double, evidence array<struct<id:string,toxic:int,cosine:double>>")
+    scored = rows.mapInArrow(run, f"id {kind}, score double, evidence array<struct<id:string,toxic:int,cosine:double>>")
     return scored.select("id", held_out("id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 
 def reject(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that are predicted toxic. Every row is judged by its own text, so null and repeated ids are
-    no special case, and no row moves: the features are written beside the row and the score filters it."""
-    model, rows = fit(docs, labels, id_col, text_col, keep=True)
+    no special case, and no row moves or is written for it: its terms are found a second time and the score filters it."""
+    model, _ = fit(docs, labels, id_col, text_col)
 
     @F.pandas_udf("double")
-    def score(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        one = _remembering(model.value)
-        for terms, tfs in parts:
-            yield pd.Series([one(t.tolist(), f.tolist())[0] for t, f in zip(terms, tfs, strict=True)], dtype="float64")
+    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        one, of = _remembering(model.value), _features(model.value.terms)
+        for texts in parts:
+            yield pd.Series([one(*of(t))[0] for t in texts], dtype="float64")
 
-    good = rows.where(score("terms", "tfs") < 0.5)
-    return good.select(*[(F.col("text") if c == text_col else F.col("doc")[c]).alias(c) for c in docs.columns])
+    return docs.where(score(F.col(text_col)) < 0.5)
