@@ -4,8 +4,8 @@ The vocabulary is what the labelled training documents show to go with a label:
 with a chi-square of CHI2 or more that are RATIO times as frequent in documents of one label as of the other, at most
 VOCABULARY by chi-square; cosines are over these. However many labels there are, a rare word that they prove is a term,
 and a common word that leans a little isn't. Training documents are the
-different texts of each label, so a group of copies counts once. Term counts come from all of them and document
-frequencies from all documents. The index holds at most EXAMPLES training documents of each label (a documented bound;
+different texts of each label, so a group of copies counts once; about LABELLED of each label, by hashes of their ids,
+fit the model. Term counts come from all of these and document frequencies from all documents. The index holds at most EXAMPLES training documents of each label (a documented bound;
 the least by hash), with votes weighted so that labels keep their true shares. For a document, an upper bound for every block of examples comes from the blocks' largest weights; blocks are scored from
 the best bound down and those that can't reach the K-th best cosine are skipped, so the neighbours are exact. Votes
 weigh by squared cosine and are calibrated by isotonic steps over leave-one-out scores of the examples.
@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import written
 
 VOCABULARY, EXAMPLES, K, CHI2, RATIO, MIN_DOCS, BLOCK = 1 << 15, 4096, 32, 40.0, 2.0, 4, 64
+#: Training documents of a label that a model is fitted on, about: a bound on what is broadcast at any size.
+LABELLED = 100_000
 _TERM = re.compile(r"[^\W_]+")
 
 
@@ -53,6 +55,18 @@ def different(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_co
     return named.join(train, "id").groupBy("h1", "h2", "toxic").agg(F.min("id").alias("id")).select("id", "toxic")
 
 
+def sampled(train: DataFrame, most: int) -> tuple[DataFrame, dict[int, float]]:
+    """About `most` rows of each label by hashes of their ids (all, where there are no more), written; and how many rows
+    one of each label stands for."""
+    total = {r.toxic: r.n for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    share = F.lit(1 << 30)
+    for y, n in total.items():
+        share = F.when(F.col("toxic") == y, min(1 << 30, (most << 30) // n)).otherwise(share)
+    rows = written(train.where(F.pmod(F.xxhash64(F.lit(7), F.col("id")), F.lit(1 << 30)) < share), "training")
+    kept = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    return rows, {y: total.get(y, 0) / kept[y] if kept.get(y) else 1.0 for y in (0, 1)}
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents with each term, all and toxic, by batch; the empty term counts documents."""
     for batch in batches:
@@ -68,7 +82,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def vocabulary(docs: DataFrame, train: DataFrame, id_col: str, text_col: str) -> list[str]:
     """The terms that go with a label, best first; VOCABULARY at most, so the driver gets a bounded list."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull() & ~held_out("id"))
-    counts = rows.join(train, "id").select("text", "toxic").mapInArrow(_count, "term string, clean long, toxic long")
+    counts = rows.join(F.broadcast(train), "id").select("text", "toxic").mapInArrow(_count, "term string, clean long, toxic long")
     sums = written(counts.groupBy("term").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t")).where(F.col("c") + F.col("t") >= MIN_DOCS), "terms")
     whole = sums.where("term = ''").first()
     if whole is None or not whole.c or not whole.t:
@@ -232,15 +246,16 @@ def _remembering(model: Model):
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str):
     """The model as a broadcast variable, and a written table of id, terms and tfs of every row."""
     spark = docs.sparkSession
-    train = written(different(docs, training(docs, labels, id_col), id_col, text_col), "training")
+    # a bounded sample, so that it can go to the texts and no text to it
+    train, stands = sampled(written(different(docs, training(docs, labels, id_col), id_col, text_col), "different"), LABELLED)
     terms = vocabulary(docs, train, id_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = written(docs.select(F.col(id_col), F.col(text_col)).mapInArrow(_vectors(terms), f"id {kind}, terms array<int>, tfs array<int>"), "features")
     total = rows.count()
     df = {r.term: r.n for r in rows.select("terms").mapInArrow(_frequencies(len(terms)), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
     idf = np.log((1 + total) / (1 + np.array([df.get(i, 0) for i in range(len(terms))]))) + 1
-    labelled = written(rows.join(train, "id"), "labelled")
-    tally = {(r.toxic, r.some): r.n for r in labelled.groupBy("toxic", (F.size("terms") > 0).alias("some")).agg(F.count("*").alias("n")).collect()}
+    labelled = written(rows.join(F.broadcast(train), "id"), "labelled")
+    tally = {(r.toxic, r.some): r.n * stands[r.toxic] for r in labelled.groupBy("toxic", (F.size("terms") > 0).alias("some")).agg(F.count("*").alias("n")).collect()}
     bare = [tally.get((y, False), 0) for y in (0, 1)]
     every = sum(tally.values())
     rate = sum(n for (y, _), n in tally.items() if y == 1) / every if every else 0.0

@@ -176,3 +176,13 @@ def test_rows_without_use_have_defined_values(spark):
     left = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
     want = sorted([r for r in rows if r[0] % 3] + [(1002, good), (1000, None), (1001, ""), (None, None)], key=str)
     assert left == want and [r.id for r in kept.collect()] == [1] * len(want)
+
+
+def test_a_bounded_sample_stands_for_all(spark):
+    train = spark.range(40_000).selectExpr("id", "cast(id % 4 = 0 as int) as toxic")
+    rows, stands = toxicity.sampled(train, 5000)
+    n = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    assert all(abs(x - 5000) < 300 for x in n.values()) and stands == {0: 30_000 / n[0], 1: 10_000 / n[1]}
+    rows, stands = toxicity.sampled(train, 30_000)
+    assert rows.count() == 40_000 and stands == {0: 1.0, 1: 1.0}
+    assert toxicity.sampled(train.limit(0), 5)[1] == {0: 1.0, 1: 1.0}
