@@ -28,9 +28,6 @@ REMEMBERED = 700_000
 #: The pattern whose matches never hold a space but as their first character or among white space.
 USUAL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _LOW = (1 << 64) - 1
-#: Pre-tokens of up to so many bytes keep their candidates in a list, longer ones in a heap: the order is the same.
-FLAT = 32
-NONE = 1 << 40
 _POINTS = frozenset(",.;:!?")
 _WHITE = frozenset(c for c in map(chr, range(0x3001)) if regex.match(r"\s", c))
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -172,17 +169,6 @@ class Codec:
         if -1 in ids:
             raise ValueError("the vocabulary lacks a byte")
         n, rank_of = len(ids), self.pairs.get
-        if n <= FLAT:  # least rank and leftmost first, as in the heap
-            rank = [rank_of(a << 20 | b, NONE) for a, b in zip(ids, ids[1:])]
-            while rank and (r := min(rank)) != NONE:
-                i = rank.index(r)
-                ids[i] = r
-                del ids[i + 1], rank[i]
-                if i < len(rank):
-                    rank[i] = rank_of(r << 20 | ids[i + 1], NONE)
-                if i:
-                    rank[i - 1] = rank_of(ids[i - 1] << 20 | r, NONE)
-            return ids
         rank = [rank_of(a << 20 | b, -1) for a, b in zip(ids, ids[1:])]
         rank.append(-1)
         heap = [r << 32 | i for i, r in enumerate(rank) if r >= 0]
