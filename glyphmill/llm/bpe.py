@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 MAX_VOCABULARY = 1_000_000
 #: Results that a worker remembers at most; a bound on memory, without effect on results.
-REMEMBERED = 700_000
+REMEMBERED = 400_000
 #: The pattern whose matches never hold a space but as their first character or among white space.
 USUAL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _LOW = (1 << 64) - 1
