@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, embed_dedup, html_extract, line_dedup, simhash, token_rollup, toxicity, warc
-from .common import scratch, written
+from . import bpe, chat, decontaminate, embed_dedup, html_extract, line_dedup, periodic, simhash, spelling, token_rollup, toxicity, warc, word_bpe
+from .common import BLANKS, scratch, written
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+WORDS = public_tokenizers.path("word_bpe_49k.json")
 #: Tokenizer versions by the names of their vocabularies.
 VOCABULARIES = {"byte_bpe_50k": RANKS, "byte_bpe_multi_50k": public_tokenizers.path("byte_bpe_multi_50k.tiktoken")}
 
@@ -87,9 +88,45 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), 0.95).withColumnRenamed("id", "vec_id")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All words of five letters and three occurrences, some misspelt by rule, with the word that each is a variant of."""
+    words = spelling.counted(table(spark, sf_dir, "documents"), spoil=97)
+    return spelling.groups(words.where((F.char_length("word") >= 5) & (F.col("n") >= 3)))
+
+
+def op12_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's ids under the vocabulary of words in lower case, and what they decode to."""
+    return word_bpe.digests(table(spark, sf_dir, "documents"), WORDS).withColumnRenamed("id", "doc_id")
+
+
+def repeating(docs: DataFrame) -> DataFrame:
+    """doc_id, text: where a tenth of the crc32 of the id is whole, the words from a place on repeat with a period, three
+    to ten times. A null id or text, or one without words, is left alone."""
+    h, bare = F.crc32(F.col("doc_id").cast("string")), F.trim("text", F.lit(BLANKS))
+    words = F.when((h % 10 == 0) & (F.length(bare) > 0), F.split(bare, r"[\x20\x09-\x0D]+"))
+    told = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), words.alias("words"))
+    n = F.size("words")
+    told = told.select("*", n.alias("n"), (F.col("g") % n).cast("int").alias("a"), (3 + F.col("g") % 8).cast("int").alias("times"))
+    period, rest = (1 + F.floor((F.col("n") - F.col("a")) / F.col("times"))).cast("int"), F.col("n") - F.col("a")
+    again = F.slice(F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, period), F.col("times"))), F.lit(1), rest)
+    planted = F.when(F.col("words").isNotNull(), F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), again), " "))
+    return told.select("doc_id", F.coalesce(planted, "text").alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeating words in every document, a tenth of which repeat by rule, the longest run, and the text without repeats."""
+    found = periodic.find(repeating(table(spark, sf_dir, "documents")))
+    told = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    found = found.select(F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), longest.alias("b"), F.sha2(F.array_join(told, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    milli = F.floor(-1000 * F.col("b.length") / F.col("b.period")).cast("long")
+    return found.select("doc_id", "n_runs", (-F.col("b.start")).alias("start"), "b.length", (-F.col("b.period")).alias("period"), milli.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (
         op1_decontamination, op2_token_counts, op3_html_extraction, op4_line_dedup, op5_bpe, op6_simhash, op7_warc, op8_chat, op9_toxicity, op10_embedding_dedup,
+        op11_spelling_variants, op12_word_bpe, op13_periodic_runs,
     )}
 
 
