@@ -17,12 +17,11 @@ from ..operators import results as parsing
 from ..operators import search, tables
 from ..sources import images
 from ..sources.index import StoredIndex
-from ..sources.store import exists, scratch
+from ..sources.store import scratch
 from . import flow
 
 TERMS = ["the", "and"]
-#: Indexes that this application has written, by input folder: the searches share one.
-_indexes: dict[tuple[str, str], str] = {}
+PHRASE, NEAR, SPAN = ["of", "the"], ["and", "of", "the"], 5
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,13 +70,38 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index(spark: SparkSession, sf_dir: str) -> StoredIndex:
-    """The stored index of `entries`; written on first use."""
-    key = spark.sparkContext.applicationId, sf_dir
-    if key not in _indexes or not exists(spark, f"{_indexes[key]}/stats"):
-        root = scratch(spark, "index")
-        StoredIndex(spark, root).add(entries(spark, sf_dir), "all")
-        _indexes[key] = root
-    return StoredIndex(spark, _indexes[key])
+    """A stored index of `entries`, written for the caller: no query reads what another one has left."""
+    stored = StoredIndex(spark, scratch(spark, "index"))
+    stored.add(entries(spark, sf_dir), "all")
+    return stored
+
+
+def changed_index(spark: SparkSession, sf_dir: str) -> StoredIndex:
+    """`entries` in four batches; then every third one is replaced by a longer text a page further, and every seventh deleted."""
+    rows = entries(spark, sf_dir).withColumn("_n", F.substring("entry_id", 3, 20).cast("long"))
+    stored = StoredIndex(spark, scratch(spark, "changed"))
+    for k in range(4):
+        stored.add(rows.where(F.col("_n") % 4 == k), f"part-{k}")
+    stored.upsert(rows.where("_n % 3 = 0").withColumns({"text": F.concat("text", F.lit(" the and the")), "page_no": F.col("page_no") + 1}), "longer")
+    stored.delete(rows.where("_n % 7 = 0").select("entry_id"), "fewer")
+    return stored
+
+
+def changed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entries after the changes and a merge."""
+    stored = changed_index(spark, sf_dir)
+    stored.merge()
+    return stored.entries().select("entry_id", "source_id", "region_id", "page_no", "channel", F.sha2("text", 256).alias("text_sha256"))
+
+
+def search_after_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best entries by a reader opened before a merge that reads on after it, and by one opened then."""
+    stored = changed_index(spark, sf_dir)
+    reader = stored.snapshot()
+    stored.merge()
+    found = {"open reader": reader, "merged": stored}
+    first, second = (search.search_topk(i, TERMS, 10).select(F.lit(n).alias("state"), "entry_id", "score") for n, i in found.items())
+    return first.union(second)
 
 
 def indexed_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,6 +177,10 @@ def queries() -> dict:
         "search_with_source": lambda s, d: search.search_with_source(index(s, d), sources(s, d), TERMS, 10),
         "search_tables_in_context": lambda s, d: search.search_tables_in_context(index(s, d), TERMS, 10),
         "best_per_channel": lambda s, d: search.best_per_channel(index(s, d), TERMS, 5),
+        "search_phrase": lambda s, d: search.search_phrase(index(s, d), PHRASE),
+        "search_near": lambda s, d: search.search_near(index(s, d), NEAR, SPAN),
+        "changed_entries": changed_entries,
+        "search_after_changes": search_after_changes,
         "crop_regions": lambda s, d: images.crop_regions(grey_images(s, d)).select("region_id", "image.width", "image.height", F.hex("image.data").alias("pixels")),
         "infer_stub": lambda s, d: parsing.parse_tagged(images.infer(grey_images(s, d), images.unread_backend)),
         "infer_brightness": lambda s, d: parsing.parse_tagged(images.infer(grey_images(s, d), images.brightness_backend)),
@@ -198,6 +226,8 @@ def _bm25(of: str, name: str) -> str:
 def oracle_sql() -> dict[str, str]:
     parsed, markup = f"WITH {_RAW}, {_PARSED}", f"WITH {_RAW_TABLES}, {_PARSED}, {_LINES}"
     index = f"{parsed}, {_INDEX}"
+    changed = f"""{index}, g AS (SELECT entry_id, source_id, region_id, CAST(page_no + CASE WHEN i % 3 = 0 THEN 1 ELSE 0 END AS INTEGER) AS page_no, channel,
+      CASE WHEN i % 3 = 0 THEN text || ' the and the' ELSE text END AS text FROM (SELECT *, CAST(substr(entry_id, 3) AS BIGINT) AS i FROM e) WHERE i % 7 <> 0)"""
     top = "top AS (SELECT entry_id, score FROM b ORDER BY score DESC, entry_id LIMIT 10)"
     pixel = lambda x: f"printf('%02X', CAST(least(greatest(floor((CAST({x} AS DOUBLE) + 1) * 127), 0), 255) AS INTEGER))"
     value = lambda x: f"CAST(least(greatest(floor((CAST({x} AS DOUBLE) + 1) * 127), 0), 255) AS INTEGER)"
@@ -220,6 +250,10 @@ def oracle_sql() -> dict[str, str]:
         "search_with_source": f"{index}, {_bm25('e', 'b')}, {top} SELECT entry_id, score, source_id, CASE WHEN right(source_id, 1) NOT IN ('3', '5', '7') THEN 'doc://' || source_id END AS uri, page_no, region_id, channel FROM top JOIN e USING (entry_id)",
         "search_tables_in_context": f"{index}, x AS (SELECT * FROM e WHERE channel = 'table'), {_bm25('x', 'b')}, {top}, h AS (SELECT entry_id AS table_id, score, source_id, page_no FROM top JOIN x USING (entry_id)) SELECT table_id, score, h.source_id, h.page_no, y.entry_id AS context_id FROM h LEFT JOIN e y ON y.channel = 'native' AND y.source_id = h.source_id AND y.page_no = h.page_no",
         "best_per_channel": f"{index}, {_bm25('e', 'b')}, r AS (SELECT channel, CAST(row_number() OVER (PARTITION BY channel ORDER BY score DESC, entry_id) AS INTEGER) AS rank, entry_id, score FROM b JOIN e USING (entry_id)) SELECT * FROM r WHERE rank <= 5",
+        "search_phrase": f"{index}, t AS (SELECT entry_id, channel, regexp_extract_all(lower(text), '{TOKEN}') AS ts FROM e), f AS (SELECT entry_id, channel, list_filter(range(1, len(ts)), lambda i: ts[i] = 'of' AND ts[i + 1] = 'the') AS ps FROM t) SELECT entry_id, channel, CAST(len(ps) AS BIGINT) AS n_found, CAST(ps[1] - 1 AS INTEGER) AS first_at FROM f WHERE len(ps) > 0",
+        "search_near": f"{index}, t AS (SELECT entry_id, channel, unnest(ts) AS w, generate_subscripts(ts, 1) AS at FROM (SELECT entry_id, channel, regexp_extract_all(lower(text), '{TOKEN}') AS ts FROM e)) SELECT a.entry_id, a.channel, CAST(min(greatest(a.at, b.at, c.at) - least(a.at, b.at, c.at) + 1) AS INTEGER) AS width FROM t a JOIN t b ON a.entry_id = b.entry_id AND abs(a.at - b.at) < 5 JOIN t c ON a.entry_id = c.entry_id AND abs(a.at - c.at) < 5 WHERE a.w = 'and' AND b.w = 'of' AND c.w = 'the' GROUP BY a.entry_id, a.channel HAVING min(greatest(a.at, b.at, c.at) - least(a.at, b.at, c.at) + 1) <= 5",
+        "changed_entries": f"{changed} SELECT entry_id, source_id, region_id, page_no, channel, sha256(text) AS text_sha256 FROM g",
+        "search_after_changes": f"{changed}, {_bm25('g', 'b')}, {top} SELECT unnest(['open reader', 'merged']) AS state, entry_id, score FROM top",
         "crop_regions": f"SELECT CAST(vec_id AS VARCHAR) AS region_id, 3 AS width, 4 AS height, array_to_string(list_transform([27, 28, 29, 35, 36, 37, 43, 44, 45, 51, 52, 53], lambda i: {pixel('embedding[i]')}), '') AS pixels FROM embeddings WHERE len(embedding) >= 64",
         "infer_stub": "SELECT CAST(vec_id AS VARCHAR) AS region_id, 'description' AS kind, 'unread image of 8 x 8' AS content, false AS verified FROM embeddings WHERE len(embedding) >= 64",
         "read_images": f"SELECT CAST(vec_id AS VARCHAR) AS region_id, 8 AS width, 8 AS height, true AS valid, sha256(unhex({data})) AS pixels_sha256 FROM embeddings WHERE len(embedding) >= 64",

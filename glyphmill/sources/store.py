@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -46,3 +47,43 @@ def children(spark: SparkSession, path: str) -> list[str]:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
     return sorted(s.getPath().getName() for s in fs.listStatus(where)) if fs.exists(where) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def rename_new(spark: SparkSession, staged: str, final: str) -> bool:
+    """Renames a folder to a name that must be free; False, and the staged folder goes, if it is taken.
+
+    FileContext's rename without overwrite fails where the target exists, so one of two racing writers wins.
+    """
+    jvm = spark._jvm
+    src, dst = jvm.org.apache.hadoop.fs.Path(staged), jvm.org.apache.hadoop.fs.Path(final)
+    fs = src.getFileSystem(spark._jsc.hadoopConfiguration())
+    dst = dst.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(dst)
+    fs.mkdirs(dst.getParent())
+    if not fs.exists(dst):
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(dst.toUri(), spark._jsc.hadoopConfiguration())
+        options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+        try:
+            context.rename(fs.makeQualified(src), dst, options)
+            return True
+        except Exception:
+            if not fs.exists(dst):
+                raise
+    fs.delete(src, True)
+    return False
+
+
+def fingerprint(spark: SparkSession, path: str) -> str:
+    """Names, lengths and times of the files under a path: what reads there now."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(where, True)
+    found = []
+    while files.hasNext():
+        f = files.next()
+        found.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()

@@ -1,0 +1,165 @@
+"""Changes of the stored index, searches that skip blocks, phrases, and lookups, each against a plain model."""
+
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from glyphmill.operators import search
+from glyphmill.plans import queries as plans
+from glyphmill.sources.index import Conflict, StoredIndex
+from glyphmill.sources.store import children
+from test_search import SCHEMA, slow_bm25
+
+WORDS = ["the", "and", "of", "cat", "dog", "Été", "x1"]
+
+
+def rows_of(rng, ids, channels=("native", "table", "description")):
+    text = lambda: " ".join(rng.choices(WORDS, [30, 10, 8, 3, 2, 1, 1], k=rng.randint(0, 25)))
+    return [(i, f"s{rng.randint(0, 3)}", None, rng.randint(0, 4), rng.choice(channels), None if rng.random() < 0.05 else text()) for i in ids]
+
+
+def same_top(index, model, words, k, channel=None):
+    rows = [r for r in model.values() if channel in (None, r[4])]
+    want = sorted(((-round(s, 6), i) for i, s in slow_bm25(rows, sorted({w.lower() for w in words})).items()))[:k]
+    got = [(r.entry_id, r.score) for r in search.search_topk(index, words, k, channel).collect()]
+    assert [s for _, s in got] == pytest.approx([-s for s, _ in want], abs=2e-6)
+    assert {i for i, s in got if s > -want[-1][0] + 5e-6} == {i for s, i in want if -s > -want[-1][0] + 5e-6} if want else not got
+
+
+def test_changes_before_and_after_merges_with_readers_open(spark, tmp_path):
+    rng = random.Random(1)
+    index = StoredIndex(spark, str(tmp_path / "index"), block=4, shard=16)
+    frame = lambda rows: spark.createDataFrame(rows, SCHEMA)
+    model, readers = {}, []
+    for step in range(4):
+        rows = rows_of(rng, [f"n:{step}-{k}" for k in range(12)])
+        assert index.add(frame(rows), f"add-{step}") and not index.add(frame(rows), f"add-{step}")
+        model |= {r[0]: r for r in rows}
+    changed = rows_of(rng, [f"n:{k % 4}-{k}" for k in range(0, 12, 2)] + ["n:new"])
+    assert index.upsert(frame(changed + [("n:new", "z", None, 9, "native", "zzz")]), "change") and not index.upsert(frame(changed), "change")
+    model |= {r[0]: r for r in changed}
+    assert index.delete(frame([("n:0-1", *[None] * 5), ("n:0-1", *[None] * 5), ("n:1-1", *[None] * 5), ("none", *[None] * 5), (None, *[None] * 5)]).select("entry_id"), "drop")
+    model = {i: r for i, r in model.items() if i not in ("n:0-1", "n:1-1")}
+    for state in range(3):
+        assert sorted(map(tuple, index.entries().collect()), key=str) == sorted(((*r[:4], r[4], r[5]) for r in model.values()), key=str)
+        for words, k, channel in ((["the", "cat"], 5, None), (["Été", "dog", "dog"], 50, None), (["and"], 3, "table")):
+            same_top(index, model, words, k, channel)
+        n, mean = index.statistics()
+        assert n == len(model) and mean == pytest.approx(sum(len((r[5] or "").split()) for r in model.values()) / n)
+        assert index.frequencies(["the"]) == {"the": sum("the" in (r[5] or "").split() for r in model.values())}
+        readers.append((index.snapshot(), dict(model)))
+        if state == 0:
+            assert index.merge(4) and len(index.segments()) < 5
+        elif state == 1:  # what a merge has made can be changed again
+            again = rows_of(rng, ["n:2-3", "n:3-3"])
+            index.upsert(frame(again), "change-2")
+            index.delete(frame(again[:1]).select("entry_id"), "drop-2")
+            model |= {again[1][0]: again[1]}
+            model.pop(again[0][0])
+    for reader, then in readers:
+        assert {r.entry_id for r in reader.entries().collect()} == set(then)
+        same_top(reader, then, ["the", "of"], 8)
+    removed = index.vacuum()
+    assert any(r.startswith("postings/") for r in removed) and len(index.versions()) == 1
+    assert sorted(children(spark, f"{index.root}/entries")) == sorted(f"segment={s}" for s in index.segments())
+    same_top(index, model, ["the", "of"], 8)
+    assert not index.add(frame(changed), "add-0")  # batches are known after merges and a vacuum
+
+
+def test_batches_that_died_or_came_second(spark, tmp_path):
+    root = str(tmp_path / "index")
+    frame = lambda rows: spark.createDataFrame(rows, SCHEMA)
+    index, rows = StoredIndex(spark, root), [("n:1", "a", None, 0, "native", "the cat")]
+    index._write_segment(frame([("n:9", "a", None, 0, "native", "half")]), "one")  # and dies before it publishes
+    assert index.segments() == [] and index.entries().count() == 0
+    assert index.add(frame(rows), "one") and [r.entry_id for r in index.entries().collect()] == ["n:1"]
+    late = StoredIndex(spark, root)
+    seen = late.state()
+    assert index.add(frame([("n:2", "a", None, 0, "native", "cat")]), "two")
+    with pytest.raises(Conflict):
+        late._publish(seen | {"segments": ["one", "three"]})
+    assert index.segments() == ["one", "two"]
+    with pytest.raises(ValueError):
+        index.snapshot().add(frame(rows), "four")
+    assert index.add(frame([]), "none") and index.entries().count() == 2 and search.search_topk(index, ["cat"]).count() == 2
+
+
+def test_search_skips_blocks(spark, tmp_path):
+    rng = random.Random(2)
+    rows = [(f"n:{k}", "s", None, 0, rng.choice(["native", "table"]), " ".join(["the"] * int(rng.paretovariate(1.2)) + ["and"] * int(rng.paretovariate(2) - 0.5) + ["dog"] * (rng.random() < 0.01) + ["x"] * rng.randint(5, 200))) for k in range(2000)]
+    index = StoredIndex(spark, str(tmp_path / "index"), block=8, shard=500)
+    index.add(spark.createDataFrame(rows, SCHEMA), "all")
+    for words, channel in ((["dog", "and", "the"], None), (["and", "the"], None), (["dog", "the"], "table")):
+        seeker = search.BlockSearch(index, words, 5, within=channel, first=16)
+        got = [tuple(r) for r in seeker.rows().select("entry_id", "score").collect()]
+        whole = search.search_scores(index, words, channel).select("entry_id", "score").orderBy(F.desc("score"), "entry_id").limit(5).collect()
+        assert [r[1] for r in got] == [r.score for r in whole] and [r[0] for r in got] == [r.entry_id for r in whole]
+        assert 0 < seeker.read < 0.6 * seeker.stored, (words, seeker.read, seeker.stored)
+    # the scan of what stands beside the blocks reads no postings
+    plan = search.BlockSearch(index, ["the"], 5)._bounds()._jdf.queryExecution().executedPlan().toString()
+    assert "entry_ids" not in plan and "positions" not in plan
+
+
+def test_bounds_over_ranges():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        edges = np.sort(rng.integers(0, 60, 2 * rng.integers(1, 12)))
+        of, ol, value = edges[::2], edges[1::2], rng.random(len(edges) // 2)
+        first = np.sort(rng.integers(0, 60, 8))
+        last = first + rng.integers(0, 9, 8)
+        want = [max([v for f, e, v in zip(of, ol, value) if f <= b and e >= a], default=0) for a, b in zip(first, last)]
+        assert search.overlapping_max(first, last, of, ol, value).tolist() == want
+
+
+def test_phrases_and_near_words(spark, tmp_path):
+    rng = random.Random(4)
+    index, rows = StoredIndex(spark, str(tmp_path / "index"), block=5, shard=20), rows_of(rng, [f"n:{k}" for k in range(90)])
+    frame = lambda rows: spark.createDataFrame(rows, SCHEMA)
+    index.add(frame(rows[:60]), "one")
+    index.upsert(frame(rows[60:] + [(rows[0][0], *rows[1][1:])]), "two")
+    rows[0] = (rows[0][0], *rows[1][1:])
+    tokens = {r[0]: re.findall(r"[^\W_]+", (r[5] or "").lower()) for r in rows}
+    for phrase in (["of", "The"], ["the", "the", "the"], ["cat"], ["the", "and", "the", "of"], ["no", "cat"], []):
+        words = [w.lower() for w in phrase]
+        want = {i: [k for k in range(len(ts)) if words and ts[k : k + len(words)] == words] for i, ts in tokens.items()}
+        got = {r.entry_id: (r.n_found, r.first_at) for r in search.search_phrase(index, phrase).collect()}
+        assert got == {i: (len(at), at[0]) for i, at in want.items() if at}, phrase
+    for words, span in ((["of", "the", "and"], 4), (["cat", "Dog"], 3), (["the"], 1), (["cat", "dog"], 30), ([], 3)):
+        own, want = {w.lower() for w in words}, {}
+        for i, ts in tokens.items():
+            widths = [b - a + 1 for a in range(len(ts)) for b in range(a, min(len(ts), a + span)) if own <= {*ts[a : b + 1]}]
+            if widths and own:
+                want[i] = min(widths)
+        assert {r.entry_id: r.width for r in search.search_near(index, words, span).collect()} == want, words
+    tables = search.search_phrase(index, ["the"], "table")
+    assert {r.channel for r in tables.collect()} == {"table"}
+
+
+def test_lookups_open_the_files_of_their_shards(spark, tmp_path):
+    rng = random.Random(5)
+    index, rows = StoredIndex(spark, str(tmp_path / "index"), shard=16), rows_of(rng, [f"n:{k}" for k in range(400)], ("native",))
+    index.add(spark.createDataFrame(rows, SCHEMA), "all")
+    index.add(spark.createDataFrame(rows_of(rng, ["m:1"]), SCHEMA), "more")
+    found = index.lookup(["n:7", "n:300", "m:1", "none"])
+    assert sorted(r.entry_id for r in found.collect()) == ["m:1", "n:300", "n:7"]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*shard", plan) and re.search(r"PushedFilters: \[[^\]]*slot", plan)
+    read = {r.f for r in index.lookup(["n:7"]).select(F.input_file_name().alias("f")).collect()}
+    assert len(read) == 1 and len(index.entries().inputFiles()) > 20
+    with pytest.raises(ValueError):
+        index.lookup([str(k) for k in range(1001)])
+
+
+def test_overwritten_input_gives_new_answers(spark, tmp_path):
+    path = str(tmp_path / "documents.parquet")
+    for word in ("the", "and"):
+        rows = [(k, f"{word} and text {k}", "en", "src1", 10) for k in range(20)]
+        spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.mode("overwrite").parquet(path)
+        got = plans.queries()["search_topk"](spark, str(tmp_path)).collect()
+        want = slow_bm25([(r[0], 0, 0, 0, 0, ("description " if k % 5 in (1, 2, 3) else "") and r[1] or r[1]) for k, r in enumerate(rows)], ["and", "the"])
+        assert len(got) == 10 and max(want.values()) == pytest.approx(got[0].score, abs=2e-6)
+    assert Counter(len(r.entry_id.split(":")) for r in got) == {2: 10}
