@@ -5,7 +5,8 @@ bigrams at most, so of two words an edit apart, the one whose prefix ends first
 other's prefix in its own, unless the edit spoils them. Two disjoint bigrams of the prefix, its pivots, can't both be
 spoilt. So one word's pivot stands in the other's prefix, at the same place or one beside it, according to lengths. The
 pivots are the two disjoint ones of least total frequency, by dynamic programming over places. Pivots are joined with
-prefixes on bigram, place and length, and what meets is verified.
+prefixes on bigram, place and length. Of what meets, the letters that occur an odd number of times are compared first, as bits
+of a word: one edit changes two bits at most, or just one if the lengths differ. What passes is verified.
 
 The order needs frequencies of bigrams: they are counted by hash in ORDERED classes, a table of fixed size that is
 broadcast; any total order gives right results.
@@ -92,21 +93,26 @@ def near_pairs(words: DataFrame) -> DataFrame:
         count = frequency.value
         for batch in batches:
             out: list[tuple] = []
-            for word in batch.column(0).to_pylist():
+            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 order = sorted((count[c := zlib.crc32((g := word[i : i + 2]).encode()) % ORDERED], c, g, i) for i in range(len(word) - 1))
                 prefix = [x for x in order if x[:3] <= order[2][:3]]
                 chosen = {*pivots(sorted((i, f) for f, _, _, i in prefix), 2, 2)}
-                out += [(word, g, i, len(word), i in chosen) for _, _, g, i in prefix]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 5, (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.bool_()), strict=True)], ["word", "gram", "at", "size", "pivot"])
-
-    grams = written(words.select("word").mapInArrow(signed, "word string, gram string, at int, size int, pivot boolean").join(words, "word"), "grams")
+                odd = 0
+                for letter in word:
+                    odd ^= 1 << ord(letter) % 63
+                out += [(word, n, g, i, len(word), odd, i in chosen) for _, _, g, i in prefix]
+            kinds = (pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 7, kinds, strict=True)], ["word", "n", "gram", "at", "size", "odd", "pivot"])
+
+    grams = written(words.select("word", "n").mapInArrow(signed, "word string, n long, gram string, at int, size int, odd long, pivot boolean"), "grams")
     # a letter replaced leaves other bigrams where they are; one more or less moves those behind it
     moves = F.array(*(F.struct(F.lit(a).alias("at"), F.lit(s).alias("size")) for a, s in ((0, 0), (0, 1), (1, 1), (0, -1), (-1, -1))))
     sought = grams.where("pivot").withColumn("m", F.explode(moves)).select(
-        F.col("word").alias("other"), F.col("n").alias("other_n"), "gram", (F.col("at") + F.col("m.at")).alias("at"), (F.col("size") + F.col("m.size")).alias("size")
+        F.col("word").alias("other"), F.col("n").alias("other_n"), "gram", (F.col("at") + F.col("m.at")).alias("at"), (F.col("size") + F.col("m.size")).alias("size"),
+        F.col("odd").alias("other_odd"), F.when(F.col("m.size") == 0, 2).otherwise(1).alias("most"),
     )
-    met = grams.select("word", "n", "gram", "at", "size").join(sought, ["gram", "at", "size"])
-    near = met.where(F.levenshtein("word", "other", 1) == 1).select("word", "n", "other", "other_n")
+    met = grams.select("word", "n", "gram", "at", "size", "odd").join(sought, ["gram", "at", "size"])
+    near = met.where(F.bit_count(F.col("odd").bitwiseXOR(F.col("other_odd"))) <= F.col("most")).where(F.levenshtein("word", "other", 1) == 1).select("word", "n", "other", "other_n")
     return near.unionByName(near.select(F.col("other").alias("word"), F.col("other_n").alias("n"), F.col("word").alias("other"), F.col("n").alias("other_n"))).distinct()
 
 
