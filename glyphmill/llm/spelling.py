@@ -5,7 +5,7 @@ bigrams at most, so of two words an edit apart, the one whose prefix ends first
 other's prefix in its own, unless the edit spoils them. Two disjoint bigrams of the prefix, its pivots, can't both be
 spoilt. So one word's pivot stands in the other's prefix, at the same place or one beside it, according to lengths. The
 pivots are the two disjoint ones of least total frequency, by dynamic programming over places. Pivots are joined with
-prefixes on bigram, place and length. Of what meets, the letters that occur an odd number of times are compared first, as bits
+prefixes on bigram and place, and on letters around it which an edit elsewhere must leave as they are (`sought_keys`). Of what meets, the letters that occur an odd number of times are compared first, as bits
 of a word: one edit changes two bits at most, or just one if the lengths differ. What passes is verified.
 
 The order needs frequencies of bigrams: they are counted by hash in ORDERED classes, a table of fixed size that is
@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,6 +82,28 @@ def pivots(places: list[tuple[int, int]], width: int, count: int) -> list[int]:
     return list(best[n][count][1])
 
 
+def own_keys(word: str, places: list[int]) -> set[str]:
+    """What a word is found by: around each bigram of its prefix, what an edit on either side of it would leave as it is."""
+    found = {f"b0 {word[k:]}" for k in (1, 2, 3)} | {f"d0 {word[:-k]}" for k in (1, 2, 3)}
+    for q in places:
+        head, tail = word[: q + 2], word[q:]
+        found |= {f"a {tail}", f"e {head}", f"b1 {word[0]} {tail}", f"b2 {word[:2]} {tail}", f"d1 {head} {word[-1]}", f"d2 {head} {word[-2:]}"}
+    return found
+
+
+def sought_keys(word: str, first: int, second: int) -> set[str]:
+    """Of the words that an edit of `word` makes and whose prefixes hold what pivot it leaves, each has one of these keys.
+
+    a: the edit is before the first pivot, and all from there on stays. e: behind the second one. d2: between them, or in the
+    second pivot with two letters behind it. d1, d0: in the second pivot with one letter behind it or none; d0 has all before it.
+    b2, b1, b0: in the first pivot with two letters before it, one, or none; b0 has all behind it.
+    """
+    head, tail, behind = word[: first + 2], word[second:], len(word) - second - 2
+    found = {f"a {word[first:]}", f"e {word[:second + 2]}", f"d2 {head} {word[-2:]}"}
+    found.add(f"b0 {word[2:]}" if first == 0 else f"b1 {word[0]} {tail}" if first == 1 else f"b2 {word[:2]} {tail}")
+    return found if behind > 1 else found | {f"d1 {head} {word[-1]}" if behind else f"d0 {word[:-2]}"}
+
+
 def near_pairs(words: DataFrame) -> DataFrame:
     """word, n, other, other_n for every two of words (word, n; words differ and have 5 letters or more) that are one
     inserted, deleted or replaced letter apart; both ways round."""
@@ -90,29 +113,36 @@ def near_pairs(words: DataFrame) -> DataFrame:
     frequency = spark.sparkContext.broadcast(dict(map(tuple, classes.collect())))  # ORDERED rows at most
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = frequency.value
+        count, order_of = frequency.value, {}
+        hashed = lambda keys: [h - (1 << 64) if h >> 63 else h for h in map(xxhash.xxh64_intdigest, keys)]
         for batch in batches:
-            out: list[tuple] = []
-            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                order = sorted((count[c := zlib.crc32((g := word[i : i + 2]).encode()) % ORDERED], c, g, i) for i in range(len(word) - 1))
-                prefix = [x for x in order if x[:3] <= order[2][:3]]
-                chosen = {*pivots(sorted((i, f) for f, _, _, i in prefix), 2, 2)}
+            odds, own, sought = [], [], []
+            for word in batch.column(0).to_pylist():
+                order = []
+                for i in range(len(word) - 1):
+                    gram = word[i : i + 2]
+                    known = order_of.get(gram)
+                    if known is None:
+                        c = zlib.crc32(gram.encode()) % ORDERED
+                        known = order_of[gram] = count[c], c, gram
+                    order.append((known, i))
+                order.sort()
+                prefix = sorted((i, k[0]) for k, i in order if k <= order[2][0])
                 odd = 0
                 for letter in word:
                     odd ^= 1 << ord(letter) % 63
-                out += [(word, n, g, i, len(word), odd, i in chosen) for _, _, g, i in prefix]
-            kinds = (pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 7, kinds, strict=True)], ["word", "n", "gram", "at", "size", "odd", "pivot"])
-
-    grams = written(words.select("word", "n").mapInArrow(signed, "word string, n long, gram string, at int, size int, odd long, pivot boolean"), "grams")
-    # a letter replaced leaves other bigrams where they are; one more or less moves those behind it
-    moves = F.array(*(F.struct(F.lit(a).alias("at"), F.lit(s).alias("size")) for a, s in ((0, 0), (0, 1), (1, 1), (0, -1), (-1, -1))))
-    sought = grams.where("pivot").withColumn("m", F.explode(moves)).select(
-        F.col("word").alias("other"), F.col("n").alias("other_n"), "gram", (F.col("at") + F.col("m.at")).alias("at"), (F.col("size") + F.col("m.size")).alias("size"),
-        F.col("odd").alias("other_odd"), F.when(F.col("m.size") == 0, 2).otherwise(1).alias("most"),
-    )
-    met = grams.select("word", "n", "gram", "at", "size", "odd").join(sought, ["gram", "at", "size"])
-    near = met.where(F.bit_count(F.col("odd").bitwiseXOR(F.col("other_odd"))) <= F.col("most")).where(F.levenshtein("word", "other", 1) == 1).select("word", "n", "other", "other_n")
+                odds.append(odd)
+                own.append(hashed(own_keys(word, [i for i, _ in prefix])))
+                sought.append(hashed(sought_keys(word, *pivots(prefix, 2, 2))))
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(odds, pa.int64()), pa.array(own, longs), pa.array(sought, longs)], ["word", "n", "odd", "own", "sought"])
+
+    grams = written(words.select("word", "n").mapInArrow(signed, "word string, n long, odd long, own array<long>, sought array<long>"), "grams")
+    own = grams.select("word", "n", "odd", F.char_length("word").alias("size"), F.explode("own").alias("key"))
+    sought = grams.select(F.col("word").alias("other"), F.col("n").alias("other_n"), F.col("odd").alias("other_odd"), F.char_length("word").alias("other_size"), F.explode("sought").alias("key"))
+    apart = F.abs(F.col("size") - F.col("other_size"))
+    met = own.join(sought, "key").where((apart <= 1) & (F.bit_count(F.col("odd").bitwiseXOR(F.col("other_odd"))) <= 2 - apart))
+    near = met.where(F.levenshtein("word", "other", 1) == 1).select("word", "n", "other", "other_n")
     return near.unionByName(near.select(F.col("other").alias("word"), F.col("other_n").alias("n"), F.col("word").alias("other"), F.col("n").alias("other_n"))).distinct()
 
 

@@ -70,6 +70,22 @@ def test_pivots_are_disjoint_and_rarest():
         assert len(got) == 2 and got[1] - got[0] >= 2 and weight[got[0]] + weight[got[1]] == best
 
 
+def test_every_edit_leaves_a_key():
+    rng = random.Random(5)
+    for _ in range(3000):
+        word = "".join(rng.choice("abc") for _ in range(rng.randint(5, 10)))
+        k, new = rng.randrange(len(word) + 1), rng.choice("abcd")
+        other = rng.choice([word[:k] + new + word[k:], word[:k] + new + word[k + 1 :], word[:k] + word[k + 1 :]])
+        if other == word or len(other) < 5:
+            continue
+        first, second = sorted(rng.sample([i for i in range(len(word) - 1)], 2))
+        if second - first < 2:
+            continue
+        left = [word[first : first + 2], word[second : second + 2]]
+        places = [i for i in range(len(other) - 1) if other[i : i + 2] in left]  # as if all that is left were in the prefix
+        assert spelling.own_keys(other, places) & spelling.sought_keys(word, first, second), (word, other, first, second)
+
+
 def test_chains_ties_and_empty(spark):
     words = {"abcde": 3, "abcdef": 6, "abcdefg": 12, "abcdefgh": 24, "xbcde": 6, "zzzzz": 3, "zzzzy": 5}
     got = {r.word: r for r in spelling.groups(frame(spark, words)).collect()}
