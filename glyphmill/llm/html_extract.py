@@ -8,8 +8,9 @@ most of theirs, else the smallest container with all of it; an article or main e
 Inside the region, elements that can't be text of the article (menus, forms, scripts, hidden ones) are out, as are
 whole containers whose class or id says so and nothing else ("site-footer", "related-posts"). A name that says so
 among other words ("legal-analysis", "promo-story") is a hint only: such a container goes if the clusters leave it
-without a content line, and so do runs of links outside of articles. All else stays. A page takes time in proportion
-to its length, however deep its tags are nested.
+without a content line, and so do runs of links outside of articles. What would be out but is wrapped around the page
+(a form, a hidden body, a menu that is never closed) isn't. All else stays. A page takes time in proportion to its
+length, however deep its tags are nested; markup that never ends is cut off first, as each tag of it would be sought to the end.
 """
 
 from __future__ import annotations
@@ -49,6 +50,11 @@ CLOSES = {  # an opening tag ends an open element of these
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "a": ("a",),
 }
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Of DROPPED, what stands inside a line of text without ending it, and what may be wrapped around a whole page.
+INLINE = frozenset("script style noscript template button select textarea iframe object svg canvas audio map".split())
+WRAPPERS = frozenset("nav aside form dialog menu header".split())
+#: The beginning of markup that never ends, if no ">" follows.
+_CUT = re.compile(r"<[A-Za-z/!?]")
 _REMARKS = re.compile(r"\W*(?P<count>\d+\s+)?(reader |user )?(comments|responses|kommentare|commentaires|comentarios)\W*(?P<after>\(?\d+\)?)?\W*|\W*1\s+(comment|response|kommentar|commentaire|comentario)\W*", re.I)
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])|[^A-Za-z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -57,11 +63,12 @@ NOTHING, HINT, STRONG = range(3)
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "at", "last", "drop", "inside", "linked", "told")
+    __slots__ = ("tag", "parent", "at", "last", "drop", "hides", "inside", "linked", "told")
 
-    def __init__(self, tag: str, parent: _Node | None, at: int, drop: bool, told: int):
-        self.tag, self.parent, self.at, self.last, self.told = tag, parent, at, at, told
-        self.drop = drop or bool(parent and parent.drop)
+    def __init__(self, tag: str, parent: _Node | None, at: int, hides: bool, told: int):
+        """hides: the element is no text of the article, unless the article is in it; of DROPPED but WRAPPERS it is none for sure."""
+        self.tag, self.parent, self.at, self.last, self.told, self.hides = tag, parent, at, at, told, hides
+        self.drop = tag in DROPPED and tag not in WRAPPERS or bool(parent and parent.drop)
         self.inside = tag in ("article", "main") or bool(parent and parent.inside)
         self.linked = tag == "a" or bool(parent and parent.linked)
 
@@ -98,8 +105,10 @@ def _gone(tag: str, attrs: list, inside: bool) -> bool:
 def _told(tag: str, attrs: list, inside: bool) -> int:
     if tag == "article":
         return STRONG if any(n in ("class", "id") and any(w.lower().startswith("comment") for w in _CAMEL.split(v or "")) for n, v in attrs) else NOTHING
-    if tag in PROTECTED:
+    if tag in PROTECTED or tag in HEADINGS:
         return NOTHING
+    if inside and tag == "section":  # an id there is a place to jump to, and its name one of the article's topics
+        attrs = [(n, v) for n, v in attrs if n != "id"]
     return max((_named(v or "", inside) for n, v in attrs if n in ("class", "id")), default=NOTHING)
 
 
@@ -122,7 +131,7 @@ class _Lines(HTMLParser):
         self.tags = self.linked = 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in BLOCKS or tag in DROPPED:
+        if tag in BLOCKS or tag in DROPPED and tag not in INLINE:
             self.flush()
         self.tags += 1
         if tag in ("br", "td", "th"):
@@ -155,7 +164,7 @@ class _Lines(HTMLParser):
             self.node = at.parent
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in BLOCKS or tag in DROPPED:
+        if tag in BLOCKS or tag in DROPPED and tag not in INLINE:
             self.flush()
         self.tags += 1
         self._end(tag)
@@ -223,16 +232,20 @@ def _outside(lines: list, spans: list[tuple[int, int]]) -> list:
 
 
 def _honoured(nodes: list[_Node], lines: list) -> list[_Node]:
-    """Outermost containers that their names rule out, but for one that holds all articles of a page and most of its text."""
+    """Outermost elements that their tags, attributes or names rule out, but for those wrapped around the page: around all
+    its articles and most of its text, or, of elements that hide or are forms, around nearly all text of a page without an article."""
+    articles = [n.at for n in nodes if n.tag in ("article", "main") and n.told != STRONG]
+    texts = _sums(nodes, _per_node(lines, [len(x[0]) - x[3] for x in lines]))
+    some = [at for at in articles if texts[at]]
     marked, end = [], -1
     for n in nodes:
-        if n.told == STRONG and n.at > end:
+        if n.at > end and (n.told == STRONG or n.hides):
+            around = all(n.at <= at <= n.last for at in some) and (2 if some else 1.25) * texts[n.at] >= texts[0]
+            if around and (some or n.hides):
+                continue  # what is ruled out inside of it still is
             marked.append(n)
             end = n.last
-    articles = {n.at for n in nodes if n.tag in ("article", "main") and n.told != STRONG}
-    texts = _sums(nodes, _per_node(lines, [len(x[0]) - x[3] for x in lines]))
-    some = [at for at in articles if texts[at]]
-    return [m for m in marked if not (some and all(m.at <= at <= m.last for at in some) and 2 * texts[m.at] >= texts[0])]
+    return marked
 
 
 def _without_remarks(lines: list) -> list:
@@ -288,7 +301,8 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     page = _Lines()
-    page.feed(html)
+    cut = _CUT.search(html, html.rfind(">") + 1)  # a tag that never ends has no text, nor what follows it
+    page.feed(html[: cut.start()] if cut else html)
     page.close()
     page.flush()
     nodes = page.nodes

@@ -1,5 +1,8 @@
 import html
 import re
+import time
+
+import pytest
 
 from glyphmill.llm.html_extract import cluster_threshold, extract, main_text, smoothed_ratios
 
@@ -117,3 +120,41 @@ def test_time_is_linear_in_depth():
         began = time.process_time()
         main_text(page)
         assert time.process_time() - began < 4
+
+
+TEXT = "<p>The first paragraph of the article says something long enough to count as text.</p><p>A second one follows it, with as many words in it.</p>"
+PLAIN = ["The first paragraph of the article says something long enough to count as text.", "A second one follows it, with as many words in it."]
+MENU, FOOT = "<nav><a href=1>Home</a> <a href=2>News</a></nav>", "<footer>Copyright 2020 Someone</footer>"
+
+
+@pytest.mark.parametrize(
+    "body",
+    [
+        f"<body><form id=page>{MENU}<article><h1>T</h1>{TEXT}</article>{FOOT}</form></body>",
+        f"<body><form id=page>{MENU}<div><h1>T</h1>{TEXT}</div>{FOOT}</form></body>",
+        f'<body style="visibility:hidden">{MENU}<main><h1>T</h1>{TEXT}</main>{FOOT}</body>',
+        f"<body><nav><a href=1>Home</a> <a href=2>News</a><main><h1>T</h1>{TEXT}</main>{FOOT}</body>",
+        f"<body>{MENU}<article><h1>T</h1>{TEXT}</article><form><p>Your address for our letter</p><input></form><div hidden>Not shown</div>{FOOT}</body>",
+    ],
+)
+def test_wrappers_around_a_page(body):
+    assert main_text(body).split("\n") == ["T", *PLAIN]
+
+
+def test_headings_and_topics_named_like_boilerplate():
+    page = f'<body><article><h2 id="related">Related work</h2>{TEXT}<section id="search"><p>Search is a topic here.</p></section><section id="sharing"><h3 id="legal">Law</h3></section></article></body>'
+    assert main_text(page).split("\n") == ["Related work", *PLAIN, "Search is a topic here.", "Law"]
+
+
+def test_inline_elements_without_text_split_no_paragraph():
+    page = f"<body><article><p>One two <script>x()</script>three <button>Go</button>four <svg><text>q</text></svg>five<style>p</style>.</p>{TEXT}</article></body>"
+    assert main_text(page).split("\n") == ["One two three four five.", *PLAIN]
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<!-- ", "</a ", '<a b="', "<![CDATA[", "<script>", "<p ", "<? "])
+def test_markup_that_never_ends(piece):
+    for end in ("", ">"):
+        began = time.process_time()
+        main_text(f"<body>{TEXT}" + piece * (100_000 // len(piece)) + end)
+        assert time.process_time() - began < 2
+    assert main_text(f"<body><article>{TEXT}</article> a < b <a href=").split("\n")[:2] == PLAIN
