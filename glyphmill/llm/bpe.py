@@ -27,6 +27,8 @@ MAX_VOCABULARY = 1_000_000
 REMEMBERED = 400_000
 #: The pattern whose matches never hold a space but as their first character or among white space.
 USUAL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Bytes of a match up to which `Counters` looks for the least rank in a list.
+SHORT = 64
 _LOW = (1 << 64) - 1
 _POINTS = frozenset(",.;:!?")
 _WHITE = frozenset(c for c in map(chr, range(0x3001)) if regex.match(r"\s", c))
@@ -242,8 +244,37 @@ class Counters:
         self.known: dict[str, tuple[int, ...]] = {}
 
     def _count(self, text: str) -> tuple[int, ...]:
-        pres = self.codecs[0].split(text)
-        return tuple(sum(len(c.token_ids(p)) for p in pres) for c in self.codecs)
+        tail = text[-1:] in _POINTS
+        if (text[1:-1] if tail else text[1:]).isalpha() and text[0] == " ":  # a word, and a mark at most
+            pres = [text[:-1], text[-1]] if tail else [text]
+        else:
+            pres = self.codecs[0].split(text)
+        return tuple(sum(self._tokens(c, p.encode("utf-8", "replace")) for p in pres) for c in self.codecs)
+
+    @staticmethod
+    def _tokens(codec: Codec, token: bytes) -> int:
+        """The number of ids of one match. Of a short one all ranks are held in a list; its ids are not needed."""
+        i = codec.perfect.find(token)
+        if i >= 0 and codec.tokens[i] == token:
+            return 1
+        if len(token) > SHORT:
+            return len(codec.merge(token))
+        ids, rank_of = list(map(codec.byte_ids.__getitem__, token)), codec.pairs.get
+        if -1 in ids:
+            raise ValueError("the vocabulary lacks a byte")
+        ranks = [rank_of(a << 20 | b, _LOW) for a, b in zip(ids, ids[1:])]
+        while ranks:
+            least = min(ranks)
+            if least == _LOW:
+                break
+            i = ranks.index(least)
+            ids[i] = least
+            del ids[i + 1], ranks[i]
+            if i < len(ranks):
+                ranks[i] = rank_of(least << 20 | ids[i + 1], _LOW)
+            if i:
+                ranks[i - 1] = rank_of(ids[i - 1] << 20 | least, _LOW)
+        return len(ids)
 
     def counts(self, text: str) -> list[int]:
         """The number of ids of a text by vocabulary. No match crosses a space that something else than white space follows."""

@@ -25,19 +25,22 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents under two vocabularies: a load of the texts as they came, a revision of those that lose white space
-    at their ends, a purge of documents without a word, and a load that arrives again."""
-    rows = written(token_rollup.counted(table(spark, sf_dir, "documents"), VOCABULARIES, public_tokenizers.PATTERN), "counts")
+    """All documents under two vocabularies: a load of the texts as they came; every third one revised to lower case; every seventh
+    one deleted, of which some were revised; and the load and the deletes arriving again. A document without an id is loaded only."""
+    i = F.col("doc_id")
+    lower = F.when(i % 3 == 0, F.lower(F.coalesce("text", F.lit(""))))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    rows = written(token_rollup.counted(docs, VOCABULARIES, public_tokenizers.PATTERN, revised=lower), "counts")
 
     def changes(op: str, of: DataFrame, now, was) -> DataFrame:
         return of.select(F.lit(op).alias("op"), "source", "lang", "tokenizer", now.alias("n_tokens"), was.alias("was_tokens"))
 
-    none, whole, bare = F.lit(None).cast("long"), F.col("n_tokens"), F.col("bare_tokens")
-    load = changes("insert", rows, whole, none)
-    trim = changes("revise", rows.where(bare.isNotNull()), bare, whole)
-    purge = changes("delete", rows.where(F.coalesce(bare, whole) == 0), none, F.coalesce(bare, whole))
+    none, first, then = F.lit(None).cast("long"), F.col("n_tokens"), F.col("revised_tokens")
+    load = changes("insert", rows, first, none)
+    revise = changes("revise", rows.where(i % 3 == 0), then, first)
+    delete = changes("delete", rows.where(i % 7 == 0), none, F.coalesce(then, first))
     rollup = token_rollup.TokenRollup(spark, scratch(spark, "rollup"))
-    for batch, part in (("load", load), ("trim", trim), ("purge", purge), ("load", load)):
+    for batch, part in (("load", load), ("revise", revise), ("delete", delete), ("load", load), ("delete", delete)):
         rollup.apply(batch, part)
     return rollup.totals()
 

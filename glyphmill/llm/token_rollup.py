@@ -8,11 +8,10 @@ A rollup is the sum of all runs; documents are never counted again.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import BLANKS
 from .runs import RunStore
 
 KEYS = ["source", "lang", "tokenizer"]
@@ -52,16 +51,17 @@ class TokenRollup:
         return _folded(self.runs.read()).where("n_docs <> 0 or n_tokens <> 0")
 
 
-def counted(docs: DataFrame, vocabularies: dict[str, str], pattern: str, text_col: str = "text") -> DataFrame:
-    """source, lang, tokenizer, n_tokens, bare_tokens of every row under every vocabulary (tokenizer version -> path).
+def counted(docs: DataFrame, vocabularies: dict[str, str], pattern: str, text_col: str = "text", revised: Column | None = None) -> DataFrame:
+    """source, lang, tokenizer, n_tokens, revised_tokens of every row under every vocabulary (tokenizer version -> path), and its id columns.
 
-    n_tokens counts the text as it is, bare_tokens the text without [\\x20\\x09-\\x0D] at both ends, null where that is
-    the same. A null text counts as empty. Texts are cut into chunks once for all vocabularies.
+    n_tokens counts the text as it is, revised_tokens the text that `revised` gives for a row, null where it gives none. A
+    null text counts as empty. Texts are cut into chunks once for all vocabularies. Other columns of docs stay but for
+    the text; they must not be called whole, revised, or by a result's name.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    bare = F.trim(text, F.lit(BLANKS))
-    rows = docs.select("source", "lang", text.alias("whole"), F.when(F.octet_length(bare) < F.octet_length(text), bare).alias("bare"))
-    names = {f"tokens{k}": path for k, path in enumerate(vocabularies.values())}
-    found = bpe.counts(rows, names, pattern, ["whole", "bare"])
-    each = [F.struct(F.lit(v).alias("tokenizer"), F.col(n)[0].alias("n_tokens"), F.col(n)[1].alias("bare_tokens")) for v, n in zip(vocabularies, names, strict=True)]
-    return found.select("source", "lang", F.explode(F.array(*each)).alias("x")).select("source", "lang", "x.*")
+    others = [c for c in docs.columns if c != text_col]
+    rows = docs.select(*others, text.alias("whole"), (F.lit(None).cast("string") if revised is None else revised).alias("revised"))
+    names = {f"_tokens{k}": path for k, path in enumerate(vocabularies.values())}
+    found = bpe.counts(rows, names, pattern, ["whole", "revised"])
+    each = [F.struct(F.lit(v).alias("tokenizer"), F.col(n)[0].alias("n_tokens"), F.col(n)[1].alias("revised_tokens")) for v, n in zip(vocabularies, names, strict=True)]
+    return found.select(*others, F.explode(F.array(*each)).alias("_x")).select(*others, "_x.*")
