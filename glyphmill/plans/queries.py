@@ -14,13 +14,16 @@ from pyspark.sql import functions as F
 
 from ..functions.tagged import BLANK, TOKEN
 from ..operators import results as parsing
+from ..operators import regions as places
 from ..operators import search, tables
 from ..sources import images
 from ..sources.index import StoredIndex
+from ..sources.keyed import KeyedStore
 from ..sources.store import scratch
 from . import flow
 
 TERMS = ["the", "and"]
+LEVELS = ["128", "of"]
 PHRASE, NEAR, SPAN = ["of", "the"], ["and", "of", "the"], 5
 
 
@@ -104,8 +107,8 @@ def search_after_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.union(second)
 
 
-def indexed_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages as documents with readable text and grey images as visual ones, all the way into a stored index and out of it.
+def flow_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pages as documents with readable text, grey images as visual ones, and their regions.
 
     Every seventh image's region has a box beside the image, of which nothing comes.
     """
@@ -114,11 +117,50 @@ def indexed_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     scans = grey.select(F.concat(F.lit("v"), "region_id").alias("source_id"), F.lit("image/png").alias("media_type"), "image")
     x = F.when(F.col("vec_id") % 7 == 0, F.lit(99)).otherwise(F.col("bbox.x"))
     boxes = grey.select(F.concat(F.lit("b"), "region_id").alias("region_id"), F.concat(F.lit("v"), "region_id").alias("source_id"), F.lit(0).alias("page_no"), F.struct(x.alias("x"), "bbox.y", "bbox.w", "bbox.h").alias("bbox"))
+    return pages, scans, boxes
+
+
+def indexed_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and images all the way into a stored index and out of it."""
     stored = StoredIndex(spark, scratch(spark, "flow"))
-    flow.ingest(pages, scans, boxes, flow.plain_pages, images.brightness_backend, stored, "all")
+    flow.ingest(*flow_tables(spark, sf_dir), flow.plain_pages, images.brightness_backend, stored, "all")
     return stored.entries().select("entry_id", "source_id", "region_id", "page_no", "channel", F.char_length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
 
 
+def review_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best descriptions of grey images, with the box, the image and the crop that each was made of."""
+    pages, scans, boxes = flow_tables(spark, sf_dir)
+    stored = StoredIndex(spark, scratch(spark, "flow"))
+    flow.ingest(pages.where("false"), scans, boxes, flow.plain_pages, images.brightness_backend, stored, "all")
+    kept, seen = KeyedStore(spark, scratch(spark, "regions"), "region_id"), KeyedStore(spark, scratch(spark, "scans"), "source_id")
+    kept.write(boxes)
+    seen.write(scans.select("source_id", F.concat(F.lit("scan://"), "source_id").alias("uri"), "image"))
+    found = search.review(stored, kept, seen, LEVELS, 10)
+    return found.select("entry_id", "score", "source_id", "uri", "page_no", "region_id", *(F.col(f"bbox.{c}").alias(c) for c in "xywh"), F.sha2("image.data", 256).alias("image_sha256"), F.sha2("crop.data", 256).alias("crop_sha256"))
+
+
+def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, region_id, source_id, page_no, bbox: a box for every document, some hundred a page; every 13th breaks the contract."""
+    i = F.col("doc_id")
+    box = lambda c, v: v.cast("int").alias(c)
+    bad = F.when(i % 39 == 0, F.lit(0)).otherwise(F.lit(-5))
+    width = F.when(i % 13 == 0, bad).otherwise(20 + i * 31 % 90)
+    bbox = F.struct(box("x", i * 7919 % 900), box("y", i * 104729 % 1300), box("w", width), box("h", 10 + i * 17 % 50))
+    return table(spark, sf_dir, "documents").select("doc_id", i.cast("string").alias("region_id"), F.col("source").alias("source_id"), F.floor(i / 250).cast("int").alias("page_no"), bbox.alias("bbox"))
+
+
+def nearest_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three native blocks nearest to each table of a source."""
+    boxes = placed(spark, sf_dir)
+    return places.nearest_blocks(boxes.where("doc_id % 3 = 0").withColumnRenamed("region_id", "table_id"), boxes.where("doc_id % 3 = 2").withColumnRenamed("region_id", "block_id"), 3)
+
+
+def resolved_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of one page that overlap by a quarter of the smaller one, resolved to the largest of each group."""
+    found = places.resolve_regions(placed(spark, sf_dir).withColumn("source_id", F.lit("one")), 0.25)
+    return found.select("region_id", "page_no", "kept_by", (F.col("region_id") == F.col("kept_by")).alias("kept"))
+
+
 def _tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsing.parse_tagged(raw_tables(spark, sf_dir))
 
@@ -185,6 +227,10 @@ def queries() -> dict:
         "infer_stub": lambda s, d: parsing.parse_tagged(images.infer(grey_images(s, d), images.unread_backend)),
         "infer_brightness": lambda s, d: parsing.parse_tagged(images.infer(grey_images(s, d), images.brightness_backend)),
         "indexed_flow": indexed_flow,
+        "review_hits": review_hits,
+        "nearest_blocks": nearest_blocks,
+        "resolved_regions": resolved_regions,
+        "region_rejects": lambda s, d: places.region_rejects(placed(s, d)),
         "read_images": read_images,
         "route": lambda s, d: images.route(table(s, d, "pages").select(F.col("page_id").cast("string").alias("source_id"), F.when(F.col("page_id") % 3 == 0, "text/html").when(F.col("page_id") % 3 == 1, "image/png").alias("media_type"))),
     }
@@ -214,11 +260,14 @@ _INDEX = """e AS (
   UNION ALL SELECT 'r:' || r.region_id, d.source, r.region_id, CAST(d.doc_id // 100 AS INTEGER), r.kind, r.content FROM results r JOIN documents d ON r.region_id = CAST(d.doc_id AS VARCHAR) AND d.doc_id % 5 <> 4)"""
 
 
-def _bm25(of: str, name: str) -> str:
+_PLACED = """p AS (SELECT doc_id AS i, CAST(doc_id AS VARCHAR) AS region_id, source AS source_id, CAST(doc_id // 250 AS INTEGER) AS page_no, doc_id * 7919 % 900 AS x, doc_id * 104729 % 1300 AS y, 20 + doc_id * 31 % 90 AS w, 10 + doc_id * 17 % 50 AS h FROM documents)"""
+
+
+def _bm25(of: str, name: str, words: tuple[str, str] = ("and", "the")) -> str:
     tf = lambda w: f"len(list_filter(ts, lambda t: t = '{w}'))"
     part = lambda i: f"CASE WHEN f{i} > 0 THEN ln(1.0 + ((SELECT count(*) FROM {name}_s)::DOUBLE - d{i} + 0.5) / (d{i} + 0.5)) * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * n / m)) ELSE 0 END"
     return f"""{name}_t AS (SELECT entry_id, regexp_extract_all(lower(text), '{TOKEN}') AS ts FROM {of}),
-{name}_s AS (SELECT entry_id, coalesce(len(ts), 0) AS n, {tf('and')} AS f0, {tf('the')} AS f1 FROM {name}_t),
+{name}_s AS (SELECT entry_id, coalesce(len(ts), 0) AS n, {tf(words[0])} AS f0, {tf(words[1])} AS f1 FROM {name}_t),
 {name}_d AS (SELECT avg(n) AS m, count(*) FILTER (f0 > 0)::DOUBLE AS d0, count(*) FILTER (f1 > 0)::DOUBLE AS d1 FROM {name}_s),
 {name} AS (SELECT entry_id, round(0.0 + {part(0)} + {part(1)}, 6) AS score FROM {name}_s, {name}_d WHERE f0 > 0 OR f1 > 0)"""
 
@@ -262,5 +311,20 @@ def oracle_sql() -> dict[str, str]:
           SELECT 'n:p' || page_id || ':0' AS entry_id, 'p' || page_id AS source_id, CAST(NULL AS VARCHAR) AS region_id, 0 AS page_no, 'native' AS channel, coalesce(html, '') AS text FROM pages WHERE html IS NOT NULL
           UNION ALL SELECT 'r:b' || vec_id, 'v' || vec_id, 'b' || vec_id, 0, 'description', {said(12, box)} FROM embeddings WHERE len(embedding) >= 64 AND vec_id % 7 <> 0)
           SELECT entry_id, source_id, region_id, page_no, channel, CAST(length(text) AS BIGINT) AS n_chars, sha256(text) AS text_sha256 FROM t""",
+        "review_hits": f"""WITH t AS (SELECT vec_id, 'r:b' || vec_id AS entry_id, {said(12, box)} AS text, {data} AS pixels,
+          array_to_string(list_transform([27, 28, 29, 35, 36, 37, 43, 44, 45, 51, 52, 53], lambda i: {pixel('embedding[i]')}), '') AS part FROM embeddings WHERE len(embedding) >= 64 AND vec_id % 7 <> 0),
+          {_bm25('t', 'b', ('128', 'of'))}, {top} SELECT entry_id, score, 'v' || vec_id AS source_id, 'scan://v' || vec_id AS uri, 0 AS page_no, 'b' || vec_id AS region_id, 2 AS x, 3 AS y, 3 AS w, 4 AS h,
+          sha256(unhex(pixels)) AS image_sha256, sha256(unhex(part)) AS crop_sha256 FROM top JOIN t USING (entry_id)""",
+        "nearest_blocks": f"""WITH {_PLACED}, g AS (SELECT *, page_no * 2000 + y AS top FROM p WHERE i % 13 <> 0 AND source_id IS NOT NULL),
+          d AS (SELECT a.region_id AS table_id, b.region_id AS block_id, greatest(b.x - a.x - a.w, a.x - b.x - b.w, 0) AS dx, greatest(b.top - a.top - a.h, a.top - b.top - b.h, 0) AS dy FROM g a JOIN g b ON a.source_id = b.source_id WHERE a.i % 3 = 0 AND b.i % 3 = 2),
+          r AS (SELECT table_id, CAST(row_number() OVER (PARTITION BY table_id ORDER BY dx * dx + dy * dy, block_id) AS INTEGER) AS rank, block_id, dx * dx + dy * dy AS distance2 FROM d) SELECT * FROM r WHERE rank <= 3""",
+        "resolved_regions": f"""WITH RECURSIVE {_PLACED}, g AS (SELECT * FROM p WHERE i % 13 <> 0),
+          l AS (SELECT a.region_id AS a, b.region_id AS b FROM g a JOIN g b ON a.page_no = b.page_no AND a.region_id <> b.region_id
+            WHERE least(a.x + a.w, b.x + b.w) > greatest(a.x, b.x) AND least(a.y + a.h, b.y + b.h) > greatest(a.y, b.y)
+            AND (least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * (least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) >= least(a.w * a.h, b.w * b.h) * 0.25),
+          c AS (SELECT region_id AS a, region_id AS b FROM g UNION SELECT c.a, l.b FROM c JOIN l ON c.b = l.a),
+          k AS (SELECT c.a, first(c.b ORDER BY g.w * g.h DESC, c.b) AS kept_by FROM c JOIN g ON c.b = g.region_id GROUP BY c.a)
+          SELECT region_id, page_no, kept_by, region_id = kept_by AS kept FROM g JOIN k ON region_id = a""",
+        "region_rejects": f"WITH {_PLACED} SELECT region_id, CASE WHEN source_id IS NULL THEN 'no page' ELSE 'empty box' END AS reason FROM p WHERE i % 13 = 0 OR source_id IS NULL",
         "route": "SELECT CAST(page_id AS VARCHAR) AS source_id, CASE page_id % 3 WHEN 0 THEN 'text/html' WHEN 1 THEN 'image/png' END AS media_type, CASE page_id % 3 WHEN 0 THEN 'native' WHEN 1 THEN 'visual' ELSE 'unknown' END AS route FROM pages",
     }
