@@ -16,10 +16,11 @@ from ..functions.tagged import BLANK, TOKEN
 from ..operators import results as parsing
 from ..operators import regions as places
 from ..operators import search, tables
-from ..sources import images
+from ..sources import images, paged
 from ..sources.index import StoredIndex
 from ..sources.keyed import KeyedStore
 from ..sources.store import scratch
+from ..streaming import ingest
 from . import flow
 
 TERMS = ["the", "and"]
@@ -182,9 +183,8 @@ def png(width: int, height: int, grey: bytes) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
 
 
-def read_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PNG files of the images above, written by tasks to the shared folder and read back."""
-    root = scratch(spark, "images")
+def write_files(rows: DataFrame, root: str, ending: str) -> None:
+    """A file for each row (name, content) in the shared folder, written by tasks."""
 
     def write(batches):
         import pyarrow as pa
@@ -193,16 +193,58 @@ def read_images(spark: SparkSession, sf_dir: str) -> DataFrame:
         system, folder = fs.FileSystem.from_uri(root)
         system.create_dir(folder, recursive=True)
         for batch in batches:
-            for name, image in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                with system.open_output_stream(f"{folder}/{name}.png") as out:
-                    out.write(png(image["width"], image["height"], image["data"]))
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                content = png(content["width"], content["height"], content["data"]) if isinstance(content, dict) else content or b""
+                with system.open_output_stream(f"{folder}/{name}.{ending}") as out:
+                    out.write(content)
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
 
-    grey_images(spark, sf_dir).select("region_id", "image").mapInArrow(write, "n long").agg(F.sum("n")).collect()
+    rows.mapInArrow(write, "n long").agg(F.sum("n")).collect()
+
+
+def read_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PNG files of the images above, written by tasks to the shared folder and read back."""
+    root = scratch(spark, "images")
+    write_files(grey_images(spark, sf_dir).select("region_id", "image"), root, "png")
     name = F.regexp_extract("uri", r"([^/]*)\.png$", 1)
     return images.read_images(spark, root).select(name.alias("region_id"), "image.width", "image.height", "valid", F.sha2("image.data", 256).alias("pixels_sha256"))
 
 
+def streamed_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same files as a stream through the model and the parser into an index, 300 a batch; what the index says of the files."""
+    root = scratch(spark, "images")
+    write_files(grey_images(spark, sf_dir).select("region_id", "image"), root, "png")
+    stored = StoredIndex(spark, scratch(spark, "streamed"))
+    query = ingest.write_images_indexed(spark, root, stored.root, scratch(spark, "checkpoint"), images.brightness_backend, 300)
+    query.awaitTermination()
+    names = images.read_images(spark, root).select("source_id", F.regexp_extract("uri", r"([^/]*)\.png$", 1).alias("name"))
+    return stored.entries().join(names, "source_id").select("name", "channel", "page_no", "text")
+
+
+def streamed_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions and results as two streams of files; the regions that no result has come of in the end."""
+    raw, at = raw_outputs(spark, sf_dir), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("region_id").cast("long") % 1000)
+    kept = {"regions": raw.select("region_id", at.alias("at")), "results": parsing.parse_tagged(raw).select("region_id", at.alias("at"))}
+    streams = []
+    for name, rows in kept.items():
+        path = scratch(spark, name)
+        rows.write.parquet(path)
+        streams.append(spark.readStream.schema("region_id string, at timestamp").parquet(path))
+    out = scratch(spark, "waits")
+    ingest.write_waits(ingest.waits(*streams, lateness="1 day"), out, scratch(spark, "checkpoint")).awaitTermination()
+    return ingest.still_missing(spark.read.parquet(out))
+
+
+def paged_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages 2 to 5 of documents in files, whose pages are what stands between line breaks and ends of tags in `pages`."""
+    root, noted = scratch(spark, "paged"), scratch(spark, "survey")
+    body = F.encode(F.translate(F.coalesce("html", F.lit("")), "\n>", "\f\f"), "utf-8")
+    write_files(table(spark, sf_dir, "pages").select(F.col("page_id").cast("string"), body), root, "txt")
+    paged.survey(spark, root, noted, 2048)
+    found = paged.read_pages(spark, noted).where("page_no between 2 and 5")
+    return found.select("source_id", "page_no", F.char_length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def queries() -> dict:
     return {
         "parse_tagged": lambda s, d: parsing.parse_tagged(raw_outputs(s, d)),
@@ -232,6 +274,9 @@ def queries() -> dict:
         "resolved_regions": resolved_regions,
         "region_rejects": lambda s, d: places.region_rejects(placed(s, d)),
         "read_images": read_images,
+        "streamed_images": streamed_images,
+        "streamed_missing": streamed_missing,
+        "paged_text": paged_text,
         "route": lambda s, d: images.route(table(s, d, "pages").select(F.col("page_id").cast("string").alias("source_id"), F.when(F.col("page_id") % 3 == 0, "text/html").when(F.col("page_id") % 3 == 1, "image/png").alias("media_type"))),
     }
 
@@ -311,6 +356,9 @@ def oracle_sql() -> dict[str, str]:
           SELECT 'n:p' || page_id || ':0' AS entry_id, 'p' || page_id AS source_id, CAST(NULL AS VARCHAR) AS region_id, 0 AS page_no, 'native' AS channel, coalesce(html, '') AS text FROM pages WHERE html IS NOT NULL
           UNION ALL SELECT 'r:b' || vec_id, 'v' || vec_id, 'b' || vec_id, 0, 'description', {said(12, box)} FROM embeddings WHERE len(embedding) >= 64 AND vec_id % 7 <> 0)
           SELECT entry_id, source_id, region_id, page_no, channel, CAST(length(text) AS BIGINT) AS n_chars, sha256(text) AS text_sha256 FROM t""",
+        "streamed_images": f"SELECT CAST(vec_id AS VARCHAR) AS name, 'description' AS channel, 0 AS page_no, {said(64, bytes_)} AS text FROM embeddings WHERE len(embedding) >= 64",
+        "streamed_missing": f"{parsed} SELECT region_id FROM raw_outputs WHERE region_id NOT IN (SELECT region_id FROM results)",
+        "paged_text": "WITH t AS (SELECT page_id, string_split(translate(coalesce(html, ''), chr(10) || '>', chr(12) || chr(12)), chr(12)) AS xs FROM pages), l AS (SELECT page_id, unnest(xs) AS x, generate_subscripts(xs, 1) - 1 AS i FROM t) SELECT CAST(page_id AS VARCHAR) AS source_id, CAST(i AS BIGINT) AS page_no, CAST(length(x) AS BIGINT) AS n_chars, sha256(x) AS text_sha256 FROM l WHERE i BETWEEN 2 AND 5",
         "review_hits": f"""WITH t AS (SELECT vec_id, 'r:b' || vec_id AS entry_id, {said(12, box)} AS text, {data} AS pixels,
           array_to_string(list_transform([27, 28, 29, 35, 36, 37, 43, 44, 45, 51, 52, 53], lambda i: {pixel('embedding[i]')}), '') AS part FROM embeddings WHERE len(embedding) >= 64 AND vec_id % 7 <> 0),
           {_bm25('t', 'b', ('128', 'of'))}, {top} SELECT entry_id, score, 'v' || vec_id AS source_id, 'scan://v' || vec_id AS uri, 0 AS page_no, 'b' || vec_id AS region_id, 2 AS x, 3 AS y, 3 AS w, 4 AS h,
