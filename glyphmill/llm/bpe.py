@@ -235,21 +235,28 @@ class Codec:
 
 
 class Counters:
-    """Counts of ids under several vocabularies with the usual pattern: a chunk is cut once and looked up once for all."""
+    """Counts of ids under several vocabularies with the usual pattern: a chunk is cut once for all."""
 
     def __init__(self, codecs: list[Codec]):
         if any(c.pattern != USUAL for c in codecs):
             raise ValueError("the vocabularies must share the usual pattern")
         self.codecs = codecs
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def _count(self, text: str) -> tuple[int, ...]:
-        tail = text[-1:] in _POINTS
-        if (text[1:-1] if tail else text[1:]).isalpha() and text[0] == " ":  # a word, and a mark at most
-            pres = [text[:-1], text[-1]] if tail else [text]
-        else:
-            pres = self.codecs[0].split(text)
-        return tuple(sum(self._tokens(c, p.encode("utf-8", "replace")) for p in pres) for c in self.codecs)
+        self.words: dict[str, tuple[int, ...]] = {}
+
+    def count(self, text: str) -> tuple[int, ...]:
+        """The number of ids of a text by vocabulary; what stands before a mark at its end is remembered."""
+        if text[-1:] in _POINTS and text[1:-1].isalpha() and text[0] == " ":  # a word and a mark: two matches
+            mark = self.count(text[-1])
+            return tuple(a + b for a, b in zip(self.count(text[:-1]), mark, strict=True))
+        found = self.words.get(text)
+        if found is None:
+            pres = [text] if text[1:].isalpha() and text[0] == " " else self.codecs[0].split(text)
+            found = tuple(sum(self._tokens(c, p.encode("utf-8", "replace")) for p in pres) for c in self.codecs)
+            if len(text) < 200:
+                if len(self.words) >= REMEMBERED:
+                    self.words.clear()
+                self.words[text] = found
+        return found
 
     @staticmethod
     def _tokens(codec: Codec, token: bytes) -> int:
@@ -276,49 +283,65 @@ class Counters:
                 ranks[i - 1] = rank_of(ids[i - 1] << 20 | least, _LOW)
         return len(ids)
 
-    def counts(self, text: str) -> list[int]:
-        """The number of ids of a text by vocabulary. No match crosses a space that something else than white space follows."""
-        head, *rest = self.codecs[0].cut(text)
-        total, known = list(self._count(head)), self.known
-        for chunk, times in Counter(rest).items():
-            found = known.get(chunk)
-            if found is None:
-                found = self._count(" " + chunk)
-                if len(chunk) < 200:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[chunk] = found
-            for k, n in enumerate(found):
-                total[k] += n * times
-        return total
-
-
-def counts(rows: DataFrame, vocabularies: dict[str, str], pattern: str, text_cols: list[str]) -> DataFrame:
-    """rows with a column for each vocabulary (name -> path): the numbers of ids of the texts in text_cols, as an array.
-
-    A null text has null; an empty one zero. The text columns go. Names must not be columns of rows.
-    """
+
+def chunk_counts(texts: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
+    """keys, chunk, n: the pieces of all texts by keys, cut before spaces that something else than white space follows, which no
+    match of the usual pattern crosses. Tasks count them before they are dealt out by chunk; null and empty texts have none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut, by_key, held = regex.compile(r" (?=\S)").split, {}, 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for key, found in by_key.items():
+                own = [pa.array([v] * len(found), schema.field(k).type) for k, v in enumerate(key)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], [*keys, "chunk", "n"])
+
+        for batch in batches:
+            schema = batch.schema
+            for *key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if text:
+                    found = by_key.setdefault(tuple(key), Counter())
+                    was = len(found)
+                    head, *rest = cut(text)
+                    if head:
+                        found[head] += 1
+                    for chunk, n in Counter(rest).items():
+                        found[" " + chunk] += n
+                    held += len(found) - was
+                    if held >= REMEMBERED:
+                        yield from out()
+                        by_key.clear()
+                        held = 0
+        if by_key:
+            yield from out()
+
+    schema = T.StructType(texts.select(*keys).schema.fields).add("chunk", T.StringType()).add("n", T.LongType())
+    return texts.select(*keys, text_col).mapInArrow(run, schema)
+
+
+def totals(chunks: DataFrame, keys: list[str], vocabularies: dict[str, str], pattern: str) -> DataFrame:
+    """keys, tokenizer, n_tokens: the ids of `chunk_counts` under every vocabulary (name -> path). Chunks are dealt out by
+    hash, so each different one is encoded in one task, whose sums by keys are all that leaves it."""
+    shared = chunks.sparkSession.sparkContext.broadcast([Codec(read_ranks(p), pattern) for p in vocabularies.values()])
     names = list(vocabularies)
-    taken = [n for n in names if n.lower() in {c.lower() for c in rows.columns}]
-    if taken:
-        raise ValueError(f"columns are there already: {taken}")
-    shared = rows.sparkSession.sparkContext.broadcast([Codec(read_ranks(p), pattern) for p in vocabularies.values()])
-    others = [c for c in rows.columns if c not in text_cols]
+    parts = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # all rows of a chunk by one key are summed there already, so only different ones come to Python
+    dealt = chunks.repartition(parts, "chunk").groupBy("chunk", *keys).agg(F.sum("n").alias("n")).select(*keys, "chunk", "n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = Counters([c.prepare() for c in shared.value])
+        counters, sums, schema = Counters([c.prepare() for c in shared.value]), {}, None
         for batch in batches:
-            out: list[list] = [[] for _ in names]
-            for texts in zip(*batch.columns[len(others) :], strict=True):
-                found = [None if t is None else counters.counts(t) for t in (x.as_py() for x in texts)]
-                for k, column in enumerate(out):
-                    column.append([None if f is None else f[k] for f in found])
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], *(pa.array(c, pa.list_(pa.int64())) for c in out)], [*others, *names])
-
-    schema = T.StructType(rows.select(*others).schema.fields)
-    for n in names:
-        schema = schema.add(n, T.ArrayType(T.LongType()))
-    return rows.select(*others, *text_cols).mapInArrow(run, schema)
+            schema = batch.schema
+            for *key, chunk, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = sums.setdefault(tuple(key), [0] * len(names))
+                for k, count in enumerate(counters.count(chunk)):
+                    own[k] += count * n
+        if sums:
+            own = [pa.array([key[k] for key in sums for _ in names], schema.field(k).type) for k in range(len(keys))]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(names * len(sums), pa.string()), pa.array([n for x in sums.values() for n in x], pa.int64())], [*keys, "tokenizer", "n_tokens"])
+
+    schema = T.StructType(chunks.select(*keys).schema.fields).add("tokenizer", T.StringType()).add("n_tokens", T.LongType())
+    return dealt.mapInArrow(run, schema).groupBy(*keys, "tokenizer").agg(F.sum("n_tokens").alias("n_tokens"))
 
 
 def _codec(docs: DataFrame, path: str, pattern: str):

@@ -28,20 +28,25 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents under two vocabularies: a load of the texts as they came; every third one revised to lower case; every seventh
     one deleted, of which some were revised; and the load and the deletes arriving again. A document without an id is loaded only."""
     i = F.col("doc_id")
-    lower = F.when(i % 3 == 0, F.lower(F.coalesce("text", F.lit(""))))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
-    rows = written(token_rollup.counted(docs, VOCABULARIES, public_tokenizers.PATTERN, revised=lower), "counts")
+    marked = [F.coalesce(i % 3 == 0, F.lit(False)).alias("revised"), F.coalesce(i % 7 == 0, F.lit(False)).alias("deleted")]
+    docs = table(spark, sf_dir, "documents").select("source", "lang", *marked, "text")
+    texts = docs.withColumn("state", F.explode(F.when(F.col("revised"), F.array(F.lit("first"), F.lit("then"))).otherwise(F.array(F.lit("first")))))
+    texts = texts.withColumn("text", F.when(F.col("state") == "then", F.lower("text")).otherwise(F.col("text")))
+    keys = ["source", "lang", "revised", "deleted"]
+    rows = token_rollup.counted(texts, [*keys, "state"], VOCABULARIES, public_tokenizers.PATTERN)
+    tokens = lambda state: F.sum(F.when(F.col("state") == state, F.col("n_tokens")))
+    rows = written(rows.groupBy(*keys, "tokenizer").agg(F.max("n_docs").alias("docs"), tokens("first").alias("n_tokens"), tokens("then").alias("revised_tokens")), "counts")
 
     def changes(op: str, of: DataFrame, now, was) -> DataFrame:
-        return of.select(F.lit(op).alias("op"), "source", "lang", "tokenizer", now.alias("n_tokens"), was.alias("was_tokens"))
+        return of.select(F.lit(op).alias("op"), "source", "lang", "tokenizer", now.alias("n_tokens"), was.alias("was_tokens"), "docs")
 
     none, first, then = F.lit(None).cast("long"), F.col("n_tokens"), F.col("revised_tokens")
     load = changes("insert", rows, first, none)
-    revise = changes("revise", rows.where(i % 3 == 0), then, first)
-    delete = changes("delete", rows.where(i % 7 == 0), none, F.coalesce(then, first))
+    revise = changes("revise", rows.where("revised"), then, first)
+    delete = changes("delete", rows.where("deleted"), none, F.coalesce(then, first))
     rollup = token_rollup.TokenRollup(spark, scratch(spark, "rollup"))
     for batch, part in (("load", load), ("revise", revise), ("delete", delete), ("load", load), ("delete", delete)):
-        rollup.apply(batch, part)
+        rollup.apply(batch, part, "docs")
     return rollup.totals()
 
 

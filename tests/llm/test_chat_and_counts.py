@@ -61,16 +61,18 @@ def test_counts_equal_library(spark):
     wide = [chr(i) for i in range(0x3000) if not 0xD800 <= i < 0xE000] + ["一", "😀", "\u3000"]
     texts = [None, "", " ", "\n a  b \t", "same same same", "word " * 60_000, "x" * 4000, " 's don't  we'll\n\n"]
     texts += ["".join(rng.choice(wide if k % 2 else "abc '12_  \n\tthes.,ré²½\x1c\x85") for _ in range(rng.randint(0, 80))) for k in range(600)]
-    docs = spark.createDataFrame([(t, f"s{i}", None) for i, t in enumerate(texts)], "text string, source string, lang string").selectExpr("*", "1 as tokens0", "2 as bare")
+    docs = spark.createDataFrame([(t, f"s{i}", None) for i, t in enumerate(texts)], "text string, source string, lang string").selectExpr("*", "1 as chunk", "2 as n_docs", "3 as _k0")
     encode = {name: theirs(path) for name, path in queries.VOCABULARIES.items()}
-    trimmed = F.trim(F.coalesce("text", F.lit("")), F.lit(common.BLANKS))
-    revised = F.when(trimmed != F.coalesce("text", F.lit("")), trimmed)
-    got = {(r.source, r.tokenizer): (r.n_tokens, r.revised_tokens) for r in token_rollup.counted(docs, queries.VOCABULARIES, public_tokenizers.PATTERN, revised=revised).collect()}
-    for i, t in enumerate(texts):
-        t = t or ""
-        bare = t.strip(common.BLANKS)
-        for name, run in encode.items():
-            assert got[f"s{i}", name] == (len(run(t)), len(run(bare)) if bare != t else None), repr(t[:80])
+    got = {(r.source, r.lang, r.tokenizer): (r.n_docs, r.n_tokens) for r in token_rollup.counted(docs, ["source", "lang"], queries.VOCABULARIES, public_tokenizers.PATTERN).collect()}
+    assert got == {(f"s{i}", None, name): (1, len(run(t or ""))) for i, t in enumerate(texts) for name, run in encode.items()}
+    whole = token_rollup.counted(docs, ["lang"], queries.VOCABULARIES, public_tokenizers.PATTERN).collect()
+    assert {r.tokenizer: (r.n_docs, r.n_tokens) for r in whole} == {name: (len(texts), sum(len(run(t or "")) for t in texts)) for name, run in encode.items()}
+    assert token_rollup.counted(docs.limit(0), ["source"], queries.VOCABULARIES, public_tokenizers.PATTERN).count() == 0
+
+
+def test_changes_of_many_documents(spark):
+    rows = spark.createDataFrame([("insert", "a", "en", "t", 50, None, 5), ("revise", "a", "en", "t", 30, 20, 2), ("delete", "a", "en", "t", None, 11, 1)], "op string, source string, lang string, tokenizer string, n_tokens long, was_tokens long, docs long")
+    assert [tuple(r) for r in token_rollup.deltas(rows, "docs").collect()] == [("a", "en", "t", 4, 49)]
 
 
 def test_query_equals_library_over_all_documents(spark, sf):
