@@ -83,8 +83,9 @@ def test_batches_that_died_or_came_second(spark, tmp_path):
     with pytest.raises(Conflict):
         late._publish(seen | {"segments": ["one", "three"]})
     assert index.segments() == ["one", "two"]
-    with pytest.raises(ValueError):
-        index.snapshot().add(frame(rows), "four")
+    for reader, name in ((index.snapshot(), "four"), (index, "merged-1"), (index, "a/b")):
+        with pytest.raises(ValueError):
+            reader.add(frame(rows), name)
     assert index.add(frame([]), "none") and index.entries().count() == 2 and search.search_topk(index, ["cat"]).count() == 2
 
 
