@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+import tiktoken
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +30,8 @@ REMEMBERED = 400_000
 USUAL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Bytes of a match up to which `Counters` looks for the least rank in a list.
 SHORT = 64
+#: Texts with so long a stretch without a space, or of white space, are counted by `Codec`, as the library takes the square of a match's length.
+_LONG = regex.compile(r"[^ ]{256}|\s{256}")
 _LOW = (1 << 64) - 1
 _POINTS = frozenset(",.;:!?")
 _WHITE = frozenset(c for c in map(chr, range(0x3001)) if regex.match(r"\s", c))
@@ -162,6 +165,7 @@ class Codec:
             #: where a text may be cut: before a space that something else than white space follows
             self.cut = regex.compile(r" (?=\S)").split
             self.known = _Known(self)
+            self._library = None
             self.ready = True
         return self
 
@@ -233,14 +237,27 @@ class Codec:
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
+    def library(self) -> tiktoken.Encoding:
+        """The tiktoken library's encoding of the same ranks, made once a worker."""
+        if self._library is None:
+            ranks = {t: i for i, t in enumerate(self.tokens)}
+            self._library = tiktoken.Encoding("ranks", pat_str=self.pattern, mergeable_ranks=ranks, special_tokens={})
+        return self._library
+
 
 class Counters:
-    """Counts of ids under several vocabularies with the usual pattern: a chunk is cut once and looked up once for all."""
+    """Counts of ids under several vocabularies with the usual pattern.
+
+    The tiktoken library counts the texts whose matches are all short. Of others a chunk is cut once and looked up once
+    for all vocabularies, and long matches are merged with the heap; both ways give the same counts.
+    """
 
     def __init__(self, codecs: list[Codec]):
         if any(c.pattern != USUAL for c in codecs):
             raise ValueError("the vocabularies must share the usual pattern")
         self.codecs = codecs
+        #: with a byte that no token is, the library fails and the chunks say so only where it occurs
+        self.library = None if any(-1 in c.byte_ids for c in codecs) else [c.library() for c in codecs]
         self.known: dict[str, tuple[int, ...]] = {}
 
     def _count(self, text: str) -> tuple[int, ...]:
@@ -277,7 +294,13 @@ class Counters:
         return len(ids)
 
     def counts(self, text: str) -> list[int]:
-        """The number of ids of a text by vocabulary. No match crosses a space that something else than white space follows."""
+        """The number of ids of a text by vocabulary."""
+        if self.library and not _LONG.search(text):
+            return [len(e.encode_ordinary(text)) for e in self.library]
+        return self.counts_by_chunks(text)
+
+    def counts_by_chunks(self, text: str) -> list[int]:
+        """The same for any text. No match crosses a space that something else than white space follows."""
         head, *rest = self.codecs[0].cut(text)
         total, known = list(self._count(head)), self.known
         for chunk, times in Counter(rest).items():

@@ -88,3 +88,25 @@ def test_query_equals_library_over_all_documents(spark, sf):
             want[r.source, r.lang, name] = docs + 1, tokens + len(run(text))
     assert gone > 20 and changed > 40
     assert {tuple(r)[:3]: tuple(r)[3:] for r in queries.op2_token_counts(spark, sf).collect()} == want
+
+
+def test_both_ways_of_counting_are_one():
+    """The library's counts, those by chunks and the lengths of the codec's own ids, below, at and above the bound of a match."""
+    import random
+
+    rng = random.Random(5)
+    codecs = [bpe.Codec(bpe.read_ranks(p), public_tokenizers.PATTERN).prepare() for p in queries.VOCABULARIES.values()]
+    counters = bpe.Counters(codecs)
+    texts = ["", " ", "a" * 255, "a" * 256, "b " + "é" * 257, " " * 255 + "x", " " * 256 + "x", "\n" * 300, "x" * 5000, "to be " * 400]
+    texts += ["".join(rng.choice("abc '12_  \n\tthes.,ré²½一😀") for _ in range(rng.randint(0, 400))) for _ in range(200)]
+    for t in texts:
+        want = [len(c.encode(t)) for c in codecs]
+        assert counters.counts(t) == want == counters.counts_by_chunks(t), repr(t[:40])
+
+
+def test_vocabulary_without_a_byte_is_counted_where_it_can_be():
+    codec = bpe.Codec([b"a", b"b", b" ", b" a"], public_tokenizers.PATTERN).prepare()
+    counters = bpe.Counters([codec])
+    assert counters.counts("ab a") == [3]
+    with pytest.raises(ValueError, match="lacks a byte"):
+        counters.counts("c")
