@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,8 +40,10 @@ SHORT = 40
 COMMON, COMMONEST = 1000, 1 << 16
 #: Failed links from which on a group is a crowd.
 CROWD = 8
-#: Bits of a parity bitmap; sets of more shingles are thinned, and then so many deviations are allowed for.
-PARITY, DEVIATIONS = 256, 5.0
+#: Bits of the least parity bitmap, and of the largest that goes along with keys; of larger sets only the size does there.
+LEAST, PARITY = 256, 1024
+#: Bytes of parities that a task compares at once.
+PART_BYTES = 8 << 20
 #: SIMILARITY as a fraction, for whole numbers of shingles.
 _PART, _WHOLE = 4, 5
 _ONE = np.uint64(1)
@@ -298,45 +301,55 @@ def _keys_of_short(common: np.ndarray, n_more: int):
 
 
 def _parity(h: np.ndarray) -> bytes:
-    """A set's size, and two bitmaps of it of PARITY bits: each shingle turns one bit over.
+    """A set's size, and a bitmap of it in which each shingle turns one bit over: of a power of two of bits, as many as
+    shingles at least.
 
-    Two bitmaps differ in no more bits than the sets differ in shingles, which similar sets do in a ninth of both sizes
-    at most; dissimilar ones differ in nearly all of their shingles, so few of them pass. A set of PARITY << (k - 1)
-    shingles or more has only those in its bitmaps whose hash ends in k zeros, and in the second one in k + 1, so that
-    sets whose sizes are similar have one in common.
+    A wide bitmap is folded to a narrow one by combining its halves. Two bitmaps of one width differ in no more bits
+    than the sets differ in shingles, which similar sets do in a ninth of both sizes at most; so no similar pair is told
+    apart. Dissimilar sets differ in nearly all of their shingles, so few of them pass.
     """
-    k = max(0, len(h).bit_length() - PARITY.bit_length() + 1)
-    out = [np.array([len(h)], "<u8").tobytes()]
-    for level in (k, k + 1):
-        own = h[(h & np.uint64((1 << level) - 1)) == 0]
-        odd = np.bincount(((own >> np.uint64(32)) % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1
-        out.append(np.packbits(odd.astype(np.uint8)).tobytes())
-    return b"".join(out)
+    width = max(LEAST, 1 << (len(h) - 1).bit_length()) if len(h) else LEAST
+    odd = np.bincount(((h >> np.uint64(32)) % np.uint64(width)).astype(np.int64), minlength=width) & 1
+    return np.array([len(h)], "<u8").tobytes() + np.packbits(odd.astype(np.uint8)).tobytes()
 
 
-_WIDE = PARITY // 64
-
-
-def _parities(column: pa.Array) -> np.ndarray:
-    """Rows of 64-bit words: the size (zero where there is no parity) and both bitmaps."""
-    width = 8 * (1 + 2 * _WIDE)
-    raw = b"".join([x if x is not None else bytes(width) for x in column.to_pylist()])
-    return np.frombuffer(raw, np.uint64).reshape(-1, 1 + 2 * _WIDE)
+def _parities(column: pa.Array, width: int | None = None) -> np.ndarray:
+    """Rows of 64-bit words: the size and the bitmap's bits (zero where there is none), then the bitmap, filled up to width."""
+    found = [x or b"" for x in column.to_pylist()]
+    width = width or max([LEAST, *(8 * len(x) - 64 for x in found)])
+    head = np.array([(int.from_bytes(x[:8], "little"), max(0, 8 * len(x) - 64)) for x in found], np.uint64).reshape(-1, 2)
+    raw = b"".join([x[8:].ljust(width // 8, b"\0") for x in found])
+    return np.concatenate([head, np.frombuffer(raw, np.uint64).reshape(-1, width // 64)], axis=1)
 
 
 def _alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Of rows of parities: whether the sets may be similar. Sets without parities may."""
-    n, m = x[:, 0].astype(np.float64), y[:, 0].astype(np.float64)
-    k, l = (np.maximum(0, np.floor(np.log2(np.maximum(z, 1))).astype(np.int64) + 2 - PARITY.bit_length()) for z in (n, m))
-    own, low = slice(1, 1 + _WIDE), slice(1 + _WIDE, 1 + 2 * _WIDE)
-    a = np.where((k < l)[:, None], x[:, low], x[:, own])
-    b = np.where((l < k)[:, None], y[:, low], y[:, own])
-    far = np.bitwise_count(a ^ b).sum(axis=1)
-    level = np.maximum(k, l)
-    apart = (n + m) * (1 - 2 * _PART / (_PART + _WHOLE)) / 2.0**level
-    most = np.where(level > 0, apart + DEVIATIONS * np.sqrt(apart) + 1, apart)
-    sized = np.minimum(n, m) * _WHOLE >= np.maximum(n, m) * _PART
-    return (n == 0) | (m == 0) | sized & (far <= most + 1e-9)
+    """Of rows of parities: whether the sets may be similar, by their sizes and, where both have bitmaps, by these. Sets
+    without parities may."""
+    n, m = x[:, 0].astype(np.int64), y[:, 0].astype(np.int64)
+    may = np.minimum(n, m) * _WHOLE >= np.maximum(n, m) * _PART
+    most = n + m - 2 * -(-(n + m) * _PART // (_PART + _WHOLE))
+    narrow = np.minimum(x[:, 1], y[:, 1]).astype(np.int64)
+    for width in np.unique(narrow[narrow > 0]).tolist():
+        at = np.flatnonzero(may & (narrow == width))
+        one, two = (np.bitwise_xor.reduce(z[at, 2:].reshape(len(at), (z.shape[1] - 2) * 64 // width, width // 64), axis=1) for z in (x, y))
+        may[at] = np.bitwise_count(one ^ two).sum(axis=1) <= most[at]
+    return may | (n == 0) | (m == 0)
+
+
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over a, b and their parities: the pairs that may be similar. Pairs of like width are compared together."""
+    for batch in batches:
+        size = np.maximum(*(pc.binary_length(batch.column(k)).to_numpy(zero_copy_only=False) for k in (2, 3)))
+        order, at = np.argsort(size, kind="stable"), 0
+        while at < len(order):
+            # widths grow along the order, so the last of a part is its widest
+            ends = np.arange(at + 1, len(order) + 1)
+            end = at + max(1, int(np.count_nonzero((ends - at) * size[order[at:]] <= PART_BYTES)))
+            part = batch.take(pa.array(order[at:end]))
+            width = 8 * int(size[order[end - 1]]) - 64
+            may = _alike(_parities(part.column(2), width), _parities(part.column(3), width))
+            yield part.select(["a", "b"]).filter(pa.array(may))
+            at = end
 
 
 def _sketched(parts: int):
@@ -443,7 +456,7 @@ def _crossings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Over key, fp, node, root, parity sorted by key: the pairs of `_crossing`. The key at hand is held whole."""
     held: list[list[np.ndarray]] = []
     for batch in batches:
-        now = [*_columns(batch)[:4], _parities(batch.column(4))]
+        now = [*_columns(batch)[:4], _parities(batch.column(4), PARITY)]
         if not len(now[0]):
             continue
         cut = np.searchsorted(now[0], now[0][-1])
@@ -516,6 +529,10 @@ def _placed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
         return pairs.groupBy("a", "b").agg(F.min("far").alias("far"))
 
     def verified(some: DataFrame) -> DataFrame:
+        """Of pairs a, b those that are similar: parities tell most others before any text moves, whole texts the rest."""
+        own = classes.select("node", "parity")
+        both = some.join(own.toDF("a", "pa"), "a").join(own.toDF("b", "pb"), "b").select("a", "b", "pa", "pb")
+        some = written(both.mapInArrow(_possible, "a long, b long"), "possible")
         nodes = some.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         wanted = classes.join(nodes, "node").select("node", "id", "hash")
         texts = written(given.join(wanted, ["id", "hash"]).groupBy("node").agg(F.min("text").alias("text")), "candidate-texts")
@@ -546,7 +563,8 @@ def _placed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
     many = failed.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") >= CROWD).select("root")
     crowded = failed.join(many, "root").select(F.explode(F.array("root", "other")).alias("root")).distinct()
     crowded = written(crowded.withColumn("crowded", F.lit(True)), "crowded")
-    parity = F.when(F.col("crowded"), F.col("parity")).alias("parity")
+    cut = F.when(F.length("parity") <= 8 + PARITY // 8, F.col("parity")).otherwise(F.substring("parity", 1, 8))
+    parity = F.when(F.col("crowded"), cut).alias("parity")
     grouped = written(grouped.join(crowded, "root", "left").select("node", "fp", "sketch", "short", "root", parity), "grouped")
     crossing = written(keyed(grouped, _crossings, "root", "parity").join(stars, ["a", "b"], "left_anti"), "crossing")
     roots = connected_components(linked(crossing, near))

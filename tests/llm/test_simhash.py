@@ -263,6 +263,35 @@ def test_parities_let_all_similar_pairs_through_and_few_others():
     assert simhash._alike(none, x)[0] and simhash._alike(x, none)[0]
 
 
+def test_possible_pairs_are_those_of_the_definition(monkeypatch):
+    """Parities of very unlike widths in one batch, compared in parts of any size; no similar pair goes."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(37)
+    sets = []
+    for size in (0, 1, 40, 255, 256, 257, 900, 1024, 1025, 2600, 20_000):
+        base = np.array([rng.getrandbits(64) for _ in range(size)], np.uint64)
+        sets += [np.unique(base[int(size * cut) :]) for cut in (0, 0.15, 0.2, 0.5)]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(len(sets)) if i != j]
+    parities = [simhash._parity(h) for h in sets]
+    cols = [pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)] + [pa.array([parities[p[k]] for p in pairs], pa.binary()) for k in (0, 1)]
+    batch = pa.RecordBatch.from_arrays(cols, ["a", "b", "pa", "pb"])
+    found = []
+    for part in (1, 5000, 8 << 20):
+        monkeypatch.setattr(simhash, "PART_BYTES", part)
+        out = [(r["a"], r["b"]) for x in simhash._possible(iter([batch.slice(0, 0), batch])) for r in x.to_pylist()]
+        assert len(out) == len(set(out))
+        found.append(set(out))
+    assert found[0] == found[1] == found[2]
+    similar = {(i, j) for i, j in pairs if simhash._jaccard(sets[i], sets[j]) >= simhash.SIMILARITY}
+    assert len(similar) > 40 and similar <= found[0]
+    far = {(i, j) for i, j in pairs if len(sets[i]) and len(sets[j]) and not set(sets[i].tolist()) & set(sets[j].tolist())}
+    assert not far & found[0]
+
+
 def test_crowd_of_texts_that_are_near_but_not_similar(spark, monkeypatch):
     """Edits of one text, many of them not similar to it nor to one another: groups as by brute force, few candidates."""
     import random
