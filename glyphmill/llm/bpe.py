@@ -12,7 +12,7 @@ import base64
 import hashlib
 import heapq
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MAX_VOCABULARY = 1_000_000
-#: Results that a worker remembers at most; a bound on memory, without effect on results.
+#: Results that a worker remembers at most, of chunks and of matches each; a bound on memory, without effect on results.
 REMEMBERED = 400_000
 #: The pattern whose matches never hold a space but as their first character or among white space.
 USUAL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -115,29 +115,25 @@ class _NoCut(Exception):
     """A space at which a text may not be cut, as white space or the end follows it."""
 
 
-class _Known(dict):
-    """What follows a space, up to the next one, with its ids (as text) and their bytes; worked out when first asked for."""
+class _Recent(dict):
+    """Results by text, worked out when first asked for.
 
-    def __init__(self, codec: Codec):
-        self.codec = codec
+    Once half the bound is full it becomes the older half, and what was the older half is forgotten. What is asked for
+    again comes back from there without work, so that frequent texts stay.
+    """
 
-    def __missing__(self, chunk: str) -> tuple[str, bytes]:
-        if not chunk or chunk[0] in _WHITE:
-            raise _NoCut
-        if len(self) >= REMEMBERED:
-            self.clear()
-        codec = self.codec
-        if chunk.isalpha():
-            ids = codec.token_ids(" " + chunk)
-        elif chunk[-1] in _POINTS and chunk[:-1].isalpha():  # a word and a mark: two matches
-            (codes, raw), tail = self[chunk[:-1]], codec.token_ids(chunk[-1])
-            found = self[chunk] = f"{codes} {' '.join(map(str, tail))}", raw + codec.decode(tail)
-            return found
-        else:
-            ids = codec.encode(" " + chunk)
-        found = " ".join(map(str, ids)), codec.decode(ids)
-        if len(chunk) < 200:
-            self[chunk] = found
+    def __init__(self, make: Callable[[str], tuple[str, bytes]]):
+        self.make, self.older = make, {}
+
+    def __missing__(self, text: str) -> tuple[str, bytes]:
+        found = self.older.get(text)
+        if found is None:
+            found = self.make(text)
+        if len(text) < 200:
+            if len(self) >= REMEMBERED // 2:
+                self.older = self.copy()
+                self.clear()
+            self[text] = found
         return found
 
 
@@ -164,7 +160,7 @@ class Codec:
             self.split = regex.compile(self.pattern).findall
             #: where a text may be cut: before a space that something else than white space follows
             self.cut = regex.compile(r" (?=\S)").split
-            self.known = _Known(self)
+            self.known, self.matched = _Recent(self._chunk), _Recent(self._match)
             self._library = None
             self.ready = True
         return self
@@ -214,25 +210,45 @@ class Codec:
         i = self.perfect.find(token)
         return [i] if i >= 0 and self.tokens[i] == token else self.merge(token)
 
-    def chunks(self, text: str) -> tuple[list[int], list[tuple[str, bytes]]]:
+    def _match(self, pre: str) -> tuple[str, bytes]:
+        """The ids of one match, joined by one space, and their bytes."""
+        ids = self.token_ids(pre)
+        return " ".join(map(str, ids)), self.decode(ids)
+
+    def _matches(self, text: str) -> tuple[str, bytes]:
+        """The same of a text, whose matches are encoded once and remembered."""
+        found = list(map(self.matched.__getitem__, self.split(text)))
+        return " ".join([c for c, _ in found]), b"".join([b for _, b in found])
+
+    def _chunk(self, chunk: str) -> tuple[str, bytes]:
+        """The same of a space and what follows it, up to the next one."""
+        if not chunk or chunk[0] in _WHITE:
+            raise _NoCut
+        if chunk.isalpha():
+            return self.matched[" " + chunk]
+        if chunk[-1] in _POINTS and chunk[:-1].isalpha():  # a word and a mark: two matches
+            (codes, raw), (mark, tail) = self.matched[" " + chunk[:-1]], self.matched[chunk[-1]]
+            return f"{codes} {mark}", raw + tail
+        return self._matches(" " + chunk)
+
+    def chunks(self, text: str) -> list[tuple[str, bytes]]:
         """For the usual pattern, no match crosses a cut, so the chunks between cuts are encoded once and remembered."""
         head, *rest = text.split(" ")
         try:
-            return self.encode(head), list(map(self.known.__getitem__, rest))
+            found = list(map(self.known.__getitem__, rest))
         except _NoCut:
             head, *rest = self.cut(text)
-        return self.encode(head), list(map(self.known.__getitem__, rest))
+            found = list(map(self.known.__getitem__, rest))
+        return [self._matches(head), *found] if head else found
 
     def round_trip(self, text: str) -> tuple[int, str, bytes]:
         """The number of ids, the ids joined by one space, and their bytes."""
         if self.pattern != USUAL:
             ids = self.encode(text)
             return len(ids), " ".join(map(str, ids)), self.decode(ids)
-        head, rest = self.chunks(text)
-        codes = [" ".join(map(str, head))] if head else []
-        codes += [c for c, _ in rest]
-        joined = " ".join(codes)
-        return joined.count(" ") + bool(joined), joined, self.decode(head) + b"".join([b for _, b in rest])
+        found = self.chunks(text)
+        joined = " ".join([c for c, _ in found])
+        return joined.count(" ") + bool(joined), joined, b"".join([b for _, b in found])
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from collections import Counter
 
 import public_tokenizers as P
 import tiktoken
@@ -42,3 +43,17 @@ def test_frames(spark, sf):
     back = bpe.decode(bpe.encode(small, PATH, P.PATTERN), PATH)
     assert all(bytes(r.decoded).decode() == (r.text or "") and r.token_ids == enc.encode_ordinary(r.text or "") for r in back.collect())
     assert bpe.digests(docs.limit(0), PATH, P.PATTERN).count() == 0
+
+
+def test_matches_are_merged_once(monkeypatch):
+    """A word is merged once, whatever stands beside it, and a frequent one isn't forgotten when the bound is reached."""
+    enc, codec, merged = theirs(), bpe.Codec(bpe.read_ranks(PATH), P.PATTERN).prepare(), Counter()
+    monkeypatch.setattr(bpe, "REMEMBERED", 40)
+    merge = codec.merge
+    monkeypatch.setattr(codec, "merge", lambda token: merged.update([token]) or merge(token))
+    for k in range(100):
+        text = f"Qzwxk zqvxj, zqvxj. (zqvxj) {k}.\nQzwxk w{chr(97 + k % 26)}{chr(97 + k // 26)}jqx\nQzwxk"
+        want = enc.encode_ordinary(text)
+        assert codec.round_trip(text) == (len(want), " ".join(map(str, want)), text.encode())
+    assert merged[b" zqvxj"] == merged[b"Qzwxk"] == 1
+    assert all(len(r) + len(r.older) <= 40 for r in (codec.known, codec.matched))
