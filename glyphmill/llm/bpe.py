@@ -2,7 +2,7 @@
 
 Tier one is a minimal perfect hash over the vocabulary: a pre-token that is itself in the vocabulary gets its id by one
 probe. Tier two merges the bytes of a miss as a linked list with a heap of candidate pairs, O(n log n) for n bytes, so
-that a pre-token of a million bytes is no special case. The ranks are read once on the driver and broadcast (one
+that a pre-token of a million bytes is no special case; the heaps of many short misses stand side by side in arrays. The ranks are read once on the driver and broadcast (one
 vocabulary: its size is that of the rank file, refused beyond MAX_VOCABULARY); texts never meet in one place.
 """
 
@@ -13,6 +13,7 @@ import hashlib
 import heapq
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,8 @@ from pyspark.sql import types as T
 MAX_VOCABULARY = 1_000_000
 #: Results that a worker remembers at most, of chunks and of matches each; a bound on memory, without effect on results.
 REMEMBERED = 400_000
+#: Characters of texts that are encoded together; without effect on results.
+TOGETHER = 2_000_000
 #: The pattern whose matches never hold a space but as their first character or among white space.
 USUAL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Bytes of a match up to which `Counters` looks for the least rank in a list.
@@ -33,8 +36,9 @@ SHORT = 64
 #: Texts with so long a stretch without a space, or of white space, are counted by `Codec`, as the library takes the square of a match's length.
 _LONG = regex.compile(r"[^ ]{256}|\s{256}")
 _LOW = (1 << 64) - 1
+#: What stands in a heap for no pair; above a million ranks times 32 places.
+_NONE = 1 << 30
 _POINTS = frozenset(",.;:!?")
-_WHITE = frozenset(c for c in map(chr, range(0x3001)) if regex.match(r"\s", c))
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -111,10 +115,6 @@ class PerfectHash:
         return self.ids[(x ^ (x >> 32)) % self.n]
 
 
-class _NoCut(Exception):
-    """A space at which a text may not be cut, as white space or the end follows it."""
-
-
 class _Recent(dict):
     """Results by text, worked out when first asked for.
 
@@ -122,19 +122,32 @@ class _Recent(dict):
     again comes back from there without work, so that frequent texts stay.
     """
 
-    def __init__(self, make: Callable[[str], tuple[str, bytes]]):
-        self.make, self.older = make, {}
+    def __init__(self):
+        self.older: dict[str, tuple[str, bytes]] = {}
 
-    def __missing__(self, text: str) -> tuple[str, bytes]:
-        found = self.older.get(text)
-        if found is None:
-            found = self.make(text)
+    def _put(self, text: str, found: tuple[str, bytes]) -> None:
         if len(text) < 200:
             if len(self) >= REMEMBERED // 2:
                 self.older = self.copy()
                 self.clear()
             self[text] = found
-        return found
+
+    def of(self, texts: set[str], make: Callable[[list[str]], list[tuple[str, bytes]]]) -> dict[str, tuple[str, bytes]]:
+        """The results of all texts; `make` works out those of which nothing is known."""
+        out, new = {}, []
+        for text in texts:
+            found = self.get(text)
+            if found is None:
+                found = self.older.get(text)
+                if found is None:
+                    new.append(text)
+                    continue
+                self._put(text, found)
+            out[text] = found
+        for text, found in zip(new, make(new), strict=True):
+            out[text] = found
+            self._put(text, found)
+        return out
 
 
 class Codec:
@@ -160,7 +173,14 @@ class Codec:
             self.split = regex.compile(self.pattern).findall
             #: where a text may be cut: before a space that something else than white space follows
             self.cut = regex.compile(r" (?=\S)").split
-            self.known, self.matched = _Recent(self._chunk), _Recent(self._match)
+            #: a space at which it may not
+            self.no_cut = regex.compile(r" (?:\s|\Z)").search
+            self.known, self.matched = _Recent(), _Recent()
+            self.byte_table = np.array(self.byte_ids, np.int32)
+            #: the pairs in order with their ranks, and a last one that never occurs
+            found = sorted(self.pairs.items())
+            self.pair_keys = np.array([k for k, _ in found] + [_LOW >> 1], np.int64)
+            self.pair_ranks = np.array([r for _, r in found] + [0], np.int32)
             self._library = None
             self.ready = True
         return self
@@ -200,6 +220,65 @@ class Codec:
                     push(heap, x << 32 | h)
         return [i for i in ids if i >= 0]
 
+    def merge_all(self, tokens: list[bytes]) -> list[list[int]]:
+        """`merge` of many tokens: the heaps of those of 30 bytes or less stand side by side."""
+        out: list[list[int]] = [[]] * len(tokens)
+        widths = {8: [], 16: [], 32: []}
+        for i, token in enumerate(tokens):
+            n = len(token)
+            if n > 30:
+                out[i] = self.merge(token)
+            else:
+                widths[8 if n <= 6 else 16 if n <= 14 else 32].append(i)
+        for width, group in widths.items():
+            if group:
+                for i, ids in zip(group, self._heaps([tokens[i] for i in group], width), strict=True):
+                    out[i] = ids
+        return out
+
+    def _entries(self, left: np.ndarray, right: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """What stands in a heap for the pairs of ids that begin at `at`: by rank, then place."""
+        pairs = left.astype(np.int64) << 20 | right
+        i = np.searchsorted(self.pair_keys, pairs)
+        return np.where(self.pair_keys[i] == pairs, self.pair_ranks[i] << 5 | at, _NONE).astype(np.int32)
+
+    def _heaps(self, tokens: list[bytes], width: int) -> list[list[int]]:
+        """A heap of `width` leaves a token, in which leaf i holds the pair that begins at byte i, from 1; node i is the lesser of
+        nodes 2i and 2i + 1. A step takes the root of every heap that has one and merges there, as `merge` does."""
+        m, size = len(tokens), np.array(list(map(len, tokens)))
+        raw = np.frombuffer(b"".join([t.ljust(width - 2, b"\0") for t in tokens]), np.uint8).reshape(m, width - 2)
+        ids, used = np.full((m, width), -1, np.int32), np.arange(width - 2) < size[:, None]
+        ids[:, 1:-1][used] = self.byte_table[raw[used]]
+        if (ids[:, 1:-1][used] < 0).any():
+            raise ValueError("the vocabulary lacks a byte")
+        heap = np.full((m, 2 * width), _NONE, np.int32)
+        heap[:, width:-1] = self._entries(ids[:, :-1], ids[:, 1:], np.arange(width - 1))
+        for i in range(width - 1, 0, -1):
+            np.minimum(heap[:, 2 * i], heap[:, 2 * i + 1], out=heap[:, i])
+        after, before = np.tile(np.arange(1, width + 1), m), np.tile(np.arange(-1, width - 1), m)
+        ids, heap, rows = ids.ravel(), heap.ravel(), np.arange(m)
+        while True:
+            top = heap[rows * (2 * width) + 1]
+            rows, top = rows[top < _NONE], top[top < _NONE]
+            if not len(rows):
+                break
+            first, root, i, r = rows * width, rows * (2 * width), (top & 31).astype(np.int64), top >> 5
+            j, h = after[first + i], before[first + i]
+            k = after[first + j]
+            ids[first + i], ids[first + j] = r, -1
+            after[first + i], before[first + k] = k, i
+            heap[root + width + i] = self._entries(r, ids[first + k], i)
+            heap[root + width + j] = _NONE
+            heap[root + width + h] = self._entries(ids[first + h], r, h)
+            nodes = [width + i, width + j, width + h]
+            for _ in range(width.bit_length() - 1):
+                nodes = [n >> 1 for n in nodes]
+                for n in nodes:
+                    heap[root + n] = np.minimum(heap[root + 2 * n], heap[root + 2 * n + 1])
+        ids = ids.reshape(m, width)
+        flat, ends = ids[ids >= 0].tolist(), np.cumsum((ids >= 0).sum(axis=1)).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends)]
+
     def encode(self, text: str | None) -> list[int]:
         """The ids of a text, each match of the pattern by itself."""
         return [i for pre in self.split(text or "") for i in self.token_ids(pre)]
@@ -210,45 +289,47 @@ class Codec:
         i = self.perfect.find(token)
         return [i] if i >= 0 and self.tokens[i] == token else self.merge(token)
 
-    def _match(self, pre: str) -> tuple[str, bytes]:
-        """The ids of one match, joined by one space, and their bytes."""
-        ids = self.token_ids(pre)
-        return " ".join(map(str, ids)), self.decode(ids)
+    def _encoded(self, pres: list[str]) -> list[tuple[str, bytes]]:
+        """The ids of each match, joined by one space, and their bytes: tier one, then tier two for all misses."""
+        tokens = [p.encode("utf-8", "replace") for p in pres]
+        hits = [i if i >= 0 and self.tokens[i] == t else -1 for i, t in zip(map(self.perfect.find, tokens), tokens)]
+        merged = iter(self.merge_all([t for i, t in zip(hits, tokens) if i < 0]))
+        found = [[i] if i >= 0 else next(merged) for i in hits]
+        return [(" ".join(map(str, ids)), self.decode(ids)) for ids in found]
 
-    def _matches(self, text: str) -> tuple[str, bytes]:
-        """The same of a text, whose matches are encoded once and remembered."""
-        found = list(map(self.matched.__getitem__, self.split(text)))
-        return " ".join([c for c, _ in found]), b"".join([b for _, b in found])
-
-    def _chunk(self, chunk: str) -> tuple[str, bytes]:
-        """The same of a space and what follows it, up to the next one."""
-        if not chunk or chunk[0] in _WHITE:
-            raise _NoCut
+    def _chunk(self, chunk: str) -> list[str]:
+        """The matches of a space and what follows it, up to the next one."""
         if chunk.isalpha():
-            return self.matched[" " + chunk]
-        if chunk[-1] in _POINTS and chunk[:-1].isalpha():  # a word and a mark: two matches
-            (codes, raw), (mark, tail) = self.matched[" " + chunk[:-1]], self.matched[chunk[-1]]
-            return f"{codes} {mark}", raw + tail
-        return self._matches(" " + chunk)
-
-    def chunks(self, text: str) -> list[tuple[str, bytes]]:
-        """For the usual pattern, no match crosses a cut, so the chunks between cuts are encoded once and remembered."""
-        head, *rest = text.split(" ")
-        try:
-            found = list(map(self.known.__getitem__, rest))
-        except _NoCut:
-            head, *rest = self.cut(text)
-            found = list(map(self.known.__getitem__, rest))
-        return [self._matches(head), *found] if head else found
+            return [" " + chunk]
+        if chunk[-1] in _POINTS and chunk[:-1].isalpha():  # a word and a mark
+            return [" " + chunk[:-1], chunk[-1]]
+        return self.split(" " + chunk)
 
-    def round_trip(self, text: str) -> tuple[int, str, bytes]:
-        """The number of ids, the ids joined by one space, and their bytes."""
+    def _joined(self, parts: list[list[str]]) -> list[tuple[str, bytes]]:
+        """The ids and bytes of sequences of matches."""
+        found = self.matched.of(set(chain.from_iterable(parts)), self._encoded)
+        return [found[p[0]] if len(p) == 1 else (" ".join([found[x][0] for x in p]), b"".join([found[x][1] for x in p])) for p in parts]
+
+    def round_trips(self, texts: list[str]) -> Iterator[tuple[int, str, bytes]]:
+        """The number of ids of each text, the ids joined by one space, and their bytes.
+
+        For the usual pattern, no match crosses a cut, so the chunks between cuts are encoded once and remembered.
+        """
         if self.pattern != USUAL:
-            ids = self.encode(text)
-            return len(ids), " ".join(map(str, ids)), self.decode(ids)
-        found = self.chunks(text)
-        joined = " ".join([c for c, _ in found])
-        return joined.count(" ") + bool(joined), joined, b"".join([b for _, b in found])
+            for ids in map(self.encode, texts):
+                yield len(ids), " ".join(map(str, ids)), self.decode(ids)
+            return
+        cut = [self.cut(t) if self.no_cut(t) else t.split(" ") for t in texts]
+        heads = self._joined([self.split(c[0]) for c in cut])
+        known = self.known.of(set().union(*(c[1:] for c in cut)), lambda new: self._joined(list(map(self._chunk, new))))
+        for head, chunks in zip(heads, cut, strict=True):
+            found = [head] if head[0] else []
+            found += map(known.__getitem__, chunks[1:])
+            joined = " ".join([c for c, _ in found])
+            yield joined.count(" ") + bool(joined), joined, b"".join([b for _, b in found])
+
+    def round_trip(self, text: str) -> tuple[int, str, bytes]:
+        return next(self.round_trips([text]))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -391,6 +472,19 @@ def decode(rows: DataFrame, path: str, ids_col: str = "token_ids", out_col: str
     return rows.withColumn(out_col, text(F.col(ids_col)))
 
 
+def _parts(texts: pa.Array) -> Iterator[list[str]]:
+    """The texts in order, in lists of so many characters that their misses are worth merging side by side."""
+    part, size = [], 0
+    for text in texts:
+        part.append(text.as_py() or "")
+        size += len(part[-1])
+        if size >= TOGETHER:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes every text and decodes its ids again: id, n_tokens, ids_sha256, decoded_sha256.
 
@@ -402,11 +496,11 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
         codec = shared.value.prepare()
         for batch in batches:
             counts, coded, decoded = [], [], []
-            for text in batch.column(1):
-                n, ids, raw = codec.round_trip(text.as_py() or "")
-                counts.append(n)
-                coded.append(hashlib.sha256(ids.encode()).hexdigest())
-                decoded.append(hashlib.sha256(raw).hexdigest())
+            for texts in _parts(batch.column(1)):
+                for n, ids, raw in codec.round_trips(texts):
+                    counts.append(n)
+                    coded.append(hashlib.sha256(ids.encode()).hexdigest())
+                    decoded.append(hashlib.sha256(raw).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())],
                 ["id", "n_tokens", "ids_sha256", "decoded_sha256"],

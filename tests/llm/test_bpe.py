@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import public_tokenizers as P
+import pytest
 import tiktoken
 
 from glyphmill.llm import bpe
@@ -49,11 +50,24 @@ def test_matches_are_merged_once(monkeypatch):
     """A word is merged once, whatever stands beside it, and a frequent one isn't forgotten when the bound is reached."""
     enc, codec, merged = theirs(), bpe.Codec(bpe.read_ranks(PATH), P.PATTERN).prepare(), Counter()
     monkeypatch.setattr(bpe, "REMEMBERED", 40)
-    merge = codec.merge
-    monkeypatch.setattr(codec, "merge", lambda token: merged.update([token]) or merge(token))
+    merge = codec.merge_all
+    monkeypatch.setattr(codec, "merge_all", lambda tokens: merged.update(tokens) or merge(tokens))
     for k in range(100):
         text = f"Qzwxk zqvxj, zqvxj. (zqvxj) {k}.\nQzwxk w{chr(97 + k % 26)}{chr(97 + k // 26)}jqx\nQzwxk"
         want = enc.encode_ordinary(text)
         assert codec.round_trip(text) == (len(want), " ".join(map(str, want)), text.encode())
     assert merged[b" zqvxj"] == merged[b"Qzwxk"] == 1
     assert all(len(r) + len(r.older) <= 40 for r in (codec.known, codec.matched))
+
+
+def test_heaps_side_by_side_equal_one_heap():
+    codec, rng = bpe.Codec(bpe.read_ranks(PATH), P.PATTERN).prepare(), random.Random(6)
+    tokens = [rng.choice(["abe", "thes ing", "aaa", "é一ñ😀ö", "0 \n"]) for _ in range(4000)]
+    tokens = [("".join(rng.choice(t) for _ in range(rng.randint(1, 35)))).encode()[:n] for n, t in zip([*range(1, 41)] * 100, tokens)]
+    assert {len(t) for t in tokens} >= set(range(1, 33))
+    assert codec.merge_all(tokens) == list(map(codec.merge, tokens))
+    assert codec.merge_all([]) == []
+    small = bpe.Codec([b"a", b"b", b"ab"], P.PATTERN).prepare()
+    assert small.merge_all([b"abab", b"a", b"bba", b"ab" * 30]) == [[2, 2], [0], [1, 1, 0], [2] * 30]
+    with pytest.raises(ValueError, match="lacks a byte"):
+        small.merge_all([b"ab", b"abc"])
