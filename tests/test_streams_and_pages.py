@@ -105,3 +105,19 @@ def test_filters_leave_out_ranges(spark, tmp_path):
     planned = reader.partitions()
     assert len(planned) <= 2 < total and [r for p in planned for r in reader.read(p)] == [("a", k, f"page {k}") for k in (10, 11, 12)]
     assert paged.read_pages(spark, noted).agg(F.count("*")).first()[0] == 200
+
+
+def test_short_ranges_share_partitions(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    texts = {f"f{k}": "\f".join(f"page {k} {i}" * (i % 4) for i in range(k % 7 + 1)) for k in range(700)} | {"long": "\f".join("z" * 30 for _ in range(400))}
+    for name, text in texts.items():
+        (tmp_path / "in" / f"{name}.txt").write_text(text)
+    want = {(n, k): t for n, text in texts.items() if text for k, t in enumerate(text.split("\f"))}
+    noted = str(tmp_path / "survey")
+    ranges = paged.survey(spark, str(tmp_path / "in"), noted, 16).count()
+    rows = paged.read_pages(spark, noted)
+    assert rows.rdd.getNumPartitions() <= paged.PARTS + 16 < ranges // 3
+    got = rows.collect()
+    assert {(r.source_id, r.page_no): r.text for r in got} == want and len(got) == len(want)
+    some = rows.where("page_no between 2 and 5").collect()
+    assert {(r.source_id, r.page_no): r.text for r in some} == {k: t for k, t in want.items() if 2 <= k[1] <= 5} and len({*some}) == len(some)
