@@ -2,15 +2,18 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from glyphmill.operators import search
 from glyphmill.plans import queries as plans
-from glyphmill.sources.index import Conflict, StoredIndex
+from glyphmill.sources import blocks
+from glyphmill.sources.index import _ENTRIES, Conflict, StoredIndex
 from glyphmill.sources.store import children
 from test_search import SCHEMA, slow_bm25
 
@@ -105,6 +108,57 @@ def test_search_skips_blocks(spark, tmp_path):
     assert "entry_ids" not in plan and "positions" not in plan
 
 
+def test_lists_are_made_in_pieces():
+    rng, n, each = np.random.default_rng(6), 6000, 500  # three million terms in one batch
+    words = pa.array([f"w{k}" for k in range(5000)])
+    terms = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * each, each, dtype=np.int32)), words.take(pa.array(rng.zipf(1.3, n * each) % 5000)))
+    slots = np.sort(rng.integers(-(1 << 62), 1 << 62, n))
+    ids = pa.array([None if k % 1000 == 7 else f"n:{k}" for k in range(n)])
+    batch = pa.RecordBatch.from_arrays([pa.array(["native"] * n), pa.array(np.zeros(n, np.int64)), pa.array(slots), ids, pa.array(np.full(n, each, np.int32)), terms], ["channel", "shard", "slot", "entry_id", "length", "terms"])
+    tracemalloc.start()
+    found = total = 0
+    for made in blocks.make_lists(iter([batch])):
+        tokens = sum(len(blocks._numbers(np.frombuffer(x, np.uint8))) for x in made["places"].to_pylist())
+        assert tokens <= blocks.PIECE
+        total += tokens
+        found += 1
+    assert total == n * each and found == -(-n * each // (blocks.PIECE // each * each))
+    assert tracemalloc.get_traced_memory()[1] < 150 << 20
+    tracemalloc.stop()
+
+
+def test_numbers_in_few_bytes():
+    for most in (1, 128, 1 << 14, 1 << 31):
+        values = np.random.default_rng(most).integers(0, most, 1000)
+        data, at = blocks._small(values)
+        assert (blocks._numbers(data) == values).all() and len(at) == 1001 and len(data) == at[-1] <= 5000
+    assert len(blocks._numbers(blocks._small(np.zeros(0, np.int64))[0])) == 0
+
+
+def test_blocks_are_full_and_in_order(spark, tmp_path):
+    rng = random.Random(7)
+    rows = rows_of(rng, [f"n:{k}" for k in range(3000)]) + [(None, "s", None, 0, "table", "the the cat")] * 9
+    index = StoredIndex(spark, str(tmp_path / "index"), block=16, shard=256)
+    index.add(spark.createDataFrame(rows, SCHEMA).repartition(5), "all")
+    by_list = {}
+    for r in index.blocks(["the", "cat", "dog"]).select("term", "channel", "shard", "block", "first", "last", "n").collect():
+        by_list.setdefault((r.term, r.channel, r.shard), []).append(r)
+    assert len(by_list) == 3 * 3 * 16
+    for own in by_list.values():
+        own.sort(key=lambda r: r.block)
+        assert [r.block for r in own] == [*range(len(own))] and all(r.n == 16 for r in own[:-1]) and 0 < own[-1].n <= 16
+        assert all(r.first <= r.last for r in own) and all(a.last <= b.first for a, b in zip(own, own[1:]))
+    got = Counter((r.term, r.entry_id, r.channel, r.length, r.tf, tuple(r.positions)) for r in index.opened(index.blocks(["the", "cat", "dog"]), positions=True).collect())
+    want = Counter()
+    for r in rows:
+        own = (r[5] or "").lower().split()
+        want.update((t, r[0], r[4], len(own), own.count(t), tuple(i for i, w in enumerate(own) if w == t)) for t in {"the", "cat", "dog"} & {*own})
+    assert got == want
+    # terms are told once: no range of postings is sampled, and no posting goes through a shuffle by itself
+    plan = index._blocks_of(index._read("entries", _ENTRIES, ["all"]), 8)._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "collect_list" not in plan
+
+
 def test_bounds_over_ranges():
     rng = np.random.default_rng(3)
     for _ in range(300):
