@@ -10,6 +10,7 @@ from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, In, IsNotNull, L
 from glyphmill.plans.queries import png
 from glyphmill.sources import images, paged
 from glyphmill.sources.index import StoredIndex
+from glyphmill.sources.store import children
 from glyphmill.streaming import ingest
 
 
@@ -46,6 +47,23 @@ def test_each_image_counts_once_after_failures(spark, tmp_path, monkeypatch):
     assert levels() == [1, 2, 3, 4, 5]
 
 
+def test_a_batch_of_images_is_few_tasks_and_files(spark, tmp_path):
+    src, root = tmp_path / "in", str(tmp_path / "index")
+    src.mkdir()
+    for k in range(160):
+        (src / f"{k}.png").write_bytes(png(4, 4, bytes([k]) * 16))
+    tracker, seen = spark.sparkContext.statusTracker(), set()
+    query = ingest.write_images_indexed(spark, str(src), root, str(tmp_path / "checkpoint"), images.brightness_backend, files=40)
+    query.awaitTermination(120)
+    for job in tracker.getJobIdsForGroup(str(query.runId)):
+        seen |= {stage.numTasks for stage in map(tracker.getStageInfo, tracker.getJobInfo(job).stageIds) if stage}
+    assert seen and max(seen) <= spark.sparkContext.defaultParallelism
+    index = StoredIndex(spark, root)
+    assert len(index.segments()) == 1 and index.statistics()[0] == index.entries().count() == 160
+    assert len(children(spark, f"{root}/postings/segment=images-00000000")) == 2  # one bucket, and the mark of success
+    assert index.frequencies(["image", "159", "no"]) == {"image": 160, "159": 1}
+
+
 def test_regions_that_wait(spark, tmp_path):
     start = datetime(2024, 1, 1)
     paths = {n: str(tmp_path / n) for n in ("regions", "results")}
