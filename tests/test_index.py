@@ -73,6 +73,34 @@ def test_changes_before_and_after_merges_with_readers_open(spark, tmp_path):
     assert not index.add(frame(changed), "add-0")  # batches are known after merges and a vacuum
 
 
+def test_a_merge_reads_what_is_stored(spark, tmp_path, monkeypatch):
+    rng = random.Random(8)
+    index = StoredIndex(spark, str(tmp_path / "index"), block=4, shard=16)
+    for k in range(4):
+        index.add(spark.createDataFrame(rows_of(rng, [f"n:{k}-{i}" for i in range(20)]), SCHEMA), f"add-{k}")
+    index.delete(spark.createDataFrame([("n:1-1",)], "entry_id string"), "drop")
+    before = sorted(map(tuple, index.entries().collect()), key=str), index.statistics(), sorted(map(tuple, index.postings(["the", "cat"]).collect()), key=str)
+    monkeypatch.setattr("glyphmill.sources.index.scratch", None)  # no copy of the entries is put anywhere first
+    assert len(index.merge(4)) == 1 and len(index.segments()) == 1
+    assert (sorted(map(tuple, index.entries().collect()), key=str), index.statistics(), sorted(map(tuple, index.postings(["the", "cat"]).collect()), key=str)) == before
+
+
+def test_parts_of_buckets(spark, tmp_path):
+    rng, tasks = random.Random(9), spark.conf.get("spark.sql.shuffle.partitions")
+    rows = rows_of(rng, [f"n:{k}" for k in range(300)])
+    index = StoredIndex(spark, str(tmp_path / "index"), block=8, shard=32)
+    spark.conf.set("spark.sql.shuffle.partitions", "130")  # three parts a bucket
+    try:
+        index.add(spark.createDataFrame(rows, SCHEMA), "all")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", tasks)
+    got = Counter((r.term, r.entry_id, r.tf) for r in index.postings(["the", "cat", "été"]).collect())
+    tokens = {r[0]: (r[5] or "").lower().split() for r in rows}
+    assert got == Counter((t, i, own.count(t)) for i, own in tokens.items() for t in {"the", "cat", "été"} & {*own})
+    keys = [tuple(r) for r in index.blocks(["the", "cat"]).select("term", "channel", "shard", "block").collect()]
+    assert len(keys) == len({*keys}) and len(index.blocks(["the"]).select(F.input_file_name()).distinct().collect()) == 3
+
+
 def test_batches_that_died_or_came_second(spark, tmp_path):
     root = str(tmp_path / "index")
     frame = lambda rows: spark.createDataFrame(rows, SCHEMA)
